@@ -13,22 +13,28 @@ def _d(x):
     return x.cast("double")
 
 
+# A lambda body is evaluated once per element, so a per-row value used in it
+# (the max, the sum) must not be written inside the lambda: it would be
+# recomputed for every element.  ``_with_scalar`` passes such a value in as
+# a second array argument, evaluated once per row.
+def _with_scalar(v: Column, scalar: Column, fn) -> Column:
+    return F.zip_with(v, F.array_repeat(scalar, F.size(v)), fn)
+
+
 def array_sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + _d(x))
 
 
 def softmax(v: Column) -> Column:
-    """exp(x - max) / sum(exp(x - max)), flattened vector (V1)."""
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(_d(x) - _d(m)))
-    s = array_sum(e)
-    return F.transform(e, lambda x: x / s)
+    """exp(x - max) / sum(exp(x - max)), flattened vector (V1).  O(n) per row."""
+    e = _with_scalar(v, _d(F.array_max(v)), lambda x, m: F.exp(_d(x) - m))
+    return _with_scalar(e, array_sum(e), lambda x, s: x / s)
 
 
 def softmax_extremes(v: Column) -> tuple[Column, Column]:
-    """(max, min) softmax probability of a logit vector in one pass (V6)."""
+    """(max, min) softmax probability of a logit vector (V6).  O(n) per row."""
     m = _d(F.array_max(v))
-    denom = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(_d(x) - m))
+    denom = array_sum(_with_scalar(v, m, lambda x, mm: F.exp(_d(x) - mm)))
     return (F.lit(1.0) / denom, F.exp(_d(F.array_min(v)) - m) / denom)
 
 
@@ -70,8 +76,9 @@ def concentration(v: Column) -> Column:
     s = F.array_sort(v)
     n = F.size(s)
     total = array_sum(s)
-    weighted = F.aggregate(
-        F.transform(s, lambda x, i: _d(x) * (n - i)), F.lit(0.0), lambda acc, x: acc + x)
+    # sum_i (n - i) x_i (0-based i) = n * total - sum_i i * x_i
+    weighted = n * total - F.aggregate(
+        F.transform(s, lambda x, i: _d(x) * i), F.lit(0.0), lambda acc, x: acc + x)
     return F.when(total == 0, F.lit(0.0)).otherwise(
         F.abs(F.lit(2.0) * weighted / (n * total) - F.lit(1.0)))
 
@@ -80,8 +87,9 @@ def head_mean(v: Column, n_heads: Column | int) -> Column:
     """Mean over heads of a row-major [heads, m] vector -> length m."""
     h = F.lit(n_heads) if isinstance(n_heads, int) else n_heads
     m = (F.size(v) / h).cast("int")
+    # sum the heads slice by slice: element j of head k sits at k * m + j
     return F.transform(
-        F.sequence(F.lit(0), m - 1),
-        lambda j: F.aggregate(F.transform(F.sequence(F.lit(0), h - 1),
-                                          lambda k: _d(F.get(v, k * m + j))),
-                              F.lit(0.0), lambda acc, x: acc + x) / h)
+        F.aggregate(F.sequence(F.lit(1), h - 1),
+                    F.slice(v, 1, m).cast("array<double>"),
+                    lambda acc, k: F.zip_with(acc, F.slice(v, k * m + 1, m), lambda a, b: a + _d(b))),
+        lambda x: x / h)

@@ -35,11 +35,14 @@ def _n_partitions(df: DataFrame, n: int | None) -> int:
 
 
 def ordered_index(df: DataFrame, keys, order, out: str = "step",
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, sums: Sequence[str] = ()) -> DataFrame:
     """Add ``out`` = position (0-based) of each row within its key.
 
     ``order`` must be a total order inside a key (add a unique tie-break),
     which also makes the result identical when a lost task is recomputed.
+    ``sums`` names numeric columns whose inclusive running sum (in the same
+    order) is added as ``{c}_cum``; the within-partition part is a window over
+    (key, range partition), so no window group exceeds one range partition.
     """
     keys, order = _cols(keys), _cols(order)
     n = _n_partitions(df, num_partitions)
@@ -56,15 +59,23 @@ def ordered_index(df: DataFrame, keys, order, out: str = "step",
     ranged = ranged.checkpoint(eager=False)
     # one row per (key, partition it touches): at most #keys + #partitions rows
     spans = ranged.groupBy(*keys, "_pid").agg(
-        F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
+        F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"),
+        *[F.sum(c).alias(f"_s_{c}") for c in sums])
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     spans = spans.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    for c in sums:
+        spans = spans.withColumn(f"_o_{c}", F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)))
     cond = [ranged[k].eqNullSafe(spans[k]) for k in keys] + [ranged["_pid"] == spans["_pid"]]
     joined = ranged.join(spans, cond, "inner").select(
-        ranged["*"], spans["_m0"], spans["_off"])
-    return (joined.withColumn(out, (F.col("_mid") - F.col("_m0") + F.col("_off")).cast("long"))
-                  .drop("_pid", "_mid", "_m0", "_off"))
+        ranged["*"], spans["_m0"], spans["_off"], *[spans[f"_o_{c}"] for c in sums])
+    joined = joined.withColumn(out, (F.col("_mid") - F.col("_m0") + F.col("_off")).cast("long"))
+    if sums:
+        local = Window.partitionBy(*keys, "_pid").orderBy("_mid").rowsBetween(
+            Window.unboundedPreceding, 0)
+        for c in sums:
+            joined = joined.withColumn(f"{c}_cum", F.sum(c).over(local) + F.col(f"_o_{c}"))
+    return joined.drop("_pid", "_mid", "_m0", "_off", *[f"_o_{c}" for c in sums])
 
 
 def with_leads(df: DataFrame, keys, step: str, values: Sequence[str],

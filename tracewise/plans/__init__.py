@@ -4,6 +4,7 @@ import importlib
 
 MODULES = [
     "trace_queries",
+    "vector_queries",
 ]
 
 
