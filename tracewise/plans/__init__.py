@@ -5,6 +5,7 @@ import importlib
 MODULES = [
     "trace_queries",
     "vector_queries",
+    "text_queries",
 ]
 
 
