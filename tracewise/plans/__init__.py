@@ -6,6 +6,7 @@ MODULES = [
     "trace_queries",
     "vector_queries",
     "text_queries",
+    "truth_queries",
 ]
 
 

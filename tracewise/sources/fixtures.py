@@ -82,3 +82,44 @@ def unequal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice")
     return li.groupBy("l_suppkey", "l_linenumber").agg(
         F.array_sort(F.collect_list("l_extendedprice")).alias("values"))
+
+
+# --- ground truth (orders / lineitem / part / customer) ----------------------
+ANN_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def coco_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images: one per order whose key is not a multiple of 7 (so some drop)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey").filter(F.col("o_orderkey") % 7 != 0)
+    return o.select(F.col("o_orderkey").alias("id"),
+                    F.concat(F.lit("img_"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"))
+
+
+def coco_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caption annotations: one per line item, caption = part name."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *ANN_ORDER)
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("caption"))
+    return li.join(p, "l_partkey").withColumnRenamed("l_orderkey", "image_id")
+
+
+def coco_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instance annotations: category = part, bbox from quantities, area = price."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *ANN_ORDER)
+    return li.select(F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("category_id"),
+                     F.array("l_quantity", "l_discount", "l_tax").alias("bbox"),
+                     F.col("l_extendedprice").alias("area"), *ANN_ORDER)
+
+
+def coco_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories: parts, leaving out every 10th so the default name is used."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name").filter(F.col("p_partkey") % 10 != 0)
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+
+
+def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows keyed by image file name: one per order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    k = F.col("o_orderkey").cast("string")
+    return o.select(F.concat(F.lit("img_"), k).alias("image_name"),
+                    F.concat(F.lit("img_"), k, F.lit(".jpg")).alias("image_filename"))
