@@ -7,6 +7,7 @@ MODULES = [
     "vector_queries",
     "text_queries",
     "truth_queries",
+    "label_queries",
 ]
 
 

@@ -61,3 +61,14 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def materialize(df):
+    """Compute ``df`` once and read it back from the shared checkpoint folder.
+
+    For intermediates that feed several branches of one plan (tokens,
+    chunks, reference terms): without it each branch re-runs the whole
+    lineage.  A reliable checkpoint also bounds recomputation after an
+    executor loss.
+    """
+    return cut_lineage(df, eager=True)

@@ -123,3 +123,39 @@ def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
     return o.select(F.concat(F.lit("img_"), k).alias("image_name"),
                     F.concat(F.lit("img_"), k, F.lit(".jpg")).alias("image_filename"))
+
+
+# --- generated descriptions and reference captions (lineitem x part) ---------
+# Sentence templates by line number % 4, {p} = this line's part name,
+# {q} = the next line's part name on the same side (generated / reference).
+SENTENCES = ["A {p} on a {q}.", "The {p} holding the {q}.", "One {p} beside a {q}.", "A {p}."]
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *ANN_ORDER)
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    d = li.join(p, "l_partkey").withColumn("side", F.when(F.col("l_suppkey") % 2 == 0, "gen").otherwise("gt"))
+    w = Window.partitionBy("l_orderkey", "side").orderBy(*ANN_ORDER)
+    d = d.withColumn("q", F.lead("p_name").over(w)).withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+    q = F.coalesce(F.col("q"), F.col("p_name"))
+    tpl = F.col("l_linenumber") % 4
+    s = (F.when(tpl == 0, F.concat(F.lit("A "), F.col("p_name"), F.lit(" on a "), q, F.lit(".")))
+          .when(tpl == 1, F.concat(F.lit("The "), F.col("p_name"), F.lit(" holding the "), q, F.lit(".")))
+          .when(tpl == 2, F.concat(F.lit("One "), F.col("p_name"), F.lit(" beside a "), q, F.lit(".")))
+          .otherwise(F.concat(F.lit("A "), F.col("p_name"), F.lit("."))))
+    return d.select(F.col("l_orderkey").alias("sample_id"), "side", "pos", s.alias("sentence"))
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, generated_description): the order's generated sentences joined by spaces."""
+    s = _sentences(spark, sf_dir).filter(F.col("side") == "gen")
+    g = s.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_s"))
+    return g.select("sample_id", F.array_join(F.transform("_s", lambda x: x["sentence"]), " ")
+                    .alias("generated_description"))
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, gt_idx, gt_text): one reference caption per reference line."""
+    s = _sentences(spark, sf_dir).filter(F.col("side") == "gt")
+    return s.select("sample_id", F.col("pos").alias("gt_idx"), F.col("sentence").alias("gt_text"))
