@@ -8,6 +8,7 @@ MODULES = [
     "text_queries",
     "truth_queries",
     "label_queries",
+    "score_queries",
 ]
 
 
