@@ -9,6 +9,7 @@ MODULES = [
     "truth_queries",
     "label_queries",
     "score_queries",
+    "learn_queries",
 ]
 
 
