@@ -162,3 +162,65 @@ def trace_arrays(trace: DataFrame) -> DataFrame:
     return trace.groupBy(KEY).agg(
         F.array_sort(F.collect_list(F.struct("step", "p_max", "p_min"))).alias("_s")
     ).select(KEY, F.col("_s.p_max").alias("feature_60"), F.col("_s.p_min").alias("feature_61"))
+
+
+def row_features(p: "F.Column", prefix: str = "") -> dict:
+    """Trace features of one ``ARRAY<DOUBLE>`` of probabilities, per row.
+
+    Same formulas as the grouped versions (A8-A16, A9, W2, W3), written as
+    higher-order functions so a stream of finished samples needs no state
+    (X1).  Every per-row value used inside a lambda is passed in through
+    ``zip_with`` so each element is visited a constant number of times.
+    """
+    from ..functions.arrays import _with_scalar
+    n = F.size(p)
+    s = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    mean = s / n
+    inv = F.transform(p, lambda x: F.lit(1.0) / F.greatest(x, F.lit(1e-10)))
+    inv_mean = F.aggregate(inv, F.lit(0.0), lambda a, x: a + x) / n
+    inv_var = F.aggregate(_with_scalar(inv, inv_mean, lambda x, m: (x - m) * (x - m)), F.lit(0.0),
+                          lambda a, x: a + x) / n
+    var = F.aggregate(_with_scalar(p, mean, lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x) / n
+    # slope of p on 0..n-1: sum((i - ibar) * p) / sum((i - ibar)^2)
+    ibar = (n - 1) / 2.0
+    num = F.aggregate(_with_scalar(F.transform(p, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), ibar,
+                                   lambda t, b: (t["i"] - b) * t["x"]), F.lit(0.0), lambda a, x: a + x)
+    den = n * (n * n - 1) / 12.0
+    deltas = F.zip_with(F.slice(p, 2, F.greatest(n - 1, F.lit(1))), F.slice(p, 1, F.greatest(n - 1, F.lit(1))),
+                        lambda b, a: b - a)
+    deltas = F.when(n > 1, deltas).otherwise(F.array().cast("array<double>"))
+    nd = F.size(deltas)
+    w3 = F.when(n > 3, F.zip_with(F.slice(p, 4, F.greatest(n - 3, F.lit(1))), F.slice(p, 1, F.greatest(n - 3, F.lit(1))),
+                                  lambda b, a: b - a))
+    ent = F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x > 0, -x * F.ln(x)).otherwise(F.lit(0.0)))
+    srt = F.array_sort(p)
+
+    def pct(q):
+        pos = (n - 1) * q
+        lo = F.floor(pos).cast("int")
+        hi = F.ceil(pos).cast("int")
+        vlo, vhi = F.get(srt, lo), F.get(srt, hi)
+        return vlo + (pos - lo) * (vhi - vlo)
+
+    z = F.lit(0.0)
+    return {
+        f"{prefix}feature_66": F.when(n > 0, inv_mean).otherwise(z),
+        f"{prefix}feature_67": F.when(n > 0, F.sqrt(inv_var)).otherwise(z),
+        f"{prefix}feature_68": F.when(n > 1, num / den).otherwise(z),
+        f"{prefix}feature_69": F.when(n > 0, mean).otherwise(z),
+        f"{prefix}feature_70": F.when(n > 0, F.size(F.filter(p, lambda x: x < 0.5)) / n).otherwise(z),
+        f"{prefix}mean": mean, f"{prefix}std": F.sqrt(var),
+        f"{prefix}min": F.array_min(p), f"{prefix}max": F.array_max(p),
+        f"{prefix}median": pct(0.5), f"{prefix}iqr": pct(0.75) - pct(0.25),
+        f"{prefix}norm_entropy": F.when(n > 1, ent / F.ln(n.cast("double"))).otherwise(z),
+        f"{prefix}low_prob_count": F.size(F.filter(p, lambda x: x < 0.1)),
+        f"{prefix}high_prob_count": F.size(F.filter(p, lambda x: x > 0.9)),
+        f"{prefix}mean_grad": F.when(nd > 0, F.aggregate(deltas, F.lit(0.0), lambda a, x: a + F.abs(x)) / nd)
+                               .otherwise(z),
+        f"{prefix}max_grad": F.coalesce(F.array_max(F.transform(deltas, lambda x: F.abs(x))), z),
+        f"{prefix}max_drop": F.coalesce(F.least(z, F.array_min(deltas)), z),
+        f"{prefix}max_increase": F.coalesce(F.greatest(z, F.array_max(deltas)), z),
+        f"{prefix}total_volatility": F.aggregate(deltas, F.lit(0.0), lambda a, x: a + F.abs(x)),
+        f"{prefix}num_significant_drops": F.size(F.filter(deltas, lambda x: x < -0.3)),
+        f"{prefix}largest_window_drop": F.when(nd >= 3, F.greatest(z, -F.least(F.array_min(w3), z))).otherwise(z),
+    }

@@ -158,3 +158,27 @@ def trace_lists(spark, sf):
     t = traces.trace_arrays(_trace(spark, sf))
     return t.select("sample_id", F.size("feature_60").alias("n_steps"),
                     F.to_json("feature_60").alias("feature_60"), F.to_json("feature_61").alias("feature_61"))
+
+
+@register("trace_row_features", "X1 form (per-row array features == grouped features)", f"""
+WITH {PROB_TRACE}, {LEADS}
+SELECT sample_id,
+  round(avg(1.0::DOUBLE / greatest(p_max, 1e-10)), 6) AS feature_66,
+  round(stddev_pop(1.0::DOUBLE / greatest(p_max, 1e-10)), 6) AS feature_67,
+  round(coalesce(regr_slope(p_max, step::DOUBLE), 0.0::DOUBLE), 6) AS feature_68,
+  round(avg(p_max), 6) AS feature_69,
+  round(avg(CASE WHEN p_max < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS feature_70,
+  round(quantile_cont(p_max, 0.5), 6) AS median,
+  round(quantile_cont(p_max, 0.75) - quantile_cont(p_max, 0.25), 6) AS iqr,
+  round(CASE WHEN count(*) > 1 THEN coalesce(sum(CASE WHEN p_max > 0 THEN -p_max * ln(p_max) END), 0.0::DOUBLE)
+        / ln(count(*)::DOUBLE) ELSE 0.0::DOUBLE END, 6) AS norm_entropy,
+  round(coalesce(avg(abs(p_max_lead1 - p_max)), 0.0::DOUBLE), 6) AS mean_grad,
+  round(CASE WHEN count(p_max_lead1) >= 3 THEN greatest(0.0::DOUBLE, -least(min(p_max_lead3 - p_max), 0.0::DOUBLE))
+        ELSE 0.0::DOUBLE END, 6) AS largest_window_drop
+FROM leads GROUP BY sample_id""")
+def trace_row_features(spark, sf):
+    a = traces.trace_arrays(_trace(spark, sf))
+    f = traces.row_features(F.col("feature_60"))
+    keep = ["feature_66", "feature_67", "feature_68", "feature_69", "feature_70", "median", "iqr",
+            "norm_entropy", "mean_grad", "largest_window_drop"]
+    return rounded(a.select("sample_id", *[f[k].alias(k) for k in keep]))
