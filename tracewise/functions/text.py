@@ -51,8 +51,12 @@ def repetition_features(tokens: Column) -> tuple[Column, Column, Column]:
     """
     n = F.size(tokens)
     uniq = F.size(F.array_distinct(tokens))
-    bigrams = F.arrays_zip(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))),
-                           F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))))
+    # a bigram as one string ("<len>:<left><right>") keeps array_distinct on
+    # its hashed path; struct elements would be compared pairwise
+    first = F.slice(tokens, 1, F.greatest(n - 1, F.lit(1)))
+    second = F.slice(tokens, 2, F.greatest(n - 1, F.lit(1)))
+    bigrams = F.zip_with(first, second, lambda a, b: F.concat(
+        F.length(a.cast("string")).cast("string"), F.lit(":"), a.cast("string"), b.cast("string")))
     nb = F.size(F.array_distinct(bigrams))
     rep = F.when(n > 0, 1.0 - uniq / n).otherwise(F.lit(0.0))
     brep = F.when(n > 1, 1.0 - nb / (n - 1)).otherwise(F.lit(0.0))

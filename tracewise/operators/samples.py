@@ -190,3 +190,45 @@ def virtual_catalog(df: DataFrame, images_col: str = "images", order: str = "idx
         F.concat(F.lit(f"{prefix}_dataset_image_"), i).alias("path"),
         F.concat(F.lit(f"{prefix}_image_"), i).alias("name"),
         F.concat(F.lit(f"{prefix}_image_"), i, F.lit(".jpg")).alias("filename"), "image")
+
+
+# --- S3: dataset registry ------------------------------------------------------
+QA_DATASETS = ("truthfulqa", "triviaqa", "tydiqa", "coqa", "haluevaldia", "haluevalqa", "haluevalsum")
+
+
+def load_qa_dataset(spark: SparkSession, name: str, path: str, max_samples: int | None = None,
+                    fmt: str = "parquet") -> DataFrame:
+    """Read a QA dataset by name and apply its row rules (S3).
+
+    triviaqa: first row per ``question_id`` (A1); tydiqa: English ids only
+    (P2); coqa: nested JSON exploded with running story (S4); others as
+    read.  Rows are then named ``{name}_sample_{idx}`` in dataset order and
+    cut to the first ``max_samples`` (O1).  Unknown names raise.
+    """
+    if name not in QA_DATASETS:
+        raise ValueError(f"Invalid dataset name: {name}")
+    if name == "coqa":
+        df = coqa_from_json(spark, path)
+        order = ["_pos"]
+        df = df.withColumn("_pos", F.monotonically_increasing_id())
+    else:
+        df = spark.read.format(fmt).load(path).withColumn("_pos", F.monotonically_increasing_id())
+        order = ["_pos"]
+        if name == "triviaqa":
+            df = first_per_key(df, "question_id", "_pos")
+        elif name == "tydiqa":
+            df = english_only(df, "id")
+    named = name_samples(df, name, order)
+    return first_n(named, "idx", max_samples).drop("_pos")
+
+
+def apply_per_item(df: DataFrame, fn, schema: str) -> DataFrame:
+    """Per-item callback over a samples table, batch-wise via Arrow (F1).
+
+    ``fn`` takes a pandas DataFrame (a batch of items) and returns one with
+    ``schema``; Spark partitions the items.
+    """
+    def run(batches):
+        for b in batches:
+            yield fn(b)
+    return df.mapInPandas(run, schema)

@@ -75,3 +75,14 @@ def binary_dataset(samples: DataFrame, best: DataFrame, id_col: str, threshold:
     j = samples.join(best, id_col, "inner")
     return j.withColumn("bleurt_score", F.col("best_score")).withColumn(
         "binary_label", label_v2(F.col("best_score"), threshold)).drop("best_score")
+
+
+def score_pairs(pairs: DataFrame, pair_id: str, cand: str, ref: str, scorer=None) -> DataFrame:
+    """Score candidate/reference pairs.
+
+    ``scorer`` is an optional vectorised ``pandas_udf`` (two string series ->
+    double series), e.g. a learned metric; the default is ``token_f1``.
+    """
+    if scorer is None:
+        return token_f1(pairs, pair_id, cand, ref)
+    return pairs.select(pair_id, scorer(F.col(cand), F.col(ref)).alias("score"))

@@ -1,12 +1,14 @@
-"""The flagship query used by ``entry()``."""
+"""The flagship query used by ``entry()``: the labelled chunk dataset.
 
-from __future__ import annotations
+Generated descriptions and reference captions -> tagger -> chunks ->
+hierarchical labels (full rules, fuzzy stage included) -> 18 chunk
+features -> the sample's 74 signal features (traces, layer shifts,
+consistency, concentration, confidence, repetition).
+"""
 
-from ..operators import traces
-from ..sources import fixtures
-from .registry import rounded
+from __future__ import annotations
 
 
 def flagship(spark, sf_dir):
-    t = fixtures.prob_trace(spark, sf_dir)
-    return rounded(traces.confidence_block(t).join(traces.probability_block(t), "sample_id"))
+    from .learn_queries import chunk_dataset
+    return chunk_dataset(spark, sf_dir)

@@ -124,7 +124,8 @@ def _feature_rows(spark, sf):
     states = fixtures.layer_states(spark, sf)
     attn = fixtures.attention_states(spark, sf)
     docs = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "text")
-    rep, brep, ur = repetition_features(words(F.col("text")))
+    docs = docs.withColumn("_w", words(F.col("text")))
+    rep, brep, ur = repetition_features(F.col("_w"))
     blocks = [layers.layer_shift(states, "llm", 0), layers.layer_shift(attn, "llm", 30),
               layers.step_consistency(states, "llm"), layers.attention_concentration(attn),
               traces.confidence_block(t),
@@ -228,3 +229,11 @@ def run_summary(spark, sf):
                                                  F.col("o_orderpriority").alias("model_name"),
                                                  F.col("o_orderstatus").alias("dataset"))
     return rounded(report.run_summary(lab.join(o, "sample_id"), "model_name", "dataset", "chunk_label"))
+
+
+@register("model_comparison", "M14 A27 S16 (one fit + evaluation per dataset group; errors isolated)")
+def model_comparison(spark, sf):
+    sp = prep.encode_labels(_split(spark, sf), "label")
+    sp = sp.withColumn("dataset", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd"))
+    sp = prep.with_class_weights(sp, "label")
+    return learn.compare_models(sp, "dataset", FEATS)

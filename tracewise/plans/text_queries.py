@@ -58,9 +58,10 @@ SELECT doc_id,
   round(CASE WHEN n > 0 THEN u / n ELSE 0.0 END, 6)::DOUBLE AS feature_73
 FROM x""")
 def text_repetition(spark, sf):
-    rep, brep, ur = text.repetition_features(text.words(F.col("text")))
-    return rounded(_docs(spark, sf, "text").select(
-        "doc_id", rep.alias("feature_71"), brep.alias("feature_72"), ur.alias("feature_73")))
+    # the word array is its own projection so it is split once per row
+    w = _docs(spark, sf, "text").select("doc_id", text.words(F.col("text")).alias("w"))
+    rep, brep, ur = text.repetition_features(F.col("w"))
+    return rounded(w.select("doc_id", rep.alias("feature_71"), brep.alias("feature_72"), ur.alias("feature_73")))
 
 
 @register("text_counts", "T6 (word and character counts, ratio)", f"""
@@ -69,11 +70,10 @@ SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, CAST(length(text) AS INTEGER)
        round(CASE WHEN length(text) > 0 THEN len(w) / length(text) ELSE 0.0 END, 6)::DOUBLE AS words_per_char
 FROM w""")
 def text_counts(spark, sf):
-    w = text.words(F.col("text"))
-    n_chars = F.length("text")
-    return rounded(_docs(spark, sf, "text").select(
-        "doc_id", F.size(w).alias("n_words"), n_chars.alias("n_chars"),
-        F.when(n_chars > 0, F.size(w) / n_chars).otherwise(F.lit(0.0)).alias("words_per_char")))
+    d = _docs(spark, sf, "text").select("doc_id", F.size(text.words(F.col("text"))).alias("n_words"),
+                                        F.length("text").alias("n_chars"))
+    return rounded(d.select("doc_id", "n_words", "n_chars", F.when(F.col("n_chars") > 0, F.col("n_words") / F.col(
+        "n_chars")).otherwise(F.lit(0.0)).alias("words_per_char")))
 
 
 DIALOGUE_SQL = """
