@@ -1,7 +1,9 @@
 """End-to-end chunk labelling: texts -> tokens -> chunks -> labels (C13 inputs).
 
 Intermediates that feed several branches are materialized once in the
-shared checkpoint folder (``session.materialize``).
+shared checkpoint folder (``session.materialize``).  The generated side
+(texts, tokens, chunks) and the reference side (reference terms) are
+prepared separately, so chunk-only work never touches the references.
 """
 
 from __future__ import annotations
@@ -15,8 +17,23 @@ from . import chunks as chunk_ops
 from . import matching, tagger
 
 
+@dataclass
+class GeneratedSide:
+    texts: DataFrame
+    tokens: DataFrame
+    chunks: DataFrame
+
+
+@dataclass
+class ReferenceSide:
+    objects: DataFrame
+    attributes: DataFrame
+    relations: DataFrame
+
+
 @dataclass
 class LabelInputs:
+    gen_texts: DataFrame
     gen_tokens: DataFrame
     chunks: DataFrame
     gt_objects: DataFrame
@@ -24,23 +41,30 @@ class LabelInputs:
     gt_relations: DataFrame
 
 
+def prepare_generated(generations: DataFrame, text_col: str = "generated_description",
+                      tag=tagger.tag) -> GeneratedSide:
+    """Non-empty texts, their tokens (pluggable tagger, F5) and chunks."""
+    gen = materialize(generations.filter(generations[text_col].isNotNull() & (generations[text_col] != ""))
+                      .select("sample_id", text_col))
+    tok = materialize(tag(gen, ["sample_id"], text_col))
+    return GeneratedSide(gen, tok, materialize(chunk_ops.extract_chunks(tok, gen, text_col)))
+
+
+def prepare_references(references: DataFrame, gt_col: str = "gt_text", tag=tagger.tag) -> ReferenceSide:
+    """Reference objects, attributes and relations, once per sample; null / '' references skipped."""
+    refs = materialize(references.filter(references[gt_col].isNotNull() & (references[gt_col] != ""))
+                       .select("sample_id", "gt_idx", gt_col))
+    gt_tok = tag(refs, ["sample_id", "gt_idx"], gt_col)
+    return ReferenceSide(materialize(matching.truth_objects(gt_tok)),
+                         materialize(matching.truth_attributes(refs, gt_tok, gt_col)),
+                         materialize(matching.truth_relations(refs, gt_col)))
+
+
 def prepare(generations: DataFrame, references: DataFrame, text_col: str = "generated_description",
             gt_col: str = "gt_text", tag=tagger.tag) -> LabelInputs:
-    """Tag both sides, extract chunks, extract reference terms once per sample.
-
-    ``generations(sample_id, text_col)``; ``references(sample_id, gt_idx,
-    gt_col)`` with null / '' references skipped.  ``tag`` is the pluggable
-    tagger (F5).
-    """
-    gen = generations.filter(generations[text_col].isNotNull() & (generations[text_col] != ""))
-    refs = references.filter(references[gt_col].isNotNull() & (references[gt_col] != ""))
-    gen_tok = materialize(tag(gen, ["sample_id"], text_col))
-    ch = materialize(chunk_ops.extract_chunks(gen_tok, gen, text_col))
-    gt_tok = tag(refs, ["sample_id", "gt_idx"], gt_col)
-    gt_tok = materialize(gt_tok)
-    return LabelInputs(gen_tok, ch, materialize(matching.truth_objects(gt_tok)),
-                       materialize(matching.truth_attributes(refs, gt_tok, gt_col)),
-                       materialize(matching.truth_relations(refs, gt_col)))
+    g = prepare_generated(generations, text_col, tag)
+    r = prepare_references(references, gt_col, tag)
+    return LabelInputs(g.texts, g.tokens, g.chunks, r.objects, r.attributes, r.relations)
 
 
 def label(inputs: LabelInputs, fuzzy: bool = True) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import GENERIC_WORDS, RELATIONS, attribute_category, canonical
 from ..functions.similarity import may_reach, similarity
 from ..functions.text import PY_WORD, strip, words
+from ..session import materialize
 
 KEY = "sample_id"
 LABELS = ("CATEGORY_HALLUC", "ATTRIBUTE_HALLUC", "RELATION_HALLUC", "CORRECT")
@@ -52,16 +53,28 @@ def truth_relations(gt_texts: DataFrame, text_col: str = "gt_text") -> DataFrame
 
 
 # ---------------------------------------------------------------- fuzzy stage
-def fuzzy_hits(left: DataFrame, lcol: str, right: DataFrame, rcol: str, threshold: float) -> DataFrame:
+def candidate_pairs(left: DataFrame, lcol: str, right: DataFrame, rcol: str, threshold: float) -> DataFrame:
+    """(sample_id, _a, _b): distinct terms of one sample whose ratio can reach ``threshold``."""
+    lf = left.select(KEY, F.col(lcol).alias("_a")).distinct()
+    rt = right.select(KEY, F.col(rcol).alias("_b")).distinct()
+    return lf.join(rt, KEY).filter(may_reach(F.col("_a"), F.col("_b"), threshold))
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """(_a, _b, _r): the ratio once per distinct string pair (the one Python UDF)."""
+    return pairs.select("_a", "_b").distinct().withColumn("_r", similarity(F.col("_a"), F.col("_b")))
+
+
+def fuzzy_hits(left: DataFrame, lcol: str, right: DataFrame, rcol: str, threshold: float,
+               scored: DataFrame | None = None) -> DataFrame:
     """(sample_id, lcol) with some right term of the same sample at ratio >= threshold.
 
-    Distinct terms per sample, length bound in the join condition, and the
-    ratio computed once per distinct string pair.
+    ``scored`` is a precomputed (_a, _b, _r) table covering these pairs
+    (one scoring pass shared by all stages); without it the pairs are
+    scored here.
     """
-    lf = left.select(KEY, F.col(lcol).alias("_a")).distinct()
-    rt = right.select(KEY, F.col(rcol).alias("_b")).distinct()
-    pairs = lf.join(rt, KEY).filter(may_reach(F.col("_a"), F.col("_b"), threshold))
-    scored = pairs.select("_a", "_b").distinct().withColumn("_r", similarity(F.col("_a"), F.col("_b")))
+    pairs = candidate_pairs(left, lcol, right, rcol, threshold)
+    scored = score_pairs(pairs) if scored is None else scored
     hits = pairs.join(scored.filter(F.col("_r") >= threshold), ["_a", "_b"])
     return hits.select(KEY, F.col("_a").alias(lcol)).distinct()
 
@@ -76,7 +89,8 @@ def _substrings(s, lo: int, hi):
 
 
 # ---------------------------------------------------------------- C5
-def object_exists(terms: DataFrame, gt_objects: DataFrame, fuzzy: bool = True) -> DataFrame:
+def object_exists(terms: DataFrame, gt_objects: DataFrame, fuzzy: bool = True,
+                  scored: DataFrame | None = None) -> DataFrame:
     """(sample_id, term, exists) for distinct (sample, term).
 
     A term exists when any holds: it is a generic scene word; equal to a
@@ -115,7 +129,7 @@ def object_exists(terms: DataFrame, gt_objects: DataFrame, fuzzy: bool = True) -
     hits = hits.distinct()
     if fuzzy:
         rest = t.join(hits, [KEY, "term"], "left_anti")
-        fz = fuzzy_hits(rest.select(KEY, "term", "_ol"), "_ol", g, "_gl", 0.7)
+        fz = fuzzy_hits(rest.select(KEY, "term", "_ol"), "_ol", g, "_gl", 0.7, scored)
         hits = hits.unionByName(rest.join(fz, [KEY, "_ol"]).select(KEY, "term")).distinct()
     return t.join(hits.withColumn("exists", F.lit(True)), [KEY, "term"], "left").select(
         KEY, "term", F.coalesce(F.col("exists"), F.lit(False)).alias("exists"))
@@ -138,23 +152,32 @@ def label_chunks(chunks: DataFrame, gt_objects: DataFrame, gt_attrs: DataFrame,
     rel_terms = c.filter(F.col("chunk_type") == "relation").select(
         KEY, "chunk_idx", F.explode("objects").alias("term"))
     terms = obj_terms.unionByName(rel_terms)
-    ex = object_exists(terms.select(KEY, "term"), gt_objects, fuzzy)
+    at = c.filter(F.col("chunk_type") == "attribute").select(KEY, F.lower(strip(F.col("attribute"))).alias("_al"))
+    at = at.distinct()
+    rt = c.filter(F.col("chunk_type") == "relation").select(KEY, F.lower("relation").alias("_rl")).distinct()
+    scored = None
+    if fuzzy:
+        # every string pair any fuzzy stage may need, scored in one pass
+        tl = terms.select(KEY, F.lower(strip(F.col("term"))).alias("_a"))
+        cand = candidate_pairs(tl, "_a", gt_objects.select(KEY, F.lower("obj").alias("_b")), "_b", 0.7) \
+            .unionByName(candidate_pairs(at, "_al", gt_attrs, "attr", 0.7)) \
+            .unionByName(candidate_pairs(rt, "_rl", gt_rels, "rel", 0.7))
+        scored = materialize(score_pairs(cand))
+    ex = object_exists(terms.select(KEY, "term"), gt_objects, fuzzy, scored)
     per_chunk = terms.join(ex, [KEY, "term"]).groupBy(KEY, "chunk_idx").agg(
         F.min(F.col("exists").cast("int")).alias("_all_exist"))
     c = c.join(per_chunk, [KEY, "chunk_idx"], "left").withColumn(
         "object_ok", F.coalesce(F.col("_all_exist"), F.lit(0)) == 1).drop("_all_exist")
 
     # attribute test inputs, per (sample, attribute word)
-    at = c.filter(F.col("chunk_type") == "attribute").select(KEY, F.lower(strip(F.col("attribute"))).alias("_al"))
-    at = at.distinct()
     ga = gt_attrs.select(KEY, "category", F.col("attr"))
     exact = at.join(ga.select(KEY, F.col("attr").alias("_al")).distinct(), [KEY, "_al"]).select(
         KEY, "_al").distinct()
     stats = ga.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n_attr"),
                                 F.count_if(F.col("category") == "other").alias("_n_other"))
     if fuzzy:
-        m08 = fuzzy_hits(at, "_al", ga, "attr", 0.8)
-        oth = fuzzy_hits(at, "_al", ga.filter(F.col("category") == "other"), "attr", 0.7)
+        m08 = fuzzy_hits(at, "_al", ga, "attr", 0.8, scored)
+        oth = fuzzy_hits(at, "_al", ga.filter(F.col("category") == "other"), "attr", 0.7, scored)
     else:
         m08 = exact.limit(0)
         oth = exact.limit(0)
@@ -171,10 +194,9 @@ def label_chunks(chunks: DataFrame, gt_objects: DataFrame, gt_attrs: DataFrame,
     c = c.withColumn("_al", F.lower(strip(F.col("attribute")))).join(at, [KEY, "_al"], "left")
 
     # relation test, per (sample, relation word)
-    rt = c.filter(F.col("chunk_type") == "relation").select(KEY, F.lower("relation").alias("_rl")).distinct()
     gr = gt_rels.select(KEY, "rel")
     r_exact = rt.join(gr.select(KEY, F.col("rel").alias("_rl")), [KEY, "_rl"]).select(KEY, "_rl")
-    r_hits = r_exact.unionByName(fuzzy_hits(rt, "_rl", gr, "rel", 0.7)) if fuzzy else r_exact
+    r_hits = r_exact.unionByName(fuzzy_hits(rt, "_rl", gr, "rel", 0.7, scored)) if fuzzy else r_exact
     rt = rt.join(r_hits.distinct().withColumn("_rel_ok", F.lit(True)), [KEY, "_rl"], "left")
     c = c.withColumn("_rl", F.lower("relation")).join(rt, [KEY, "_rl"], "left")
 

@@ -181,7 +181,7 @@ WITH {CHUNKS}
 SELECT sample_id, chunk_idx, chunk_text, chunk_type, "start", "end", attribute, object, relation,
        array_to_string(objects, '|') AS objects FROM ch""")
 def chunks_extracted(spark, sf):
-    c = _inputs(spark, sf).chunks
+    c = labelling.prepare_generated(fixtures.generations(spark, sf)).chunks
     return c.select("sample_id", "chunk_idx", "chunk_text", "chunk_type", "start", "end", "attribute", "object",
                     "relation", F.array_join("objects", "|").alias("objects"))
 
@@ -215,8 +215,8 @@ SELECT sample_id, chunk_idx, wc AS chunk_word_count, round(rp, 6)::DOUBLE AS chu
   CAST(chunk_type = 'relation' AS INTEGER) AS is_relation_chunk
 FROM f1""")
 def chunk_features(spark, sf):
-    li = _inputs(spark, sf)
-    f = chunk_ops.chunk_features(li.chunks, fixtures.generations(spark, sf))
+    g = labelling.prepare_generated(fixtures.generations(spark, sf))
+    f = chunk_ops.chunk_features(g.chunks, g.texts)
     return rounded(f.select("sample_id", "chunk_idx", *FEATURE_COLS))
 
 

@@ -151,7 +151,7 @@ def chunk_dataset(spark, sf):
     from ..operators import chunks as chunk_ops
     li = labelling.prepare(fixtures.generations(spark, sf), fixtures.references(spark, sf))
     lab = labelling.label(li, fuzzy=True).select("sample_id", "chunk_idx", "chunk_label")
-    cf = chunk_ops.chunk_features(li.chunks, fixtures.generations(spark, sf))
+    cf = chunk_ops.chunk_features(li.chunks, li.gen_texts)
     o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"), "o_custkey",
                                                  F.col("o_orderpriority").alias("model_name"))
     fr = _feature_rows(spark, sf).drop("generated_description", "is_failed", "image_name", "image_filename",
