@@ -68,8 +68,10 @@ def binary_dataset(spark, sf):
 
 
 @register("token_f1_scores", "C17 F6 (default scorer: token F1 between document and paired benchmark item)", f"""
-WITH p AS (SELECT d.doc_id AS pair_id, d.text AS cand, b.text AS ref FROM documents d
-           JOIN benchmark b ON b.item_id = d.doc_id % 40),
+WITH nb AS (SELECT count(*) AS n FROM benchmark),
+bi AS (SELECT text, CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS pos FROM benchmark),
+p AS (SELECT d.doc_id AS pair_id, d.text AS cand, b.text AS ref FROM documents d, nb
+           JOIN bi b ON b.pos = d.doc_id % nb.n),
 w AS (SELECT pair_id, 1 AS c, 0 AS r, unnest(list_filter(regexp_split_to_array(lower(cand), '[{text.PY_WS}]+'),
              lambda x: x <> '')) AS w FROM p
       UNION ALL
@@ -80,9 +82,15 @@ m AS (SELECT pair_id, sum(least(nc, nr)) AS m, sum(nc) + sum(nr) AS t FROM g GRO
 SELECT p.pair_id, round(CASE WHEN coalesce(m.t, 0) > 0 THEN 2.0 * m.m / m.t ELSE 0.0 END, 6)::DOUBLE AS score
 FROM p LEFT JOIN m USING (pair_id)""")
 def token_f1_scores(spark, sf):
+    # every document is paired with benchmark item (doc_id mod #items) in item order,
+    # so every document and every item (when there are fewer items) is used
+    from ..operators.samples import name_samples
     d = tables.table(spark, sf, "documents").select("doc_id", "text")
-    b = tables.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("ref"))
-    pairs = d.join(b, b.item_id == d.doc_id % 40).select(F.col("doc_id").alias("pair_id"),
+    b = name_samples(tables.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("ref")),
+                     "bench", ["item_id"], idx="pos")
+    n = b.agg(F.count(F.lit(1)).alias("_nb"))
+    d = d.crossJoin(F.broadcast(n)).withColumn("pos", F.col("doc_id") % F.col("_nb"))
+    pairs = d.join(b.select("pos", "ref"), "pos").select(F.col("doc_id").alias("pair_id"),
                                                          F.col("text").alias("cand"), "ref")
     return rounded(scores.token_f1(pairs, "pair_id", "cand", "ref"))
 

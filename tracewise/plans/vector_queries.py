@@ -165,37 +165,43 @@ def logit_extremes_long(spark, sf):
     return rounded(layers.logit_extremes_long(fixtures.logits_long(spark, sf)))
 
 
-@register("logit_extremes_array", "V1 V6 (array logits: layer-0 vectors as logits)", f"""
+@register("logit_extremes_array", "V1 V6 (array logits: every embedding vector read as one logit vector)", f"""
 WITH {STATES}
 SELECT sample_id, step,
   round(1.0 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6)::DOUBLE AS p_max,
   round(exp(list_min(v) - list_max(v)) / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6)::DOUBLE
     AS p_min,
-  round(list_sum({_softmax_sql('v')}), 6)::DOUBLE AS p_sum
-FROM states WHERE layer = 0""")
+  round(list_sum({_softmax_sql('v')}), 6)::DOUBLE AS p_sum, layer
+FROM states""")
 def logit_extremes_array(spark, sf):
-    s = fixtures.layer_states(spark, sf).filter(F.col("layer") == 0)
+    s = fixtures.layer_states(spark, sf)
     pmax, pmin = softmax_extremes(F.col("values"))
     psum = F.aggregate(softmax(F.col("values")), F.lit(0.0), lambda a, x: a + x)
-    return rounded(s.select("sample_id", "step", pmax.alias("p_max"), pmin.alias("p_min"), psum.alias("p_sum")))
+    return rounded(s.select("sample_id", "step", pmax.alias("p_max"), pmin.alias("p_min"), psum.alias("p_sum"),
+                            "layer"))
 
 
-@register("wasserstein_unequal", "V2 general form (unequal sizes, CDF gaps; lineitem prices)", """
-WITH u AS (SELECT l_suppkey AS k, l_extendedprice AS x, CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS a,
-                  CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END AS b
-           FROM lineitem WHERE l_linenumber IN (1, 2)),
+@register("wasserstein_unequal", "V2 general form (unequal sizes, CDF gaps; prices of line n vs n+1 per supplier)", """
+WITH u AS (SELECT l_suppkey || ':' || l_linenumber AS k, l_extendedprice AS x, 1 AS a, 0 AS b FROM lineitem
+           UNION ALL
+           SELECT l_suppkey || ':' || (l_linenumber - 1), l_extendedprice, 0, 1 FROM lineitem),
 d AS (SELECT k, x, sum(a) AS da, sum(b) AS db FROM u GROUP BY k, x),
 n AS (SELECT k, sum(da) AS na, sum(db) AS nb FROM d GROUP BY k HAVING sum(da) > 0 AND sum(db) > 0),
 c AS (SELECT d.k, d.x, sum(da) OVER w AS ca, sum(db) OVER w AS cb, lead(d.x) OVER w AS nx, n.na, n.nb
       FROM d JOIN n USING (k) WINDOW w AS (PARTITION BY d.k ORDER BY d.x))
-SELECT k AS l_suppkey, round(sum(CASE WHEN nx IS NULL THEN 0.0 ELSE abs(ca / na - cb / nb) * (nx - x) END), 4)::DOUBLE
+SELECT k AS pair_key, round(sum(CASE WHEN nx IS NULL THEN 0.0 ELSE abs(ca / na - cb / nb) * (nx - x) END), 4)::DOUBLE
   AS wasserstein FROM c GROUP BY k""")
 def wasserstein_unequal(spark, sf):
-    li = tables.table(spark, sf, "lineitem").filter(F.col("l_linenumber").isin(1, 2)).select(
-        F.col("l_suppkey").alias("k"), F.col("l_extendedprice").alias("x"),
-        (F.col("l_linenumber") == 1).cast("long").alias("a"), (F.col("l_linenumber") == 2).cast("long").alias("b"))
+    # each line is in sample "a" of (supplier, its line number) and in sample
+    # "b" of (supplier, its line number - 1): every row is used twice
+    li = tables.table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice")
+    key = lambda n: F.concat_ws(":", F.col("l_suppkey").cast("string"), n.cast("string"))
+    u = li.select(key(F.col("l_linenumber")).alias("k"), F.col("l_extendedprice").alias("x"),
+                  F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(
+        li.select(key(F.col("l_linenumber") - 1).alias("k"), F.col("l_extendedprice").alias("x"),
+                  F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b")))
     from ..operators.distances import wasserstein_long
-    return rounded(wasserstein_long(li, "k", "x", "a", "b").withColumnRenamed("k", "l_suppkey"), 4)
+    return rounded(wasserstein_long(u, "k", "x", "a", "b").withColumnRenamed("k", "pair_key"), 4)
 
 
 @register("wasserstein_equal_sorted", "V2 equal-size form on sorted vectors", f"""

@@ -77,13 +77,6 @@ def attention_states(spark: SparkSession, sf_dir: str) -> DataFrame:
                     softmax(F.col("values")).alias("values"))
 
 
-def unequal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of unequal length: extended prices per (l_suppkey, l_linenumber)."""
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_extendedprice")
-    return li.groupBy("l_suppkey", "l_linenumber").agg(
-        F.array_sort(F.collect_list("l_extendedprice")).alias("values"))
-
-
 # --- ground truth (orders / lineitem / part / customer) ----------------------
 ANN_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
