@@ -57,14 +57,15 @@ def balance_targets(df: DataFrame, label: str) -> DataFrame:
 
 
 def smote(train: DataFrame, id_col: str, label: str, features: list[str], k_max: int = 15,
-          seed: int = 42) -> DataFrame:
+          seed: int = 42, tile_rows: int = 2048) -> DataFrame:
     """Synthetic minority rows up to the majority count.
 
     * k = min(15, smallest class - 1) nearest neighbours (Euclidean) within
-      the class.  Exact: candidate pairs are an equi-join on the class, and
-      only the k best per row survive (``row_number() <= k`` is planned as a
-      per-task group limit before the shuffle).  The pairs of one minority
-      class are the quadratic core of exact SMOTE.
+      the class.  Exact: every row of a class meets every other row of its
+      class, which is the quadratic core of exact SMOTE; the work is tiled
+      by (class, tile) so a large class spreads over ceil(n / tile_rows)
+      tasks, and only the k best per row leave a task (``row_number() <= k``
+      is planned as a per-task group limit before the shuffle).
     * each row of a class gets ``deficit // n`` copies, the first
       ``deficit % n`` rows one more (round robin by hashed order);
     * copy j of row x picks neighbour ``md5(id, j) % k`` and
@@ -78,13 +79,20 @@ def smote(train: DataFrame, id_col: str, label: str, features: list[str], k_max:
     k = max(1, min(k_max, (kmin or 1) - 1))
     need = tg.filter(F.col("deficit") > 0).select(label, "n", "deficit")
     minority = base.join(need, label)
-    # exact kNN inside each minority class
-    a = minority.select(F.col(id_col).alias("_a"), label, F.col("_x").alias("_xa"))
-    b = minority.select(F.col(id_col).alias("_b"), label, F.col("_x").alias("_xb"))
+    # exact kNN inside each minority class, tiled so that no task holds a
+    # whole class: a row of the class goes to one of T tiles (by hash), the
+    # candidate side is copied to all T tiles, T = ceil(n / tile_rows)
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(tile_rows))).cast("int")
+    a = minority.select(F.col(id_col).alias("_a"), label, F.col("_x").alias("_xa"),
+                        F.pmod(F.xxhash64(F.col(id_col)), tiles).cast("int").alias("_tile"))
+    b = minority.select(F.col(id_col).alias("_b"), label, F.col("_x").alias("_xb"),
+                        F.explode(F.sequence(F.lit(0), tiles - 1)).alias("_tile"))
     d2 = F.aggregate(F.zip_with("_xa", "_xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, label).filter(F.col("_a") != F.col("_b")).select("_a", "_b", "_xb", d2.alias("_d"))
+    pairs = a.join(b, [label, "_tile"]).filter(F.col("_a") != F.col("_b")).select("_a", "_b", "_xb", d2.alias("_d"))
     w = Window.partitionBy("_a").orderBy("_d", "_b")
-    nn = pairs.withColumn("_nn", (F.row_number().over(w) - 1).cast("int")).filter(F.col("_nn") < k)
+    # filter on the row_number itself so Spark inserts a per-task group limit
+    nn = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k) \
+              .withColumn("_nn", (F.col("_rn") - 1).cast("int")).drop("_rn")
     # copies per row, round robin in hashed order
     ranked = ordered_index(minority.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"),
                                                                        F.lit(str(seed))))),
