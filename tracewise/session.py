@@ -69,6 +69,13 @@ def materialize(df):
     For intermediates that feed several branches of one plan (tokens,
     chunks, reference terms): without it each branch re-runs the whole
     lineage.  A reliable checkpoint also bounds recomputation after an
-    executor loss.
+    executor loss.  The frame is persisted while the checkpoint is written,
+    so the checkpoint job reads the computed blocks instead of recomputing
+    the lineage; the blocks are released once the checkpoint files exist.
     """
-    return cut_lineage(df, eager=True)
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cut_lineage(df, eager=True)
+    finally:
+        df.unpersist()
