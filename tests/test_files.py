@@ -41,3 +41,21 @@ def test_feature_csv_roundtrip(spark, scratch):
     files.write_feature_csv(df, p, mode="overwrite")
     back = files.load_features(spark, p).first()
     assert back.feature_60 == "[0.1,0.3]"
+
+
+def test_bundle_truth_folder_and_model(spark, scratch):
+    import json as _json
+    df = spark.createDataFrame([(1, "a.jpg", "m1.csv", "cap"), (2, "b.jpg", "m2.csv", "")],
+                               "sample_id long, image_filename string, source_file string, ground_truth string")
+    files.write_feature_bundle(df, os.path.join(scratch, "bundle"), {"model": "m", "n": 2})
+    meta = _json.loads(spark.read.text(os.path.join(scratch, "bundle", "metadata")).first().value)
+    assert meta["model"] == "m" and "extraction_timestamp" in meta
+    files.write_truth_joined(df, os.path.join(scratch, "joined"))
+    parts = sorted(d for d in os.listdir(os.path.join(scratch, "joined")) if d.startswith("source_file="))
+    assert parts == ["source_file=m1.csv", "source_file=m2.csv"]
+    from tracewise.operators import learn
+    t = spark.createDataFrame([(0.0, 0), (1.0, 1), (0.1, 0), (0.9, 1)], "x double, label_idx int")
+    m = learn.fit(t, ["x"], "label_idx", None, family="binomial", max_iter=5)
+    files.save_model(m, t.groupBy("label_idx").count(), os.path.join(scratch, "model"))
+    from pyspark.ml import PipelineModel
+    assert PipelineModel.load(os.path.join(scratch, "model", "model")).stages

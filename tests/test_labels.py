@@ -59,3 +59,18 @@ def test_label_plan_has_no_cartesian(spark):
     lab = _label(spark, [(1, "A red bolt on a blue ring.")], [(1, 0, "A red bolt.")])
     plan = lab._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_hot_sample_long_text(spark):
+    # one sample with a very long text next to ordinary ones
+    long_text = " ".join(["A red bolt on a blue ring."] * 400 + ["The small gear holding the widget."] * 300)
+    gen = [(1, long_text)] + [(i, "A red bolt on a blue ring.") for i in range(2, 40)]
+    refs = [(1, 0, "A red bolt on a old ring."), (1, 1, "The gear near the rod.")] + \
+           [(i, 0, "A red bolt.") for i in range(2, 40)]
+    lab = _label(spark, gen, refs)
+    hot = lab.filter("sample_id = 1")
+    # duplicates collapse to the first mention: each distinct chunk once
+    got = {(r.chunk_type, r.chunk_text): r.chunk_label for r in hot.collect()}
+    assert got[("attribute", "blue ring")] == "ATTRIBUTE_HALLUC" and got[("object", "widget")] == "CATEGORY_HALLUC"
+    assert sorted(r.chunk_idx for r in hot.collect()) == list(range(hot.count()))
+    assert lab.filter("sample_id = 5 AND chunk_text = 'ring'").first().chunk_label == "CATEGORY_HALLUC"
