@@ -11,7 +11,8 @@ and its output is the ``tokens`` table.  This default tagger is a Spark job:
   or verb just before it when no noun lies between (its object), else to the
   one just after it (its subject); everything else is a root.
 
-All windows are per text and sentence, so no group is larger than one text.
+All windows share one spec (per text, in piece order), so tagging sorts once
+and no group is larger than one text.
 """
 
 from __future__ import annotations
@@ -41,20 +42,35 @@ def tag(df: DataFrame, ids: list[str], text_col: str = "text") -> DataFrame:
             .when(lw.isin(*TAGGER_PREPOSITIONS), "ADP").when(lw.isin(*ACTION_RELATIONS), "VERB")
             .when(lw.isin(*TAGGER_DETERMINERS), "DET")
             .when(~F.col("piece").rlike(f"[{PY_WORD}]"), "PUNCT").otherwise("X"))
-    t = t.select(*ids, "tok_idx", F.col("piece").alias("text"), lw.alias("lemma"), pos.alias("pos"),
+    t = t.select(*ids, "pi", "tok_idx", F.col("piece").alias("text"), lw.alias("lemma"), pos.alias("pos"),
                  "char_start", (F.col("char_start") + F.length("piece")).cast("int").alias("char_end"),
                  lw.isin(*TAGGER_STOP_WORDS).alias("is_stop"))
-    ends = F.col("text").isin(".", "!", "?").cast("int")
-    t = t.withColumn("sent", F.coalesce(F.sum(ends).over(
-        Window.partitionBy(*ids).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ws = Window.partitionBy(*ids, "sent").orderBy("tok_idx")
-    after, before = ws.rowsBetween(1, Window.unboundedFollowing), ws.rowsBetween(Window.unboundedPreceding, -1)
+    # one window spec (text ordered by piece) for every step, so one sort:
+    # "same sentence" is checked against the nearest sentence end instead of
+    # partitioning by a sentence number
+    wp = Window.partitionBy(*ids).orderBy("pi")
+    after, before = wp.rowsBetween(1, Window.unboundedFollowing), wp.rowsBetween(Window.unboundedPreceding, -1)
     is_noun = F.col("pos").isin("NOUN", "PROPN")
     is_rel = F.col("pos").isin("ADP", "VERB")
-    t = (t.withColumn("_nn", F.first(F.when(is_noun, F.col("tok_idx")), ignorenulls=True).over(after))
-          .withColumn("_pn", F.last(F.when(is_noun, F.col("tok_idx")), ignorenulls=True).over(before))
-          .withColumn("_nr", F.first(F.when(is_rel, F.col("tok_idx")), ignorenulls=True).over(after))
-          .withColumn("_pr", F.last(F.when(is_rel, F.col("tok_idx")), ignorenulls=True).over(before)))
+    is_end = F.col("text").isin(".", "!", "?")
+
+    def nxt(c):
+        return F.first(F.when(c, F.col("tok_idx")), ignorenulls=True).over(after)
+
+    def prv(c):
+        return F.last(F.when(c, F.col("tok_idx")), ignorenulls=True).over(before)
+
+    t = t.select("*", nxt(is_noun).alias("_nn0"), prv(is_noun).alias("_pn0"), nxt(is_rel).alias("_nr0"),
+                 prv(is_rel).alias("_pr0"), nxt(is_end).alias("_ne"), prv(is_end).alias("_pe"))
+
+    def same_next(c):
+        return F.when(F.col(c).isNotNull() & (F.col("_ne").isNull() | (F.col(c) < F.col("_ne"))), F.col(c))
+
+    def same_prev(c):
+        return F.when(F.col(c).isNotNull() & (F.col("_pe").isNull() | (F.col(c) > F.col("_pe"))), F.col(c))
+
+    t = t.select("*", same_next("_nn0").alias("_nn"), same_prev("_pn0").alias("_pn"),
+                 same_next("_nr0").alias("_nr"), same_prev("_pr0").alias("_pr"))
     obj_of = F.col("_pr").isNotNull() & (F.col("_pn").isNull() | (F.col("_pn") < F.col("_pr")))
     subj_of = F.col("_nr").isNotNull() & (F.col("_nn").isNull() | (F.col("_nn") > F.col("_nr")))
     head = (F.when(F.col("pos").isin("ADJ", "DET") & F.col("_nn").isNotNull(), F.col("_nn"))
