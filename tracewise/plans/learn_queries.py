@@ -9,6 +9,7 @@ from ..operators import labelling, layers, learn, prep, report, traces
 from ..sources import fixtures, tables
 from ..functions.text import repetition_features, words
 from .registry import register, rounded
+from .label_queries import LABELS_EXACT
 from .trace_queries import PROB_TRACE
 
 CLASSES = ["CORRECT", "CATEGORY_HALLUC", "ATTRIBUTE_HALLUC", "RELATION_HALLUC"]
@@ -221,7 +222,11 @@ def permutation_importance(spark, sf):
         groups.select(F.lit(None).cast("int").alias("rank"), F.col("group").alias("feature"), "importance"))
 
 
-@register("run_summary", "A27 M14 U1 (per model x dataset totals and label mix, exact rules)")
+@register("run_summary", "A27 M14 U1 (per model x dataset totals and label mix, exact rules)", LABELS_EXACT + """
+SELECT o.o_orderpriority AS model_name, o.o_orderstatus AS dataset, count(*) AS total_chunks,
+       count(DISTINCT l.sample_id) AS total_samples,
+       round(avg(CASE WHEN l.chunk_label = 'CORRECT' THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS correct_rate
+FROM labels l JOIN orders o ON o.o_orderkey = l.sample_id GROUP BY 1, 2""")
 def run_summary(spark, sf):
     li = labelling.prepare(fixtures.generations(spark, sf), fixtures.references(spark, sf))
     lab = labelling.label(li, fuzzy=False)
