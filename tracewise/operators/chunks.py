@@ -70,26 +70,35 @@ def extract_chunks(tokens: DataFrame, texts: DataFrame, text_col: str = "generat
 
     * union of the three kinds (object -> attribute -> relation order);
     * keep the first chunk per case-insensitive text, dropping texts of
-      two or fewer characters (a group-by ``min`` over (type, token) - no
-      per-sample sort);
+      two or fewer characters (a group-by ``min`` over (type, token));
     * ``chunk_idx`` by (start, type, token) within the sample;
     * a sample with no chunk gets one object chunk: the whole text at 0.
+
+    The union is hash-partitioned by sample once; the de-duplication and the
+    ordering window reuse that partitioning (a sample is one text, so no
+    group is larger than one input row).  Every text also contributes a
+    default candidate that sorts after all real chunks and is kept only when
+    its sample has none, which avoids an anti-join.
     """
     u = object_chunks(tokens).unionByName(attribute_chunks(tokens)).unionByName(relation_chunks(tokens))
-    u = u.filter(F.length(strip(F.col("chunk_text"))) > 2)
+    u = u.filter(F.length(strip(F.col("chunk_text"))) > 2).repartition(KEY)
     first = u.groupBy(KEY, F.lower("chunk_text").alias("_lt")).agg(
         F.min(F.struct("type_rank", "tok_key", *[c for c in CHUNK_COLS if c not in ("type_rank", "tok_key")])
               ).alias("_c"))
-    ch = first.select(KEY, *[F.col(f"_c.{c}").alias(c) for c in CHUNK_COLS])
+    ch = first.select(KEY, *[F.col(f"_c.{c}").alias(c) for c in CHUNK_COLS], F.lit(False).alias("_dflt"))
     t = texts.select(KEY, F.col(text_col).alias("_gen")).filter(F.col("_gen").isNotNull() & (F.col("_gen") != ""))
-    default = t.join(ch.select(KEY).distinct(), KEY, "left_anti").select(
+    default = t.select(
         KEY, F.col("_gen").alias("chunk_text"), F.lit("object").alias("chunk_type"), F.lit(0).alias("type_rank"),
         F.lit(-1).alias("tok_key"), F.lit(0).alias("start"), F.length("_gen").alias("end"),
         F.lit(None).cast("string").alias("attribute"), F.lit(None).cast("string").alias("object"),
-        F.lit(None).cast("string").alias("relation"), F.lit(None).cast("array<string>").alias("objects"))
+        F.lit(None).cast("string").alias("relation"), F.lit(None).cast("array<string>").alias("objects"),
+        F.lit(True).alias("_dflt"))
     ch = ch.unionByName(default)
-    w = Window.partitionBy(KEY).orderBy("start", "type_rank", "tok_key")
-    return ch.withColumn("chunk_idx", (F.row_number().over(w) - 1).cast("int"))
+    sort_start = F.when(F.col("_dflt"), F.lit(2 ** 31 - 1)).otherwise(F.col("start"))
+    w = Window.partitionBy(KEY).orderBy(sort_start, "type_rank", "tok_key")
+    real = F.count(F.when(~F.col("_dflt"), F.lit(1))).over(Window.partitionBy(KEY))
+    ch = ch.withColumn("chunk_idx", (F.row_number().over(w) - 1).cast("int")).withColumn("_real", real)
+    return ch.filter(~F.col("_dflt") | (F.col("_real") == 0)).drop("_dflt", "_real")
 
 
 def chunk_features(chunks: DataFrame, texts: DataFrame, text_col: str = "generated_description") -> DataFrame:
