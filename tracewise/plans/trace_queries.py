@@ -182,3 +182,23 @@ def trace_row_features(spark, sf):
     keep = ["feature_66", "feature_67", "feature_68", "feature_69", "feature_70", "median", "iqr",
             "norm_entropy", "mean_grad", "largest_window_drop"]
     return rounded(a.select("sample_id", *[f[k].alias(k) for k in keep]))
+
+
+@register("trace_list_order", "feature_60/61 lists: length, first, last and sum (order and content)", f"""
+WITH {PROB_TRACE}
+SELECT sample_id, count(*)::INTEGER AS n_steps,
+  round(arg_min(p_max, step), 6) AS first_max, round(arg_max(p_max, step), 6) AS last_max,
+  round(arg_min(p_min, step), 6) AS first_min, round(arg_max(p_min, step), 6) AS last_min,
+  round(sum(p_max), 4) AS sum_max, round(sum(p_min), 4) AS sum_min
+FROM prob_trace GROUP BY sample_id""")
+def trace_list_order(spark, sf):
+    t = traces.trace_arrays(_trace(spark, sf))
+    s = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    r6 = rounded(t.select("sample_id", F.size("feature_60").alias("n_steps"),
+                          F.element_at("feature_60", 1).alias("first_max"),
+                          F.element_at("feature_60", -1).alias("last_max"),
+                          F.element_at("feature_61", 1).alias("first_min"),
+                          F.element_at("feature_61", -1).alias("last_min")))
+    r4 = rounded(t.select("sample_id", s(F.col("feature_60")).alias("sum_max"),
+                          s(F.col("feature_61")).alias("sum_min")), 4)
+    return r6.join(r4, "sample_id")
