@@ -153,11 +153,16 @@ def probability_feature_block(spark, sf):
     return rounded(traces.probability_block(_trace(spark, sf)))
 
 
-@register("trace_lists", "feature_60/61 as ordered lists (S12 form)")
+@register("trace_lists", "feature_60/61 as ordered lists (S12 form), elements rounded", f"""
+WITH {PROB_TRACE}
+SELECT sample_id, count(*)::INTEGER AS n_steps,
+  list(round(p_max, 6) ORDER BY step) AS feature_60, list(round(p_min, 6) ORDER BY step) AS feature_61
+FROM prob_trace GROUP BY sample_id""")
 def trace_lists(spark, sf):
     t = traces.trace_arrays(_trace(spark, sf))
+    r = lambda c: F.transform(c, lambda x: F.round(x, 6))
     return t.select("sample_id", F.size("feature_60").alias("n_steps"),
-                    F.to_json("feature_60").alias("feature_60"), F.to_json("feature_61").alias("feature_61"))
+                    r(F.col("feature_60")).alias("feature_60"), r(F.col("feature_61")).alias("feature_61"))
 
 
 @register("trace_row_features", "X1 form (per-row array features == grouped features)", f"""
