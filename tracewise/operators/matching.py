@@ -90,7 +90,7 @@ def _substrings(s, lo: int, hi):
 
 # ---------------------------------------------------------------- C5
 def object_exists(terms: DataFrame, gt_objects: DataFrame, fuzzy: bool = True,
-                  scored: DataFrame | None = None) -> DataFrame:
+                  scored: DataFrame | None = None, fuzzy_found: DataFrame | None = None) -> DataFrame:
     """(sample_id, term, exists) for distinct (sample, term).
 
     A term exists when any holds: it is a generic scene word; equal to a
@@ -129,7 +129,8 @@ def object_exists(terms: DataFrame, gt_objects: DataFrame, fuzzy: bool = True,
     hits = hits.distinct()
     if fuzzy:
         rest = t.join(hits, [KEY, "term"], "left_anti")
-        fz = fuzzy_hits(rest.select(KEY, "term", "_ol"), "_ol", g, "_gl", 0.7, scored)
+        fz = (fuzzy_found if fuzzy_found is not None
+              else fuzzy_hits(rest.select(KEY, "term", "_ol"), "_ol", g, "_gl", 0.7, scored))
         hits = hits.unionByName(rest.join(fz, [KEY, "_ol"]).select(KEY, "term")).distinct()
     return t.join(hits.withColumn("exists", F.lit(True)), [KEY, "term"], "left").select(
         KEY, "term", F.coalesce(F.col("exists"), F.lit(False)).alias("exists"))
@@ -155,15 +156,30 @@ def label_chunks(chunks: DataFrame, gt_objects: DataFrame, gt_attrs: DataFrame,
     at = c.filter(F.col("chunk_type") == "attribute").select(KEY, F.lower(strip(F.col("attribute"))).alias("_al"))
     at = at.distinct()
     rt = c.filter(F.col("chunk_type") == "relation").select(KEY, F.lower("relation").alias("_rl")).distinct()
-    scored = None
+    fz_obj = fz_m08 = fz_oth = fz_rel = None
     if fuzzy:
-        # every string pair any fuzzy stage may need, scored in one pass
+        # every candidate pair of every fuzzy stage, tagged by stage, built
+        # and scored once (one UDF pass over distinct strings), then filtered
         tl = terms.select(KEY, F.lower(strip(F.col("term"))).alias("_a"))
         cand = candidate_pairs(tl, "_a", gt_objects.select(KEY, F.lower("obj").alias("_b")), "_b", 0.7) \
-            .unionByName(candidate_pairs(at, "_al", gt_attrs, "attr", 0.7)) \
-            .unionByName(candidate_pairs(rt, "_rl", gt_rels, "rel", 0.7))
-        scored = materialize(score_pairs(cand))
-    ex = object_exists(terms.select(KEY, "term"), gt_objects, fuzzy, scored)
+            .withColumn("_kind", F.lit("obj")) \
+            .unionByName(candidate_pairs(at, "_al", gt_attrs, "attr", 0.7).withColumn("_kind", F.lit("attr"))) \
+            .unionByName(candidate_pairs(rt, "_rl", gt_rels, "rel", 0.7).withColumn("_kind", F.lit("rel")))
+        cand = materialize(cand)
+        scored = cand.join(score_pairs(cand), ["_a", "_b"])
+        scored = materialize(scored)
+
+        def found(kind, thr, col, extra=None):
+            f = scored.filter((F.col("_kind") == kind) & (F.col("_r") >= thr))
+            if extra is not None:
+                f = f.filter(extra)
+            return f.select(KEY, F.col("_a").alias(col)).distinct()
+        fz_obj = found("obj", 0.7, "_ol")
+        fz_m08 = found("attr", 0.8, "_al")
+        # words under "other" are exactly the reference attributes outside the lexicons
+        fz_oth = found("attr", 0.7, "_al", attribute_category(F.col("_b")).isNull())
+        fz_rel = found("rel", 0.7, "_rl")
+    ex = object_exists(terms.select(KEY, "term"), gt_objects, fuzzy, fuzzy_found=fz_obj)
     per_chunk = terms.join(ex, [KEY, "term"]).groupBy(KEY, "chunk_idx").agg(
         F.min(F.col("exists").cast("int")).alias("_all_exist"))
     c = c.join(per_chunk, [KEY, "chunk_idx"], "left").withColumn(
@@ -176,8 +192,8 @@ def label_chunks(chunks: DataFrame, gt_objects: DataFrame, gt_attrs: DataFrame,
     stats = ga.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n_attr"),
                                 F.count_if(F.col("category") == "other").alias("_n_other"))
     if fuzzy:
-        m08 = fuzzy_hits(at, "_al", ga, "attr", 0.8, scored)
-        oth = fuzzy_hits(at, "_al", ga.filter(F.col("category") == "other"), "attr", 0.7, scored)
+        m08 = fz_m08
+        oth = fz_oth
     else:
         m08 = exact.limit(0)
         oth = exact.limit(0)
@@ -196,7 +212,7 @@ def label_chunks(chunks: DataFrame, gt_objects: DataFrame, gt_attrs: DataFrame,
     # relation test, per (sample, relation word)
     gr = gt_rels.select(KEY, "rel")
     r_exact = rt.join(gr.select(KEY, F.col("rel").alias("_rl")), [KEY, "_rl"]).select(KEY, "_rl")
-    r_hits = r_exact.unionByName(fuzzy_hits(rt, "_rl", gr, "rel", 0.7, scored)) if fuzzy else r_exact
+    r_hits = r_exact.unionByName(fz_rel) if fuzzy else r_exact
     rt = rt.join(r_hits.distinct().withColumn("_rel_ok", F.lit(True)), [KEY, "_rl"], "left")
     c = c.withColumn("_rl", F.lower("relation")).join(rt, [KEY, "_rl"], "left")
 
