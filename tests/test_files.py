@@ -11,13 +11,13 @@ def _csv(path, header, rows):
 
 
 def test_feature_folder_skips_and_names(spark, scratch):
-    _csv(os.path.join(scratch, "image_hallushift_features_llava_mscoco_with_gt.csv"),
+    _csv(os.path.join(scratch, "image_signal_features_llava_mscoco_with_gt.csv"),
          "feature_0,image_filename,ground_truth_1", ["0.5,a.jpg,cap"])
     _csv(os.path.join(scratch, "bad.csv"), "feature_0,image_filename", ["0.1,b.jpg"])
-    df, st = files.load_feature_folder(spark, scratch, "mscoco", prefix="image_hallushift_features_")
+    df, st = files.load_feature_folder(spark, scratch, "mscoco", prefix="image_signal_features_")
     assert [r.model_name for r in df.collect()] == ["llava_mscoco"]
     assert {os.path.basename(r.path): r.loaded for r in st.collect()} == \
-        {"image_hallushift_features_llava_mscoco_with_gt.csv": True, "bad.csv": False}
+        {"image_signal_features_llava_mscoco_with_gt.csv": True, "bad.csv": False}
 
 
 def test_results_log_schema_union(spark, scratch):
