@@ -166,9 +166,45 @@ def _feature_rows(spark, sf):
     return feat.assemble(names, blocks, lists=traces.trace_arrays(t), required=docs.select("sample_id"))
 
 
-@register("feature_rows", "V16 P15 S12 (74 features + metadata per sample; missing -> zeros, is_failed)")
+def _feature_rows_sql() -> str:
+    """Each block's own oracle query as a subquery, left-joined to the samples."""
+    from .registry import all_queries
+    from .vector_queries import STATES, _shift_sql, _wide_sql
+    q = {n: v.sql for n, v in all_queries().items()}
+    hidden = f"WITH {STATES}, {_shift_sql(0)}\n{_wide_sql(0)}"
+    blocks = [hidden, q["attention_layer_shift"], q["step_consistency"], q["attention_concentration"],
+              q["trace_confidence_block"]]
+    joins = "\n".join(f"LEFT JOIN ({b}) b{i} USING (sample_id)" for i, b in enumerate(blocks))
+    rep = ("SELECT doc_id AS sample_id, feature_71, feature_72, feature_73 FROM ("
+           + q["text_repetition"] + ") r")
+    feats = []
+    for i in range(74):
+        if i in (60, 61):
+            feats.append(f"CASE WHEN d.sample_id IS NULL THEN []::DOUBLE[] ELSE coalesce(tl.feature_{i}, []::DOUBLE[]) "
+                         f"END AS feature_{i}")
+        else:
+            feats.append(f"CASE WHEN d.sample_id IS NULL THEN 0.0 ELSE round(coalesce(feature_{i}, 0.0), 6) END::DOUBLE "
+                         f"AS feature_{i}")
+    return f"""
+WITH s AS (SELECT DISTINCT user_id AS sample_id FROM events),
+d AS (SELECT doc_id AS sample_id, text FROM documents),
+tl AS ({q["trace_lists"]}),
+rp AS ({rep})
+SELECT s.sample_id, {", ".join(feats)},
+  'sample_' || CAST(s.sample_id AS VARCHAR) AS image_name,
+  'sample_' || CAST(s.sample_id AS VARCHAR) || '.txt' AS image_filename,
+  'sample_' || CAST(s.sample_id AS VARCHAR) AS image_path,
+  coalesce(d.text, '') AS generated_description, d.sample_id IS NULL AS is_failed
+FROM s {joins}
+LEFT JOIN rp USING (sample_id) LEFT JOIN tl USING (sample_id) LEFT JOIN d USING (sample_id)"""
+
+
+@register("feature_rows", "V16 P15 S12 (74 features + metadata per sample; missing -> zeros, is_failed)",
+          _feature_rows_sql())
 def feature_rows(spark, sf):
-    return feat.to_csv_row(_feature_rows(spark, sf))
+    r = _feature_rows(spark, sf)
+    rnd = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    return rounded(r.withColumns({"feature_60": rnd(F.col("feature_60")), "feature_61": rnd(F.col("feature_61"))}))
 
 
 def chunk_dataset(spark, sf):
