@@ -241,13 +241,30 @@ def multiclass_matrix(spark, sf):
                     .alias("x"), F.lit(len(cols)).alias("n_columns"))
 
 
-@register("binary_matrix", "M3 P9 P8 (binary and base feature sets)")
+def _binary_matrix_sql() -> str:
+    base = _feature_rows_sql()
+    def col(i):
+        if i in (60, 61):
+            # the list text parses back to its mean; an empty list is NaN
+            return (f"CASE WHEN len(feature_{i}) = 0 THEN 'nan'::DOUBLE "
+                    f"ELSE round(list_sum(feature_{i}) / len(feature_{i}), 6) END")
+        return f"feature_{i}"
+    xb = ", ".join(col(i) for i in list(range(62)) + [68, 69, 71])
+    xs = ", ".join(col(i) for i in range(62))
+    return f"SELECT sample_id, [{xb}] AS x_binary, [{xs}] AS x_base FROM ({base}) fr"
+
+
+@register("binary_matrix", "M3 P9 P8 V9 (binary and base feature sets; list features parsed to their mean)",
+          _binary_matrix_sql())
 def binary_matrix(spark, sf):
-    fr = feat.to_csv_row(_feature_rows(spark, sf))
+    r = _feature_rows(spark, sf)
+    rnd = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    fr = feat.to_csv_row(r.withColumns({"feature_60": rnd(F.col("feature_60")),
+                                        "feature_61": rnd(F.col("feature_61"))}))
     b = feat.preprocess(fr, "binary")
-    base = feat.selected_features("base", fr.columns)
-    return b.select("sample_id", F.array(*[F.col(c) for c in feat.matrix_columns(b, "binary")]).alias("x_binary"),
-                    F.array(*[F.col(c).cast("string") for c in base]).alias("x_base_text"))
+    base = feat.selected_features("base", b.columns)
+    arr = lambda cols: rnd(F.array(*[F.col(c).cast("double") for c in cols]))
+    return b.select("sample_id", arr(feat.matrix_columns(b, "binary")).alias("x_binary"), arr(base).alias("x_base"))
 
 
 def _train_eval(spark, sf):
