@@ -92,3 +92,20 @@ def test_coqa_json(spark, scratch):
     assert rows["s1_0"].story == "S."
     assert rows["s1_1"].story == "S. Q: q0 A: a0."
     assert rows["s1_1"].additional_answers == ["y", "y", "y"]
+
+
+def test_load_qa_dataset_rules(spark, scratch):
+    import os
+    trivia = spark.createDataFrame([("q1", "a?"), ("q1", "dup?"), ("q2", "b?"), ("q3", "c?")],
+                                   "question_id string, question string")
+    tp = os.path.join(scratch, "trivia")
+    trivia.coalesce(1).write.parquet(tp)
+    got = samples.load_qa_dataset(spark, "triviaqa", tp, max_samples=2).orderBy("idx").collect()
+    assert [(r.name, r.question) for r in got] == [("triviaqa_sample_0", "a?"), ("triviaqa_sample_1", "b?")]
+    tydi = spark.createDataFrame([("english-1", "x"), ("french-2", "y"), ("english-3", "z")], "id string, question string")
+    yp = os.path.join(scratch, "tydi")
+    tydi.coalesce(1).write.parquet(yp)
+    got = samples.load_qa_dataset(spark, "tydiqa", yp).orderBy("idx").collect()
+    assert [(r.name, r.id) for r in got] == [("tydiqa_sample_0", "english-1"), ("tydiqa_sample_1", "english-3")]
+    with pytest.raises(ValueError):
+        samples.load_qa_dataset(spark, "nope", yp)
