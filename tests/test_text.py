@@ -109,3 +109,12 @@ def test_load_qa_dataset_rules(spark, scratch):
     assert [(r.name, r.id) for r in got] == [("tydiqa_sample_0", "english-1"), ("tydiqa_sample_1", "english-3")]
     with pytest.raises(ValueError):
         samples.load_qa_dataset(spark, "nope", yp)
+
+
+def test_apply_per_item_hook(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id long, text string").repartition(3)
+
+    def fn(pdf):
+        return pdf.assign(n=pdf["text"].str.len())[["id", "n"]]
+    out = samples.apply_per_item(df, fn, "id long, n long")
+    assert sorted((r.id, r.n) for r in out.collect()) == [(i, len(f"t{i}")) for i in range(20)]
