@@ -3,7 +3,7 @@
 1. A rolling (gear) hash over the text proposes cuts, moved to the next white
    space; every chunk's hash is counted over all documents.
 2. The hashes found more than once set bits of a fixed-size bitmap, the only
-   thing broadcast (``BITMAP_BITS`` / 8 bytes at any corpus size).  A false
+   thing broadcast (8 MB at any corpus size).  A false
    bit only sends one more chunk through step 4.
 3. Documents without a shared chunk are encoded and digested in that same
    pass.  The others become segments: shared chunks, and the runs between.
@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codecs import Codec, codec
-from .common import narrow, record_batch, stored, text_slices, texts_of
+from .common import bitmap_has, narrow, record_batch, repeat_bitmap, stored, text_slices, texts_of
 
-BITMAP_BITS = 1 << 26
 CHUNK_BITS = 10  # one cut in 2**10 bytes on average
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -63,12 +62,8 @@ def _digest(chunk: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _bit(h: int) -> int:
-    return h & (BITMAP_BITS - 1)
-
-
 def shared_bitmap(docs: DataFrame, bits: int = CHUNK_BITS) -> bytes:
-    """Bitmap of the chunk hashes that occur more than once; always BITMAP_BITS / 8 bytes."""
+    """Bitmap of the chunk hashes that occur more than once."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
@@ -77,14 +72,7 @@ def shared_bitmap(docs: DataFrame, bits: int = CHUNK_BITS) -> bytes:
             keys, n = np.unique(np.array(h, dtype=np.int64), return_counts=True)
             yield record_batch(schema, {"h": keys, "n": n})
 
-    found = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    place = found.select(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("p"))
-    rows = (place.groupBy(F.floor(F.col("p") / 32768).alias("k"))
-            .agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("bits")).collect())
-    out = bytearray(BITMAP_BITS // 8)
-    for r in rows:
-        out[r["k"] * 4096:(r["k"] + 1) * 4096] = r["bits"]
-    return bytes(out)
+    return repeat_bitmap(docs.mapInArrow(count, "h long, n long"))
 
 
 def _outer_words(text: str, words: int, tail: bool) -> str:
@@ -183,7 +171,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, bits: int = CHUNK_BITS, id_co
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 parts, key = _chunks(text.encode(), bits), key + 1
                 marks = [_digest(p) for p in parts]
-                hot = [flags[_bit(h) >> 3] >> (_bit(h) & 7) & 1 for h, _ in marks]
+                hot = bitmap_has(flags, np.array([h for h, _ in marks], dtype=np.int64)).tolist()
                 if not any(hot):
                     ids = c.encode(text)
                     put(key, doc_id, -1, None, None, None, ids.tobytes() if with_ids else None, *_summary(c, ids))

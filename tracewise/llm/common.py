@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -35,11 +36,20 @@ def id_remainder(id_col: str, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of Arrow batches whose ``text`` holds about ``most_bytes``
+ROW_KEY = "__row_key"
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Never null; equal for rows that repeat both id and text."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    return F.concat_ws("|", part(F.col(id_col)), part(F.octet_length(F.col(text_col))), part(F.xxhash64(F.col(text_col)))).alias(ROW_KEY)
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, text_col: str = "text") -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of Arrow batches whose text column holds about ``most_bytes``
     (one longer text stands alone), which bounds a task's memory."""
     for batch in batches:
-        sizes = [n or 0 for n in pa.compute.binary_length(batch.column("text")).to_pylist()]
+        sizes = [n or 0 for n in pa.compute.binary_length(batch.column(text_col)).to_pylist()]
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > most_bytes:
@@ -50,10 +60,34 @@ def text_slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) ->
             yield batch.slice(start)
 
 
-def texts_of(batch: pa.RecordBatch) -> list[str]:
+def texts_of(batch: pa.RecordBatch, text_col: str = "text") -> list[str]:
     """The texts of a batch; null reads as the empty text."""
-    return [t or "" for t in batch.column("text").to_pylist()]
+    return [t or "" for t in batch.column(text_col).to_pylist()]
 
 
 def record_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+BITMAP_BITS = 1 << 26
+
+
+def repeat_bitmap(counts: DataFrame) -> bytes:
+    """Bitmap of the hashes ``h`` whose counts ``n`` sum to more than one.
+
+    Its BITMAP_BITS / 8 bytes do not grow with the data.  Two hashes may share
+    a bit, so a set bit means "perhaps repeated", a clear one "surely not".
+    """
+    repeated = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    place = repeated.select(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("p"))
+    rows = (place.groupBy(F.floor(F.col("p") / 32768).alias("k"))
+            .agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("bits")).collect())  # 4 KB each, BITMAP_BITS / 32768 at most
+    out = bytearray(BITMAP_BITS // 8)
+    for r in rows:
+        out[r["k"] * 4096:(r["k"] + 1) * 4096] = r["bits"]
+    return bytes(out)
+
+
+def bitmap_has(bitmap: bytes, h: np.ndarray) -> np.ndarray:
+    p = h & (BITMAP_BITS - 1)
+    return (np.frombuffer(bitmap, dtype=np.uint8)[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)

@@ -210,3 +210,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
                     F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                     ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))).alias("contaminated"),
                     F.size("near_items").cast("long").alias("n_near")))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, less the contaminated ones."""
+    bad = contamination(docs, items, id_col=id_col, text_col=text_col, **limits).filter("contaminated")
+    bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    return docs.join(bad, same, "left_anti")

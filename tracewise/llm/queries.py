@@ -12,7 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewise.sources.tables import table
 
-from . import chunk_reuse, decontamination, simhash, token_counts, token_files
+from . import (
+    chunk_reuse,
+    decontamination,
+    language_id,
+    language_model,
+    quality,
+    simhash,
+    substring_dedup,
+    token_counts,
+    token_files,
+    warc,
+)
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,10 +42,30 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_reuse.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
@@ -69,9 +100,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_decontamination": op1_decontamination, "op3_simhash_near_dedup": op3_simhash_near_dedup,
-            "op8_bpe_encode_decode": op8_bpe_encode_decode, "op9_token_counts": op9_token_counts,
-            "op10_token_id_output": op10_token_id_output}
+    every = [op1_decontamination, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_warc,
+             op7_quality_rules, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

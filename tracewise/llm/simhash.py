@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, record_batch, stored, text_slices, texts_of
+from .common import ROW_KEY, narrow, record_batch, row_key, stored, text_slices, texts_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -166,17 +166,20 @@ def close_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, row_key, fp) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in text_slices(batches):
-            yield record_batch(schema, {"doc_id": batch.column("doc_id"), "fp": [simhash(t, shingle, seed) for t in texts_of(batch)]})
+            yield record_batch(schema, {"doc_id": batch.column("doc_id"), "row_key": batch.column(ROW_KEY),
+                                        "fp": [simhash(t, shingle, seed) for t in texts_of(batch)]})
 
-    return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    d = narrow(docs, id_col, text_col)
+    return d.select("doc_id", "text", row_key("doc_id", "text")).mapInArrow(run, "doc_id long, row_key string, fp long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id and group_fp of every row.
+    """doc_id, row_key, fingerprint, component_id and group_fp of every row.
 
     ``component_id``: smallest id reachable over links of at most ``radius``
     bits, the row's own included; ``group_fp`` names the component by its
@@ -191,4 +194,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group_fp", F.coalesce("component", "fp"))
     firsts = named.groupBy("group_fp").agg(F.min("first_id").alias("component_id"))
     of_fp = named.select("fp", "group_fp").join(firsts, "group_fp")
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_fp")
+    return rows.join(of_fp, "fp").select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_fp")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, less all but one of each near-duplicate group.
+
+    The row with the smallest id stays (null ids last, then by text hash); of
+    rows that repeat id and text, one stays.
+    """
+    near = near_duplicates(docs, shingle, radius, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row_key").alias(ROW_KEY)))
+    keys = near.groupBy("group_fp").agg(first.alias("k")).select(f"k.{ROW_KEY}")
+    keyed = docs.withColumn(ROW_KEY, row_key(id_col, text_col))
+    return keyed.join(keys, ROW_KEY).dropDuplicates([ROW_KEY]).select(*[F.col(f"`{c}`") for c in docs.columns])
