@@ -7,13 +7,15 @@
    bit only sends one more chunk through step 4.
 3. Documents without a shared chunk are encoded and digested in that same
    pass.  The others become segments: shared chunks, and the runs between.
-4. Each distinct shared chunk is encoded once and joined back by its 128-bit
-   hash; a document's segments are put together, and each join is repaired.
+4. Each distinct shared chunk is encoded once; its ids and the words at its
+   ends are joined back by its 128-bit hash.  A document's segments are put
+   together, and each join is repaired.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .codecs import Codec, codec
 from .common import bitmap_has, narrow, record_batch, repeat_bitmap, stored, text_slices, texts_of
 
+EDGE_WORDS = 8  # words kept at each end of an encoded run for the repair of joins
 CHUNK_BITS = 10  # one cut in 2**10 bytes on average
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -76,69 +79,82 @@ def shared_bitmap(docs: DataFrame, bits: int = CHUNK_BITS) -> bytes:
 
 
 def _outer_words(text: str, words: int, tail: bool) -> str:
-    """The last (or first) ``words`` white-space separated words with the space between, or all of it."""
+    """The last (or first) ``words`` white-space separated words with the space before (or before and between), or all of it."""
+    parts = text.rsplit(maxsplit=words) if tail else text.split(maxsplit=words)
+    if len(parts) <= words:
+        return text
     if tail:
-        parts = text.rsplit(maxsplit=words)
-        return text if len(parts) <= words else text[len(text.rstrip()) and _start_of_tail(text, words):]
-    parts = text.split(maxsplit=words)
-    return text if len(parts) <= words else text[:len(text) - len(parts[-1])].rstrip()
+        return text[len(parts[0]):]  # rsplit leaves the rest's leading space in place
+    return text[:len(text) - len(parts[-1])].rstrip()
 
 
-def _start_of_tail(text: str, words: int) -> int:
-    head = text.rsplit(maxsplit=words)[0]
-    return len(head) + (len(text) - len(text.lstrip()) if not text.startswith(head) else 0)
+class Piece(NamedTuple):
+    """Ids of a run of text with the words at its ends; ``whole``: both ends are all of it."""
 
+    head: str
+    tail: str
+    whole: bool
+    ids: np.ndarray
 
-def join_repaired(c: Codec, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray) -> np.ndarray:
-    """Ids of ``left + right`` from the ids of both, repaired around the join.
 
-    The words next to the join are re-encoded together.  The result counts
-    when the two sides' own ids end and begin with what their outer words
-    give alone, and the joint ids agree with them at the outer ends;
-    otherwise more words are taken, up to both whole texts.
+def piece(text: str, ids: np.ndarray) -> Piece:
+    head = _outer_words(text, EDGE_WORDS, False)
+    return Piece(head, _outer_words(text, EDGE_WORDS, True), head == text, ids)
+
+
+def joined(c: Codec, left: Piece, right: Piece) -> Piece | np.ndarray | None:
+    """Repair the join of two runs around their meeting ends.
+
+    The words next to the join are re-encoded together.  That counts when the
+    two sides' ids end and begin with what their outer words give alone, and
+    the joint ids agree with these at the outer ends; otherwise more words are
+    taken.  Returns the left side's final ids if nothing moved, else the
+    joined piece, or None if the ends at hand do not lead to agreement.
     """
     words = 2
-    while True:
-        tail, head = _outer_words(left, words, True), _outer_words(right, words, False)
-        whole = tail == left and head == right
-        joint = c.encode(tail + head)
-        if whole:
-            return joint
-        a, b = c.encode(tail), c.encode(head)
-        fits = (tail == left or len(left_ids) >= len(a) and np.array_equal(left_ids[len(left_ids) - len(a):], a)) and \
-            (head == right or np.array_equal(right_ids[:len(b)], b))
+    while words <= EDGE_WORDS:
+        tail, head = _outer_words(left.tail, words, True), _outer_words(right.head, words, False)
+        joint, a, b = c.encode(tail + head), c.encode(tail), c.encode(head)
+        keep = len(left.ids) - len(a)
+        fits = keep >= 0 and np.array_equal(left.ids[keep:], a) and np.array_equal(right.ids[:len(b)], b)
         first, last = c.encode(_outer_words(tail, 1, False)), c.encode(_outer_words(head, 1, True))
-        agrees = np.array_equal(joint[:len(first)], first) and np.array_equal(joint[len(joint) - len(last):], last)
-        if fits and agrees:
-            if len(joint) == len(a) + len(b) and np.array_equal(joint[:len(a)], a) and np.array_equal(joint[len(a):], b):
-                return np.concatenate([left_ids, right_ids])
-            return np.concatenate([left_ids[:len(left_ids) - len(a)], joint, right_ids[len(b):]])
+        if fits and np.array_equal(joint[:len(first)], first) and np.array_equal(joint[len(joint) - len(last):], last):
+            if np.array_equal(joint, np.concatenate([a, b])):
+                return left.ids
+            return _beside(left, right, np.concatenate([left.ids[:keep], joint, right.ids[len(b):]]))
         words *= 2
+    if left.whole and right.whole:
+        return _beside(left, right, c.encode(left.tail + right.head))
+    return None
 
 
-def assembled(c: Codec, segments: list[tuple[str, np.ndarray]]) -> np.ndarray:
-    """Ids of a whole text from its segments in order.  Each join is repaired with the neighbours'
-    texts; a repair that swallows a whole short neighbour carries its text on to the next join."""
-    done, text, ids = [], "", np.zeros(0, dtype=np.int32)
-    for t, i in segments:
-        if not text:
-            text, ids = t, i
-            continue
-        joined = join_repaired(c, text, ids, t, i)
-        if len(joined) == len(ids) + len(i) and np.array_equal(joined[:len(ids)], ids):
-            done.append(ids)  # nothing moved: the left part is final
-            text, ids = t, i
+def _beside(left: Piece, right: Piece, ids: np.ndarray) -> Piece:
+    return Piece(left.head + right.head if left.whole else left.head, left.tail + right.tail if right.whole else right.tail,
+                 left.whole and right.whole, ids)
+
+
+def assembled(c: Codec, pieces: list[Piece]) -> np.ndarray | None:
+    """Ids of a whole text from its runs in order; None if a join needs more text than the runs' ends."""
+    done, last = [], pieces[0]
+    for p in pieces[1:]:
+        both = joined(c, last, p)
+        if both is None:
+            return None
+        if isinstance(both, Piece):
+            last = both
         else:
-            text, ids = text + t, joined
-    return np.concatenate([*done, ids])
+            done.append(both)
+            last = p
+    return np.concatenate([*done, last.ids])
 
 
-_RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_SEGMENT = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()),
-                      ("text", pa.string()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
-                      ("decoded_sha256", pa.string())])
-_SEGMENT_DDL = ("row_key long, doc_id long, seq int, h1 long, h2 long, text string, ids binary, n_tokens long, "
-                "ids_sha256 string, decoded_sha256 string")
+_ROW = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("seq", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()),
+                  ("text", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("whole", pa.bool_()), ("ids", pa.binary()),
+                  ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_ROW_DDL = ("row_key long, doc_id long, text_hash long, seq int, h1 long, h2 long, text string, head string, tail string, whole boolean, "
+            "ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+_RESULT = ["doc_id", "text_hash", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+_RESULT_DDL = "doc_id long, text_hash long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
 
 def _summary(c: Codec, ids: np.ndarray) -> tuple[int, str, str]:
@@ -146,79 +162,110 @@ def _summary(c: Codec, ids: np.ndarray) -> tuple[int, str, str]:
             hashlib.sha256(c.decode(ids).encode()).hexdigest())
 
 
+def _packed(c: Codec) -> type:
+    return np.uint16 if c.vocab_size <= 1 << 16 else np.int32
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, bits: int = CHUNK_BITS, id_col: str = "doc_id",
                   text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids``) of every row.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids`` as 32-bit integers) of every row.
 
     Null texts are empty: no tokens, digests of nothing.  Repeated rows give a
     row each, null ids stay null, an empty table gives no rows.  No group is
     larger than one document, a chunk found in a third of all documents is
-    one row of the encoded side of a join that splits skewed keys.
+    one row of the encoded side of a join that splits skewed keys.  A document
+    whose joins do not agree within EDGE_WORDS words is encoded as a whole.
     """
-    spark, d = docs.sparkSession, narrow(docs, id_col, text_col)
+    spark = docs.sparkSession
+    d = narrow(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     shared = spark.sparkContext.broadcast(shared_bitmap(d, bits))
 
     def cut(batches):
         c, flags = codec(tokenizer), shared.value
-        key = TaskContext.get().partitionId() << 33
+        packed, key = _packed(c), TaskContext.get().partitionId() << 33
         for batch in text_slices(batches, 4 << 20):
-            cols = {f.name: [] for f in _SEGMENT}
+            cols = {f.name: [] for f in _ROW}
+
+            def put(**values):
+                for name, col in cols.items():
+                    col.append(values.get(name))
 
-            def put(*values):
-                for name, v in zip(cols, values):
-                    cols[name].append(v)
+            def put_run(own, seq, run):
+                text = run.decode()
+                ids = c.encode(text)
+                p = piece(text, ids)
+                put(**own, seq=seq, head=p.head, tail=p.tail, whole=p.whole, ids=ids.astype(packed).tobytes())
 
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
+            for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts_of(batch)):
                 parts, key = _chunks(text.encode(), bits), key + 1
                 marks = [_digest(p) for p in parts]
                 hot = bitmap_has(flags, np.array([h for h, _ in marks], dtype=np.int64)).tolist()
+                own = {"row_key": key, "doc_id": doc_id, "text_hash": text_hash}
                 if not any(hot):
                     ids = c.encode(text)
-                    put(key, doc_id, -1, None, None, None, ids.tobytes() if with_ids else None, *_summary(c, ids))
+                    n, x, y = _summary(c, ids)
+                    put(**own, seq=-1, ids=ids.tobytes() if with_ids else None, n_tokens=n, ids_sha256=x, decoded_sha256=y)
                     continue
                 run, seq = b"", 0
-                for p, mark, is_hot in [*zip(parts, marks, hot), (b"", None, True)]:
+                for p, mark, is_hot in zip(parts, marks, hot):
                     if not is_hot:
                         run += p
                         continue
                     if run:
-                        t = run.decode()
-                        put(key, doc_id, seq, None, None, t, c.encode(t).tobytes(), None, None, None)
+                        put_run(own, seq, run)
                         run, seq = b"", seq + 1
-                    if mark:
-                        put(key, doc_id, seq, *mark, p.decode(), None, None, None, None)
-                        seq += 1
-            yield record_batch(_SEGMENT, cols)
+                    put(**own, seq=seq, h1=mark[0], h2=mark[1], text=p.decode())
+                    seq += 1
+                if run:
+                    put_run(own, seq, run)
+            yield record_batch(_ROW, cols)
 
-    def encode_shared(batches):
+    def encode_once(batches):
         c = codec(tokenizer)
+        packed, names = _packed(c), ["h1", "h2", "head", "tail", "whole", "ids"]
         for batch in text_slices(batches, 4 << 20):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("h1"), batch.column("h2"), pa.array([c.encode(t).tobytes() for t in texts_of(batch)], type=pa.binary())],
-                names=["h1", "h2", "ids"])
+            pieces = [piece(t, c.encode(t)) for t in texts_of(batch)]
+            yield record_batch(pa.schema([_ROW.field(n) for n in names]), {
+                "h1": batch.column("h1"), "h2": batch.column("h2"), "head": [p.head for p in pieces], "tail": [p.tail for p in pieces],
+                "whole": [p.whole for p in pieces], "ids": [p.ids.astype(packed).tobytes() for p in pieces]})
+
+    schema = pa.schema([_ROW.field(n) for n in _RESULT])
 
     def put_together(batches):
         c = codec(tokenizer)
-        schema = pa.schema([_SEGMENT.field(n) for n in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")])
+        packed = _packed(c)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                part, cols = batch.slice(i, 64), {n: [] for n in schema.names}
-                for doc_id, segments in zip(part.column("doc_id").to_pylist(), part.column("parts").to_pylist()):
-                    ids = assembled(c, [(s["text"], np.frombuffer(s["ids"], dtype=np.int32)) for s in segments])
-                    for name, v in zip(cols, (doc_id, *_summary(c, ids), ids.tobytes() if with_ids else None)):
+                part, cols = batch.slice(i, 64), {n: [] for n in _RESULT}
+                for doc_id, text_hash, parts in zip(*[part.column(n).to_pylist() for n in ("doc_id", "text_hash", "parts")]):
+                    ids = assembled(c, [Piece(s["head"], s["tail"], s["whole"], np.frombuffer(s["ids"], dtype=packed).astype(np.int32)) for s in parts])
+                    known = (None, None, None) if ids is None else _summary(c, ids)
+                    for name, v in zip(cols, (doc_id, text_hash, *known, ids.tobytes() if with_ids and ids is not None else None)):
                         cols[name].append(v)
                 yield record_batch(schema, cols)
 
-    segments = stored(d.mapInArrow(cut, _SEGMENT_DDL), "segments")
-    whole = segments.filter("seq < 0").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
-    pieces = segments.filter("seq >= 0").select("row_key", "doc_id", "seq", "h1", "h2", "text", "ids")
-    reused = pieces.filter("h1 is not null")
+    def encode_whole(batches):
+        c = codec(tokenizer)
+        for batch in text_slices(batches, 4 << 20):
+            ids = [c.encode(t) for t in texts_of(batch)]
+            known = [_summary(c, x) for x in ids]
+            yield record_batch(schema, {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
+                                        **{n: [k[j] for k in known] for j, n in enumerate(_RESULT[2:5])},
+                                        "ids": [x.tobytes() if with_ids else None for x in ids]})
+
+    rows = stored(d.mapInArrow(cut, _ROW_DDL), "segments")
+    ends = ["row_key", "doc_id", "text_hash", "seq", "head", "tail", "whole", "ids"]
+    reused = rows.filter("h1 is not null")
     once = (reused.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
-            .mapInArrow(encode_shared, "h1 long, h2 long, ids binary"))
-    known = reused.drop("ids").join(once, ["h1", "h2"]).select("row_key", "doc_id", "seq", "text", "ids")
-    own = pieces.filter("h1 is null").select("row_key", "doc_id", "seq", "text", "ids")
-    put = (known.unionByName(own).groupBy("row_key", "doc_id")
-           .agg(F.sort_array(F.collect_list(F.struct("seq", "text", "ids"))).alias("parts"))
-           .select("doc_id", "parts").mapInArrow(put_together, _RESULT + ", ids binary"))
-    out = whole.unionByName(put)
-    return out if with_ids else out.drop("ids")
+            .mapInArrow(encode_once, "h1 long, h2 long, head string, tail string, whole boolean, ids binary"))
+    known = reused.select("row_key", "doc_id", "text_hash", "seq", "h1", "h2").join(once, ["h1", "h2"]).select(ends)
+    own = rows.filter("seq >= 0 and h1 is null").select(ends)
+    put = stored(known.unionByName(own).groupBy("row_key", "doc_id", "text_hash")
+                 .agg(F.sort_array(F.collect_list(F.struct("seq", "head", "tail", "whole", "ids"))).alias("parts"))
+                 .select("doc_id", "text_hash", "parts").mapInArrow(put_together, _RESULT_DDL), "assembled")
+    out = rows.filter("seq < 0").select(_RESULT).unionByName(put.filter("n_tokens is not null"))
+    open_joins = put.filter("n_tokens is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    if not open_joins.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+        out = out.unionByName(d.join(open_joins, same, "left_semi").mapInArrow(encode_whole, _RESULT_DDL))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
