@@ -105,6 +105,7 @@ def repeated_spans(docs: DataFrame, **limits) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "first")
     firsts = (s.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("last"))
               .filter(~F.col("keep").eqNullSafe(F.col("last"))).drop("last"))
+    firsts = stored(firsts, "firsts")  # as a table of its own, so that a hot span's side of the join can be split
     return (s.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("keep")))
             .select("doc_id", "text_hash", "first", "size"))
 
