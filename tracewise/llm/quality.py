@@ -132,7 +132,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     counts as the empty string; repeated rows give a row each and count each.
     """
     s = stored(signals(docs, id_col, text_col, lang_col, source_col), "signals")
-    t = thresholds(stored(sketches(s), "sketches"))
+    t = stored(thresholds(stored(sketches(s), "sketches")), "thresholds")  # its size is known when the join is planned
     within = F.lit(True)
     for name, x in ratios().items():
         within = within & (x >= F.col(f"{name}_low")) & (x <= F.col(f"{name}_high"))
