@@ -99,6 +99,68 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _op7_sql() -> str:
+    names = list(quality.LEAST_RANGE)
+    ratio = {"word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "n_words"),
+             "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+    x = {k: f"({a} * 1024) // greatest({b}, 1)" for k, (a, b) in ratio.items()}
+    each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS signal, {x[k]} AS x FROM s WHERE n_words > 0" for k in names)
+    least = "CASE signal " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.LEAST_RANGE.items()) + " END"
+
+    def fences(tag: str, by: str) -> str:
+        return f"""{tag} AS (
+  SELECT {by}signal, max(total) AS docs,
+         min(CASE WHEN 4 * upto >= total THEN value END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN value END) AS q3
+  FROM (SELECT {by}signal, value, sum(n) OVER (PARTITION BY {by}signal ORDER BY value) AS upto,
+               sum(n) OVER (PARTITION BY {by}signal) AS total
+        FROM (SELECT {by}signal, value, sum(n) AS n FROM k GROUP BY ALL)) GROUP BY {by}signal)"""
+
+    limits = ", ".join(f"max(CASE WHEN signal = '{n}' THEN q1 - reach END) AS {n}_low, max(CASE WHEN signal = '{n}' THEN q3 + reach END) AS {n}_high"
+                       for n in names)
+    within = " AND ".join(f"{x[n]} BETWEEN {n}_low AND {n}_high" for n in names)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, k, w[k:k + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest(range(k, k + 3)) AS p FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1)
+      GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n, count(DISTINCT x) AS u FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
+      WHERE translate(x, {_WHITE}, '') <> '' GROUP BY doc_id),
+s AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(translate(t, {_WHITE}, ''))::BIGINT AS word_chars,
+             (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
+             coalesce(l.n, 0) AS n_lines, coalesce(l.n - l.u, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+      FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+k AS (SELECT lang, source, signal, x >> greatest(length(bin(x)) - 8, 0) << greatest(length(bin(x)) - 8, 0) AS value, count(*) AS n
+      FROM ({each}) GROUP BY ALL),
+{fences("a", "lang, source, ")}, {fences("b", "lang, ")}, {fences("c", "")},
+f AS (SELECT lang, source, signal, docs, q1, q3, {quality.REACH} * greatest(q3 - q1, {least}) AS reach FROM (
+        SELECT a.lang, a.source, a.signal, a.docs,
+               CASE WHEN a.docs >= {quality.MIN_DOCS} THEN a.q1 WHEN b.docs >= {quality.MIN_DOCS} THEN b.q1 ELSE c.q1 END AS q1,
+               CASE WHEN a.docs >= {quality.MIN_DOCS} THEN a.q3 WHEN b.docs >= {quality.MIN_DOCS} THEN b.q3 ELSE c.q3 END AS q3
+        FROM a JOIN b USING (lang, signal) JOIN c USING (signal))),
+t AS (SELECT lang, source, {limits} FROM f GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce({within}, false) AS kept
+FROM s LEFT JOIN t USING (lang, source)
+"""
+
+
 def queries() -> dict[str, Query]:
     every = [op1_decontamination, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_warc,
              op7_quality_rules, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output]
@@ -106,4 +168,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": _op7_sql()}
