@@ -89,7 +89,7 @@ def head_mean(v: Column, n_heads: Column | int) -> Column:
     m = (F.size(v) / h).cast("int")
     # sum the heads slice by slice: element j of head k sits at k * m + j
     return F.transform(
-        F.aggregate(F.sequence(F.lit(1), h - 1),
+        F.aggregate(F.when(h > 1, F.sequence(F.lit(1), F.greatest(h - 1, F.lit(1)))).otherwise(F.array().cast("array<int>")),
                     F.slice(v, 1, m).cast("array<double>"),
                     lambda acc, k: F.zip_with(acc, F.slice(v, k * m + 1, m), lambda a, b: a + _d(b))),
         lambda x: x / h)

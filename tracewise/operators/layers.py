@@ -66,15 +66,18 @@ def layer_shift_long(states: DataFrame, model_type="llava") -> DataFrame:
 
     Slot ``j`` < n-1 holds the j-th distance, slot ``n-1+j`` the j-th cosine,
     n being the layer count of that step.  The divisor is the number of
-    steps with at least one pair.  Slots >= 30 are dropped.
+    steps with at least one pair.  Slots >= 30 are dropped.  A sample with a
+    pair of unequal vector sizes has failed and gives no rows, so that the
+    feature row takes zeros and its failure mark (P15).
     """
     p = layer_pairs(states, model_type)
     long = p.select(KEY, "step", F.col("pair_idx").alias("slot"), F.col("wasserstein").alias("v")).unionByName(
         p.select(KEY, "step", (F.col("n_layers") - 1 + F.col("pair_idx")).alias("slot"),
                  F.col("cosine").alias("v")))
     long = long.filter(F.col("slot") < N_SLOTS)
-    steps = p.groupBy(KEY).agg(F.countDistinct("step").alias("_steps"))
-    sums = long.groupBy(KEY, "slot").agg(F.sum(F.coalesce(F.col("v"), F.lit(0.0))).alias("_s"))
+    steps = (p.groupBy(KEY).agg(F.countDistinct("step").alias("_steps"), F.max(F.col("wasserstein").isNull()).alias("_failed"))
+             .filter(~F.col("_failed")))
+    sums = long.groupBy(KEY, "slot").agg(F.sum("v").alias("_s"))
     return sums.join(steps, KEY).select(KEY, F.col("slot").cast("int").alias("slot"),
                                         (F.col("_s") / F.col("_steps")).alias("value"))
 

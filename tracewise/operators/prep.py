@@ -26,7 +26,7 @@ def encode_labels(df: DataFrame, label: str, out: str = "label_idx") -> DataFram
     """
     lab = df.select(label).distinct()
     lab = lab.withColumn(out, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(lab, label)
+    return df.join(F.broadcast(lab), label)
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float = 0.2, seed: int = 42,
@@ -45,7 +45,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
     d = df.withColumn("_h", key)
     r = ordered_index(d, label, ["_h", id_col], out="_r")
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(n, label)
+    r = r.join(F.broadcast(n), label)  # one row per class
     return r.withColumn("is_test", F.col("_r") < F.ceil(F.col("_n") * test_size)).drop("_h", "_r", "_n")
 
 
@@ -57,15 +57,18 @@ def balance_targets(df: DataFrame, label: str) -> DataFrame:
 
 
 def smote(train: DataFrame, id_col: str, label: str, features: list[str], k_max: int = 15,
-          seed: int = 42, tile_rows: int = 2048) -> DataFrame:
+          seed: int = 42, tile_rows: int = 2048, fit_rows: int = 4096) -> DataFrame:
     """Synthetic minority rows up to the majority count.
 
     * k = min(15, smallest class - 1) nearest neighbours (Euclidean) within
-      the class.  Exact: every row of a class meets every other row of its
-      class, which is the quadratic core of exact SMOTE; the work is tiled
+      the class, among the class's first ``fit_rows`` rows in hashed order
+      (the documented bound on labelled rows for the fit; classes up to that
+      size are searched whole).  Each row of a class meets at most
+      ``fit_rows`` others, so the work is linear in the rows; it is tiled
       by (class, tile) so a large class spreads over ceil(n / tile_rows)
       tasks, and only the k best per row leave a task (``row_number() <= k``
       is planned as a per-task group limit before the shuffle).
+    * a row without any neighbour (class of one) is repeated as it is.
     * each row of a class gets ``deficit // n`` copies, the first
       ``deficit % n`` rows one more (round robin by hashed order);
     * copy j of row x picks neighbour ``md5(id, j) % k`` and
@@ -78,14 +81,18 @@ def smote(train: DataFrame, id_col: str, label: str, features: list[str], k_max:
     kmin = tg.agg(F.min("n")).first()[0]
     k = max(1, min(k_max, (kmin or 1) - 1))
     need = tg.filter(F.col("deficit") > 0).select(label, "n", "deficit")
-    minority = base.join(need, label)
+    minority = base.join(F.broadcast(need), label)  # one row per class
+    # copies and neighbour candidates go by hashed order
+    ranked = ordered_index(minority.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"),
+                                                                       F.lit(str(seed))))),
+                           label, ["_h", id_col], out="_r")
     # exact kNN inside each minority class, tiled so that no task holds a
     # whole class: a row of the class goes to one of T tiles (by hash), the
     # candidate side is copied to all T tiles, T = ceil(n / tile_rows)
     tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(tile_rows))).cast("int")
     a = minority.select(F.col(id_col).alias("_a"), label, F.col("_x").alias("_xa"),
                         F.pmod(F.xxhash64(F.col(id_col)), tiles).cast("int").alias("_tile"))
-    b = minority.select(F.col(id_col).alias("_b"), label, F.col("_x").alias("_xb"),
+    b = ranked.filter(F.col("_r") < fit_rows).select(F.col(id_col).alias("_b"), label, F.col("_x").alias("_xb"),
                         F.explode(F.sequence(F.lit(0), tiles - 1)).alias("_tile"))
     d2 = F.aggregate(F.zip_with("_xa", "_xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
     pairs = a.join(b, [label, "_tile"]).filter(F.col("_a") != F.col("_b")).select("_a", "_b", "_xb", d2.alias("_d"))
@@ -94,9 +101,6 @@ def smote(train: DataFrame, id_col: str, label: str, features: list[str], k_max:
     nn = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k) \
               .withColumn("_nn", (F.col("_rn") - 1).cast("int")).drop("_rn")
     # copies per row, round robin in hashed order
-    ranked = ordered_index(minority.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"),
-                                                                       F.lit(str(seed))))),
-                           label, ["_h", id_col], out="_r")
     copies = (F.floor(F.col("deficit") / F.col("n")) + (F.col("_r") < F.col("deficit") % F.col("n")).cast("int"))
     ranked = ranked.withColumn("_copies", copies.cast("int")).filter(F.col("_copies") > 0)
     syn = ranked.select(id_col, label, "_x", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_j"))
@@ -104,8 +108,8 @@ def smote(train: DataFrame, id_col: str, label: str, features: list[str], k_max:
                                                         F.lit(str(seed)))), 1, 8), 16, 10).cast("long"),
                   F.lit(k)).cast("int")
     syn = syn.withColumn("_nn", pick).withColumn("_lam", _u01(id_col, "_j", F.lit(str(seed) + "l")))
-    syn = syn.join(nn.select(F.col("_a").alias(id_col), "_nn", "_xb"), [id_col, "_nn"])
-    xs = F.zip_with("_x", "_xb", lambda x, y: x + F.col("_lam") * (y - x))
+    syn = syn.join(nn.select(F.col("_a").alias(id_col), "_nn", "_xb"), [id_col, "_nn"], "left")
+    xs = F.zip_with("_x", F.coalesce("_xb", "_x"), lambda x, y: x + F.col("_lam") * (y - x))
     syn = syn.select(F.concat_ws("_", F.col(id_col).cast("string"), F.lit("syn"), F.col("_j").cast("string")).alias(id_col),
                      label, xs.alias("_x"), F.lit(True).alias("is_synthetic"))
     orig = base.select(F.col(id_col).cast("string").alias(id_col), label, "_x", F.lit(False).alias("is_synthetic"))
@@ -133,4 +137,4 @@ def apply_scaler(df: DataFrame, stats: DataFrame, features: list[str]) -> DataFr
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Per-row weight column from the rare-class weights (M7)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(w, label)
+    return df.join(F.broadcast(w), label)

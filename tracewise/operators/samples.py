@@ -142,24 +142,25 @@ def coqa_from_json(spark: SparkSession, path: str) -> DataFrame:
 
     ``data[]`` holds story, questions[], answers[] and
     additional_answers{"0","1","2"}[]; rows are zipped by position and the
-    running story is rebuilt by ``dialogue_story``.
+    running story is rebuilt by ``dialogue_story``.  ``doc_pos`` and ``pos``
+    give the order of the file.
     """
     raw = spark.read.option("multiLine", True).json(path)
-    d = raw.select(F.explode("data").alias("d")).select("d.*")
-    z = d.select("id", "story", F.posexplode(F.arrays_zip(
+    d = raw.select(F.posexplode("data").alias("doc_pos", "d")).select("doc_pos", "d.*")
+    z = d.select("doc_pos", "id", "story", F.posexplode(F.arrays_zip(
         F.col("questions").alias("q"), F.col("answers").alias("a"),
         F.col("additional_answers.0").alias("x0"), F.col("additional_answers.1").alias("x1"),
         F.col("additional_answers.2").alias("x2"))).alias("pos", "z"))
     rows = z.select(
-        F.concat_ws("_", "id", F.col("pos").cast("string")).alias("id"), "pos", "story",
+        "doc_pos", F.concat_ws("_", "id", F.col("pos").cast("string")).alias("id"), "pos", "story",
         F.col("z.q.input_text").alias("question"),
         F.struct(F.col("z.a.input_text").alias("text"), F.col("z.a.span_start").alias("answer_start")).alias("answer"),
         F.array(F.col("z.x0.input_text"), F.col("z.x1.input_text"), F.col("z.x2.input_text")).alias("additional_answers"))
     seg = F.concat(F.lit(" Q: "), F.col("question"), F.lit(" A: "), F.col("answer.text"))
     rows = rows.withColumn("_seg", F.when(seg.endswith("."), seg).otherwise(F.concat(seg, F.lit("."))))
-    w = Window.partitionBy(F.regexp_replace("id", "_[0-9]+$", "")).orderBy("pos")
+    w = Window.partitionBy("doc_pos").orderBy("pos")
     rows = rows.withColumn("_prev", F.collect_list("_seg").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.select("id", F.concat("story", F.array_join("_prev", "")).alias("story"),
+    return rows.select("doc_pos", "pos", "id", F.concat("story", F.array_join("_prev", "")).alias("story"),
                        "question", "answer", "additional_answers")
 
 
@@ -202,24 +203,28 @@ def load_qa_dataset(spark: SparkSession, name: str, path: str, max_samples: int
 
     triviaqa: first row per ``question_id`` (A1); tydiqa: English ids only
     (P2); coqa: nested JSON exploded with running story (S4); others as
-    read.  Rows are then named ``{name}_sample_{idx}`` in dataset order and
+    read.  Dataset order is the order of the rows in their files, files by
+    path (for CoQA the order in its JSON).  Rows are then named ``{name}_sample_{idx}`` in dataset order and
     cut to the first ``max_samples`` (O1).  Unknown names raise.
     """
     if name not in QA_DATASETS:
         raise ValueError(f"Invalid dataset name: {name}")
     if name == "coqa":
         df = coqa_from_json(spark, path)
-        order = ["_pos"]
-        df = df.withColumn("_pos", F.monotonically_increasing_id())
+        order = ["doc_pos", "pos"]
     else:
-        df = spark.read.format(fmt).load(path).withColumn("_pos", F.monotonically_increasing_id())
-        order = ["_pos"]
+        df = spark.read.format(fmt).load(path)
+        row = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
+        df = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": row})
+        df = df.withColumn("_pos", F.struct("_file", "_row")).drop("_file", "_row")
+        order = ["_pos._file", "_pos._row"]
         if name == "triviaqa":
             df = first_per_key(df, "question_id", "_pos")
         elif name == "tydiqa":
             df = english_only(df, "id")
-    named = name_samples(df, name, order)
-    return first_n(named, "idx", max_samples).drop("_pos")
+    flat = [f"_o{i}" for i in range(len(order))]
+    named = name_samples(df.withColumns({f: F.col(o) for f, o in zip(flat, order)}), name, flat)
+    return first_n(named, "idx", max_samples).drop("_pos", "doc_pos", "pos", *flat)
 
 
 def apply_per_item(df: DataFrame, fn, schema: str) -> DataFrame:

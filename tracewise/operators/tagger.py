@@ -49,13 +49,15 @@ def tag(df: DataFrame, ids: list[str], text_col: str = "text") -> DataFrame:
     # "same sentence" is checked against the nearest sentence end instead of
     # partitioning by a sentence number
     wp = Window.partitionBy(*ids).orderBy("pi")
-    after, before = wp.rowsBetween(1, Window.unboundedFollowing), wp.rowsBetween(Window.unboundedPreceding, -1)
+    # "next" is "last before" in reverse order: running frames, so the cost is linear in the text
+    before = wp.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*ids).orderBy(F.col("pi").desc()).rowsBetween(Window.unboundedPreceding, -1)
     is_noun = F.col("pos").isin("NOUN", "PROPN")
     is_rel = F.col("pos").isin("ADP", "VERB")
     is_end = F.col("text").isin(".", "!", "?")
 
     def nxt(c):
-        return F.first(F.when(c, F.col("tok_idx")), ignorenulls=True).over(after)
+        return F.last(F.when(c, F.col("tok_idx")), ignorenulls=True).over(after)
 
     def prv(c):
         return F.last(F.when(c, F.col("tok_idx")), ignorenulls=True).over(before)

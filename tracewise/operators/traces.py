@@ -174,13 +174,14 @@ def row_features(p: "F.Column", prefix: str = "") -> dict:
     """
     from ..functions.arrays import _with_scalar
     n = F.size(p)
+    some = F.when(n > 0, n)  # null for an empty trace, whose features are all zero
     s = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    mean = s / n
+    mean = s / some
     inv = F.transform(p, lambda x: F.lit(1.0) / F.greatest(x, F.lit(1e-10)))
-    inv_mean = F.aggregate(inv, F.lit(0.0), lambda a, x: a + x) / n
+    inv_mean = F.aggregate(inv, F.lit(0.0), lambda a, x: a + x) / some
     inv_var = F.aggregate(_with_scalar(inv, inv_mean, lambda x, m: (x - m) * (x - m)), F.lit(0.0),
-                          lambda a, x: a + x) / n
-    var = F.aggregate(_with_scalar(p, mean, lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x) / n
+                          lambda a, x: a + x) / some
+    var = F.aggregate(_with_scalar(p, mean, lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x) / some
     # slope of p on 0..n-1: sum((i - ibar) * p) / sum((i - ibar)^2)
     ibar = (n - 1) / 2.0
     num = F.aggregate(_with_scalar(F.transform(p, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), ibar,
@@ -203,7 +204,7 @@ def row_features(p: "F.Column", prefix: str = "") -> dict:
         return vlo + (pos - lo) * (vhi - vlo)
 
     z = F.lit(0.0)
-    return {
+    out = {
         f"{prefix}feature_66": F.when(n > 0, inv_mean).otherwise(z),
         f"{prefix}feature_67": F.when(n > 0, F.sqrt(inv_var)).otherwise(z),
         f"{prefix}feature_68": F.when(n > 1, num / den).otherwise(z),
@@ -224,3 +225,4 @@ def row_features(p: "F.Column", prefix: str = "") -> dict:
         f"{prefix}num_significant_drops": F.size(F.filter(deltas, lambda x: x < -0.3)),
         f"{prefix}largest_window_drop": F.when(nd >= 3, F.greatest(z, -F.least(F.array_min(w3), z))).otherwise(z),
     }
+    return {k: F.when(n > 0, v).otherwise(F.lit(0)) for k, v in out.items()}

@@ -302,12 +302,24 @@ def label_distribution(spark, sf):
     return rounded(report.class_distribution(lab, "chunk_label"))
 
 
-@register("label_explanations", "C14 W12 (reason text and reference sets; first examples per class)")
-def label_explanations(spark, sf):
+def _explanations(spark, sf):
     li = _inputs(spark, sf)
     lab = labelling.label(li, fuzzy=True)
-    ex = matching.label_explanations(lab, li.gt_objects, li.gt_attributes, li.gt_relations)
+    return matching.label_explanations(lab, li.gt_objects, li.gt_attributes, li.gt_relations)
+
+
+def _explained(ex):
+    return ex.select("sample_id", "chunk_idx", "chunk_text", "chunk_type", "chunk_label", "reasoning",
+                     F.array_join("gt_objects", ", ").alias("gt_objects"), F.array_join("gt_relations", ", ").alias("gt_relations"))
+
+
+@register("label_explanations", "C14 (reason text and reference sets of every chunk)")
+def label_explanations(spark, sf):
+    return _explained(_explanations(spark, sf))
+
+
+@register("label_examples", "W12 (first examples per class, a top-k report)")
+def label_examples(spark, sf, per_class: int = 50):
     w = Window.partitionBy("chunk_label").orderBy("sample_id", "chunk_idx")
-    return ex.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= 50).select(
-        "sample_id", "chunk_idx", "chunk_text", "chunk_type", "chunk_label", "reasoning",
-        F.array_join("gt_objects", ", ").alias("gt_objects"), F.array_join("gt_relations", ", ").alias("gt_relations"))
+    ex = _explanations(spark, sf).withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= per_class)
+    return _explained(ex)

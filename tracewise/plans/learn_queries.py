@@ -16,25 +16,25 @@ CLASSES = ["CORRECT", "CATEGORY_HALLUC", "ATTRIBUTE_HALLUC", "RELATION_HALLUC"]
 FEATS = [f"f_{i}" for i in range(64)]
 
 LEARN_SQL = """lt AS (
-  SELECT vec_id, ['CORRECT', 'CATEGORY_HALLUC', 'ATTRIBUTE_HALLUC', 'RELATION_HALLUC'][label % 4 + 1] AS label,
-         CAST(embedding AS DOUBLE[]) AS x
-  FROM embeddings WHERE label % 4 <> 2 OR vec_id % 10 = 0)"""
+  SELECT vec_id, CASE WHEN x[1] > 0.2 THEN 'ATTRIBUTE_HALLUC' WHEN x[1] > 0.12 THEN 'RELATION_HALLUC'
+                      WHEN x[1] > 0.03 THEN 'CATEGORY_HALLUC' ELSE 'CORRECT' END AS label, x
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings))"""
 
 
 def learning_table(spark, sf):
-    """embeddings -> (vec_id, label, f_0..f_63); one class kept at 1 row in 10."""
-    e = tables.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    e = e.filter((F.col("label") % 4 != 2) | (F.col("vec_id") % 10 == 0))
-    name = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("label") % 4 + 1).cast("int"))
-    return e.select("vec_id", name.alias("label"),
-                    *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATS)])
+    """embeddings -> (vec_id, label, f_0..f_63), all rows; classes of uneven size by the first value."""
+    x = tables.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    first = F.col("x")[0]
+    name = (F.when(first > 0.2, "ATTRIBUTE_HALLUC").when(first > 0.12, "RELATION_HALLUC")
+            .when(first > 0.03, "CATEGORY_HALLUC").otherwise("CORRECT"))
+    return x.select("vec_id", name.alias("label"), *[F.col("x")[i].alias(f) for i, f in enumerate(FEATS)])
 
 
 def _split(spark, sf):
     return prep.stratified_split(learning_table(spark, sf), "vec_id", "label", 0.2, 42)
 
 
-COLS = "round(x[1] + lam * (xb[1] - x[1]), 6) AS f_0, round(x[2] + lam * (xb[2] - x[2]), 6) AS f_1, round(x[3] + lam * (xb[3] - x[3]), 6) AS f_2, round(x[4] + lam * (xb[4] - x[4]), 6) AS f_3, round(x[5] + lam * (xb[5] - x[5]), 6) AS f_4, round(x[6] + lam * (xb[6] - x[6]), 6) AS f_5, round(x[7] + lam * (xb[7] - x[7]), 6) AS f_6, round(x[8] + lam * (xb[8] - x[8]), 6) AS f_7, round(x[9] + lam * (xb[9] - x[9]), 6) AS f_8, round(x[10] + lam * (xb[10] - x[10]), 6) AS f_9, round(x[11] + lam * (xb[11] - x[11]), 6) AS f_10, round(x[12] + lam * (xb[12] - x[12]), 6) AS f_11, round(x[13] + lam * (xb[13] - x[13]), 6) AS f_12, round(x[14] + lam * (xb[14] - x[14]), 6) AS f_13, round(x[15] + lam * (xb[15] - x[15]), 6) AS f_14, round(x[16] + lam * (xb[16] - x[16]), 6) AS f_15, round(x[17] + lam * (xb[17] - x[17]), 6) AS f_16, round(x[18] + lam * (xb[18] - x[18]), 6) AS f_17, round(x[19] + lam * (xb[19] - x[19]), 6) AS f_18, round(x[20] + lam * (xb[20] - x[20]), 6) AS f_19, round(x[21] + lam * (xb[21] - x[21]), 6) AS f_20, round(x[22] + lam * (xb[22] - x[22]), 6) AS f_21, round(x[23] + lam * (xb[23] - x[23]), 6) AS f_22, round(x[24] + lam * (xb[24] - x[24]), 6) AS f_23, round(x[25] + lam * (xb[25] - x[25]), 6) AS f_24, round(x[26] + lam * (xb[26] - x[26]), 6) AS f_25, round(x[27] + lam * (xb[27] - x[27]), 6) AS f_26, round(x[28] + lam * (xb[28] - x[28]), 6) AS f_27, round(x[29] + lam * (xb[29] - x[29]), 6) AS f_28, round(x[30] + lam * (xb[30] - x[30]), 6) AS f_29, round(x[31] + lam * (xb[31] - x[31]), 6) AS f_30, round(x[32] + lam * (xb[32] - x[32]), 6) AS f_31, round(x[33] + lam * (xb[33] - x[33]), 6) AS f_32, round(x[34] + lam * (xb[34] - x[34]), 6) AS f_33, round(x[35] + lam * (xb[35] - x[35]), 6) AS f_34, round(x[36] + lam * (xb[36] - x[36]), 6) AS f_35, round(x[37] + lam * (xb[37] - x[37]), 6) AS f_36, round(x[38] + lam * (xb[38] - x[38]), 6) AS f_37, round(x[39] + lam * (xb[39] - x[39]), 6) AS f_38, round(x[40] + lam * (xb[40] - x[40]), 6) AS f_39, round(x[41] + lam * (xb[41] - x[41]), 6) AS f_40, round(x[42] + lam * (xb[42] - x[42]), 6) AS f_41, round(x[43] + lam * (xb[43] - x[43]), 6) AS f_42, round(x[44] + lam * (xb[44] - x[44]), 6) AS f_43, round(x[45] + lam * (xb[45] - x[45]), 6) AS f_44, round(x[46] + lam * (xb[46] - x[46]), 6) AS f_45, round(x[47] + lam * (xb[47] - x[47]), 6) AS f_46, round(x[48] + lam * (xb[48] - x[48]), 6) AS f_47, round(x[49] + lam * (xb[49] - x[49]), 6) AS f_48, round(x[50] + lam * (xb[50] - x[50]), 6) AS f_49, round(x[51] + lam * (xb[51] - x[51]), 6) AS f_50, round(x[52] + lam * (xb[52] - x[52]), 6) AS f_51, round(x[53] + lam * (xb[53] - x[53]), 6) AS f_52, round(x[54] + lam * (xb[54] - x[54]), 6) AS f_53, round(x[55] + lam * (xb[55] - x[55]), 6) AS f_54, round(x[56] + lam * (xb[56] - x[56]), 6) AS f_55, round(x[57] + lam * (xb[57] - x[57]), 6) AS f_56, round(x[58] + lam * (xb[58] - x[58]), 6) AS f_57, round(x[59] + lam * (xb[59] - x[59]), 6) AS f_58, round(x[60] + lam * (xb[60] - x[60]), 6) AS f_59, round(x[61] + lam * (xb[61] - x[61]), 6) AS f_60, round(x[62] + lam * (xb[62] - x[62]), 6) AS f_61, round(x[63] + lam * (xb[63] - x[63]), 6) AS f_62, round(x[64] + lam * (xb[64] - x[64]), 6) AS f_63"
+COLS = ", ".join(f"round(x[{i}] + lam * (xb[{i}] - x[{i}]), 6) AS f_{i - 1}" for i in range(1, 65))
 
 SPLIT_SQL = f"""{LEARN_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) - 1 AS rk,
@@ -81,12 +81,13 @@ cnt AS (SELECT label, count(*) AS n FROM tr GROUP BY label),
 tg AS (SELECT label, n, max(n) OVER () - n AS deficit FROM cnt),
 kk AS (SELECT greatest(1, least(15, min(n) - 1)) AS k FROM cnt),
 mi AS (SELECT tr.*, tg.n, tg.deficit FROM tr JOIN tg USING (label) WHERE tg.deficit > 0),
+rk AS (SELECT mi.*, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) - 1 AS r
+       FROM mi),
+cd AS (SELECT * FROM rk WHERE r < 4096),
 pr AS (SELECT a.vec_id AS a, b.vec_id AS b, b.x AS xb,
               list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))) AS d
-       FROM mi a JOIN mi b ON a.label = b.label AND a.vec_id <> b.vec_id),
+       FROM mi a JOIN cd b ON a.label = b.label AND a.vec_id <> b.vec_id),
 nn AS (SELECT a, xb, row_number() OVER (PARTITION BY a ORDER BY d, b) - 1 AS nn FROM pr),
-rk AS (SELECT mi.*, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) - 1 AS r
-       FROM mi),
 cp AS (SELECT rk.*, CAST(floor(deficit / n) + CASE WHEN r < deficit % n THEN 1 ELSE 0 END AS INTEGER) AS copies FROM rk),
 sy AS (SELECT vec_id, label, x, unnest(range(0, copies)) AS j FROM cp WHERE copies > 0),
 sy2 AS (SELECT sy.*,
@@ -228,7 +229,7 @@ def chunk_dataset(spark, sf):
     return d.withColumns(filled)
 
 
-@register("chunk_dataset", "C13 S15 (chunks + labels + chunk features + 74 sample features)")
+@register("chunk_dataset", "C13 (chunks + labels + chunk features + 74 sample features)")
 def chunk_dataset_q(spark, sf):
     return chunk_dataset(spark, sf)
 
@@ -277,7 +278,7 @@ def _train_eval(spark, sf):
     return model, te
 
 
-@register("train_predict", "M7 M8 M10 S18 (weighted multinomial fit on train; test predictions)")
+@register("train_predict", "M7 M8 M10 (weighted multinomial fit on train; test predictions)")
 def train_predict(spark, sf):
     model, te = _train_eval(spark, sf)
     return learn.predict(model, te, FEATS, ["vec_id", "label", "label_idx"])
@@ -303,7 +304,7 @@ def permutation_importance(spark, sf):
         groups.select(F.lit(None).cast("int").alias("rank"), F.col("group").alias("feature"), "importance"))
 
 
-@register("run_summary", "A27 M14 U1 (per model x dataset totals and label mix, exact rules)", LABELS_EXACT + """
+@register("run_summary", "A27 M14 (per model x dataset totals and label mix, exact rules)", LABELS_EXACT + """
 SELECT o.o_orderpriority AS model_name, o.o_orderstatus AS dataset, count(*) AS total_chunks,
        count(DISTINCT l.sample_id) AS total_samples,
        round(avg(CASE WHEN l.chunk_label = 'CORRECT' THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS correct_rate
@@ -317,7 +318,7 @@ def run_summary(spark, sf):
     return rounded(report.run_summary(lab.join(o, "sample_id"), "model_name", "dataset", "chunk_label"))
 
 
-@register("model_comparison", "M14 A27 S16 (one fit + evaluation per dataset group; errors isolated)")
+@register("model_comparison", "M14 A27 (one fit + evaluation per dataset group; errors isolated)")
 def model_comparison(spark, sf):
     sp = prep.encode_labels(_split(spark, sf), "label")
     sp = sp.withColumn("dataset", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd"))

@@ -110,10 +110,10 @@ QA_DATASETS = ["truthfulqa", "triviaqa", "tydiqa", "coqa", "haluevaldia", "halue
 
 
 def _qa_samples(spark, sf):
-    """documents as QA rows: dataset by doc_id % 8, question = first 12 words."""
+    """documents as QA rows: dataset by doc_id % 8, question = the whole text."""
     d = _docs(spark, sf, "text", "source", "lang")
     ds = F.element_at(F.array(*[F.lit(x) for x in QA_DATASETS]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return d.select("doc_id", ds.alias("dataset"), text.truncate_words(F.col("text"), 12).alias("question"),
+    return d.select("doc_id", ds.alias("dataset"), F.col("text").alias("question"),
                     F.col("text").alias("context"), F.col("source").alias("knowledge"),
                     F.col("lang").alias("dialogue_history"), F.col("text").alias("document"),
                     F.col("text").alias("story"))
@@ -122,7 +122,7 @@ def _qa_samples(spark, sf):
 @register("qa_prompts", "P5 (all seven templates, unknown dataset -> question)", f"""
 WITH d AS (SELECT doc_id, ['truthfulqa','triviaqa','tydiqa','coqa','haluevaldia','haluevalqa','haluevalsum','other']
              [doc_id % 8 + 1] AS dataset,
-             array_to_string(list_slice({WORDS}, 1, 12), ' ') AS question, text AS context, source AS knowledge,
+             text AS question, text AS context, source AS knowledge,
              lang AS dialogue_history, text AS document, text AS story FROM documents)
 SELECT doc_id, dataset, CASE dataset
   WHEN 'truthfulqa' THEN 'Answer the question concisely. Q: ' || question || ' A:'
@@ -215,12 +215,11 @@ def model_rules(spark, sf):
 
 @register("context_and_presence", "P13 P14 (drop empty text, Q/A sentence context)", f"""
 WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN NULL
-             ELSE array_to_string(list_slice({WORDS}, 1, 5), ' ') END AS question FROM documents)
+             ELSE text END AS question FROM documents)
 SELECT doc_id, CASE WHEN question IS NOT NULL THEN 'Q: ' || question || ' A: ' || text ELSE text END AS context
 FROM d WHERE text IS NOT NULL AND text <> ''""")
 def context_and_presence(spark, sf):
     d = _docs(spark, sf, "text").withColumn(
-        "question", F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string")).otherwise(
-            text.truncate_words(F.col("text"), 5)))
+        "question", F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("text")))
     d = samples.text_present(d, "text")
     return d.select("doc_id", samples.sentence_context(F.col("question"), F.col("text")).alias("context"))

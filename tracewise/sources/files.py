@@ -1,17 +1,19 @@
 """File sources and sinks.
 
-Folder scans read every file in one Spark job; only headers are inspected
-per file on the driver (metadata, one small read per file) to decide which
-files qualify.
+Feature CSVs use the common dialect: quotes doubled inside quoted fields,
+which may hold commas and newlines.  Folder scans read all headers in one
+job and plan one scan per distinct header, not per file.
 """
 
 from __future__ import annotations
 
+import csv
 import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.catalog import model_name_from_file
 from ..functions.text import sanitize_lines
@@ -28,6 +30,17 @@ REQUIRED_TRUTH = {
 # ------------------------------------------------------------------------------
 
 
+#: One option set for reading and writing feature CSVs.
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+
+
+def read_headers(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[tuple[str, list[str]]]:
+    """(path, column names) of each file: the first line of the split that starts at byte 0."""
+    lines = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("h"))
+    return sorted((r["file_path"], next(csv.reader([r["h"]]))) for r in first.collect())  # one row per file
+
+
 def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
     """File paths directly in ``folder`` with ``suffix`` (file metadata only)."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
@@ -45,22 +58,23 @@ def load_feature_folder(spark: SparkSession, folder: str, dataset: str, prefix:
 
     Each file's model name comes from its file name.  Files missing the
     dataset's truth columns are skipped and listed in the status table.
-    The union is by name with missing columns as null.
+    The union is by name with missing columns as null; every column is text.
     """
     required = REQUIRED_TRUTH.get(dataset, [])
-    good, status = [], []
-    for path in list_files(spark, folder):
-        cols = spark.read.option("header", True).csv(path).columns
+    groups: dict[tuple[str, ...], list[str]] = {}
+    status = []
+    for path, cols in read_headers(spark, folder):
         miss = missing_columns(cols, required)
         status.append((path, not miss, ",".join(miss)))
         if not miss:
-            good.append(path)
+            groups.setdefault(tuple(cols), []).append(path)
     st = spark.createDataFrame(status, "path string, loaded boolean, missing string")
-    if not good:
+    if not groups:
         return spark.createDataFrame([], "model_name string"), st
     out = None
-    for path in good:   # one reader per schema, unioned by name
-        df = spark.read.option("header", True).csv(path)
+    for cols, paths in groups.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+        df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(paths)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     fname = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
     return out.withColumn("model_name", model_name_from_file(fname, prefix)), st
@@ -68,12 +82,12 @@ def load_feature_folder(spark: SparkSession, folder: str, dataset: str, prefix:
 
 def load_features(spark: SparkSession, path: str) -> DataFrame:
     """One feature CSV."""
-    return spark.read.option("header", True).csv(path)
+    return spark.read.options(**CSV_OPTIONS).csv(path)
 
 
 def write_feature_csv(df: DataFrame, path: str, mode: str = "append") -> None:
     """Feature rows as CSV with a header; list features as JSON text."""
-    to_csv_row(df).write.mode(mode).option("header", True).csv(path)
+    to_csv_row(df).write.mode(mode).options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}).csv(path)
 
 
 def write_feature_bundle(df: DataFrame, path: str, metadata: dict) -> None:
@@ -93,7 +107,7 @@ def write_truth_joined(df: DataFrame, path: str) -> None:
 def write_chunk_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Chunk dataset sink."""
     w = df.write.mode("overwrite")
-    (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
+    (w.options(header=True, quote='"', escape='"').csv(path) if fmt == "csv" else w.parquet(path))
 
 
 def append_results(spark: SparkSession, row: dict, path: str) -> DataFrame:

@@ -83,9 +83,9 @@ ANN_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extended
 
 
 def coco_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images: one per order whose key is not a multiple of 7 (so some drop)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey").filter(F.col("o_orderkey") % 7 != 0)
-    return o.select(F.col("o_orderkey").alias("id"),
+    """Images: one per order; every 7th has an id that no annotation names (-key)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return o.select(F.when(F.col("o_orderkey") % 7 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("id"),
                     F.concat(F.lit("img_"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"))
 
 
@@ -105,9 +105,9 @@ def coco_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coco_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories: parts, leaving out every 10th so the default name is used."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name").filter(F.col("p_partkey") % 10 != 0)
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    """Categories: one per part; every 10th has an id that no annotation names (-key), so the default name is used."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return p.select(F.when(F.col("p_partkey") % 10 == 0, -F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"))
 
 
 def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:

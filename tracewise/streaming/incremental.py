@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import traces
+from ..sources.files import CSV_OPTIONS
 
 
 def trace_feature_stream(spark: SparkSession, src: str, schema: StructType, prob_col: str = "p_max",
@@ -49,7 +50,7 @@ def start_truth_enrichment(spark: SparkSession, src: str, schema: StructType, tr
     """
     from ..operators.truth import left_join_truth
     cols = truth_cols or {c: F.col(c) for c in truth.columns if c != key}
-    stream = (spark.readStream.schema(schema).option("header", True).csv(src)
+    stream = (spark.readStream.schema(schema).options(**CSV_OPTIONS).csv(src)
               .withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)))
 
     def write(batch: DataFrame, epoch: int):
