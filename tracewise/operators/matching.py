@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import GENERIC_WORDS, RELATIONS, attribute_category, canonical
+from ..functions.lexicons import GENERIC_WORDS, RELATIONS, attribute_category, canonical, noun_lemma
 from ..functions.similarity import may_reach, similarity
 from ..functions.text import PY_WORD, strip, words
 from ..session import materialize
@@ -95,8 +95,8 @@ def object_exists(terms: DataFrame, gt_objects: DataFrame, fuzzy: bool = True,
 
     A term exists when any holds: it is a generic scene word; equal to a
     reference object; same canonical form; one contains the other with both
-    longer than 3 characters; a word of it has the canonical form of a
-    reference object; ratio >= 0.7 (if ``fuzzy``).
+    longer than 3 characters; a word of it, or that word's lemma, has the
+    canonical form of a reference object; ratio >= 0.7 (if ``fuzzy``).
     """
     t = terms.select(KEY, "term").distinct().withColumn("_ol", F.lower(strip(F.col("term"))))
     g = gt_objects.select(KEY, F.col("obj")).distinct()
@@ -121,7 +121,7 @@ def object_exists(terms: DataFrame, gt_objects: DataFrame, fuzzy: bool = True,
     hit_parts.append(tl.join(g_sub, [KEY, "_ol"]).select(KEY, "term"))
     # lemma stage: any word of the term with the canonical form of an object
     tw = t.select(KEY, "term", F.explode(F.regexp_extract_all(F.col("_ol"), F.lit(f"[{PY_WORD}]+"), 0)).alias("_w"))
-    tw = tw.select(KEY, "term", canonical(F.col("_w")).alias("_gc"))
+    tw = tw.select(KEY, "term", F.explode(F.array_distinct(F.array(canonical(F.col("_w")), canonical(noun_lemma(F.col("_w")))))).alias("_gc"))
     hit_parts.append(tw.join(g.select(KEY, "_gc"), [KEY, "_gc"]).select(KEY, "term"))
     hits = hit_parts[0]
     for h in hit_parts[1:]:

@@ -5,14 +5,15 @@ and its output is the ``tokens`` table.  This default tagger is a Spark job:
 
 * split each text into pieces (whitespace run | word run | single other
   character) so that piece lengths add up to character offsets;
-* part of speech from fixed word lists; punctuation is PUNCT;
+* part of speech from closed word lists, then endings; any other word of
+  letters is a noun, whose lemma is its singular; punctuation is PUNCT;
 * heads by nearest-token rules inside a sentence: an adjective (or
   determiner) attaches to the next noun; a noun attaches to the preposition
   or verb just before it when no noun lies between (its object), else to the
   one just after it (its subject); everything else is a root.
 
-All windows share one spec (per text, in piece order), so tagging sorts once
-and no group is larger than one text.
+Windows run per text in piece order, forward and backward, with running
+frames: the cost is linear in the text and no group is larger than one text.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import (ACTION_RELATIONS, TAGGER_ADJECTIVES, TAGGER_DETERMINERS, TAGGER_NOUNS,
-                                  TAGGER_PREPOSITIONS, TAGGER_STOP_WORDS)
+from ..functions.lexicons import (ACTION_RELATIONS, TAGGER_ADJECTIVES, TAGGER_CLOSED, TAGGER_DETERMINERS, TAGGER_NOUNS,
+                                  TAGGER_PREPOSITIONS, TAGGER_STOP_WORDS, TAGGER_SUFFIXES, noun_lemma)
 from ..functions.text import PY_WORD, PY_WS
 
 PIECES = f"[{PY_WS}]+|[{PY_WORD}]+|[^{PY_WORD}{PY_WS}]"
@@ -38,14 +39,19 @@ def tag(df: DataFrame, ids: list[str], text_col: str = "text") -> DataFrame:
     t = p.filter(~F.col("piece").rlike(f"^[{PY_WS}]+$"))
     t = t.withColumn("tok_idx", (F.row_number().over(wt) - 1).cast("int"))
     lw = F.lower(F.col("piece"))
-    pos = (F.when(lw.isin(*TAGGER_NOUNS), "NOUN").when(lw.isin(*TAGGER_ADJECTIVES), "ADJ")
+    lem = noun_lemma(lw)
+    pos = (F.when(lem.isin(*TAGGER_NOUNS), "NOUN").when(lw.isin(*TAGGER_ADJECTIVES), "ADJ")
             .when(lw.isin(*TAGGER_PREPOSITIONS), "ADP").when(lw.isin(*ACTION_RELATIONS), "VERB")
             .when(lw.isin(*TAGGER_DETERMINERS), "DET")
-            .when(~F.col("piece").rlike(f"[{PY_WORD}]"), "PUNCT").otherwise("X"))
-    t = t.select(*ids, "pi", "tok_idx", F.col("piece").alias("text"), lw.alias("lemma"), pos.alias("pos"),
+            .when(~F.col("piece").rlike(f"[{PY_WORD}]"), "PUNCT")
+            .when(lw.isin(*TAGGER_STOP_WORDS, *TAGGER_CLOSED) | F.col("piece").rlike(r"[\p{N}_]"), "X"))
+    for kind, ending in TAGGER_SUFFIXES:
+        pos = pos.when((F.length(lw) > 4) & lw.rlike(ending), kind)
+    pos = pos.otherwise("NOUN")
+    t = t.select(*ids, "pi", "tok_idx", F.col("piece").alias("text"),
+                 F.when(pos == "NOUN", lem).otherwise(lw).alias("lemma"), pos.alias("pos"),
                  "char_start", (F.col("char_start") + F.length("piece")).cast("int").alias("char_end"),
                  lw.isin(*TAGGER_STOP_WORDS).alias("is_stop"))
-    # one window spec (text ordered by piece) for every step, so one sort:
     # "same sentence" is checked against the nearest sentence end instead of
     # partitioning by a sentence number
     wp = Window.partitionBy(*ids).orderBy("pi")

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import (ACTION_RELATIONS, GENERIC_WORDS, RELATIONS, TAGGER_ADJECTIVES,
-                                  TAGGER_DETERMINERS, TAGGER_NOUNS, TAGGER_PREPOSITIONS, TAGGER_STOP_WORDS,
+from ..functions.lexicons import (ACTION_RELATIONS, GENERIC_WORDS, IRREGULAR_NOUNS, RELATIONS, TAGGER_ADJECTIVES, TAGGER_CLOSED,
+                                  TAGGER_DETERMINERS, TAGGER_NOUNS, TAGGER_PREPOSITIONS, TAGGER_STOP_WORDS, TAGGER_SUFFIXES,
                                   attribute_category_map, synonym_map)
 from ..functions.text import PY_WORD, PY_WS
 from ..operators import chunks as chunk_ops
 from ..operators import labelling, matching, tagger
-from ..sources import fixtures
+from ..sources import fixtures, tables
 from ..sources.fixtures import ANN_ORDER
 from .registry import register, rounded
 
@@ -48,6 +48,16 @@ gen AS (SELECT sample_id, string_agg(sentence, ' ' ORDER BY pos) AS generated_de
 refs AS (SELECT sample_id, pos AS gt_idx, sentence AS gt_text FROM sen WHERE side = 'gt')"""
 
 
+def _lemma_sql(w: str) -> str:
+    """DuckDB restatement of lexicons.noun_lemma."""
+    irregular = " ".join(f"WHEN {w} = '{a}' THEN '{b}'" for a, b in IRREGULAR_NOUNS.items())
+    return f"""CASE {irregular}
+      WHEN length({w}) > 4 AND suffix({w}, 'ies') THEN left({w}, length({w}) - 3) || 'y'
+      WHEN length({w}) > 4 AND regexp_matches({w}, '(ss|sh|ch|x|z)es$') THEN left({w}, length({w}) - 2)
+      WHEN length({w}) > 3 AND suffix({w}, 's') AND NOT regexp_matches({w}, '(ss|us|is)$') THEN left({w}, length({w}) - 1)
+      ELSE {w} END"""
+
+
 def _tagger_sql(name: str, src: str, ids: list[str], text: str) -> str:
     i = ", ".join(ids)
     pieces = f"[{PY_WS}]+|[{PY_WORD}]+|[^{PY_WORD}{PY_WS}]"
@@ -61,16 +71,19 @@ def _tagger_sql(name: str, src: str, ids: list[str], text: str) -> str:
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS char_start FROM {name}_p),
 {name}_t AS (
   SELECT {i}, CAST(row_number() OVER (PARTITION BY {i} ORDER BY pi) - 1 AS INTEGER) AS tok_idx,
-         piece AS text, lower(piece) AS lemma,
-         CASE WHEN lower(piece) IN ({_q(TAGGER_NOUNS)}) THEN 'NOUN'
+         piece AS text, CASE WHEN pos = 'NOUN' THEN nl ELSE lower(piece) END AS lemma, pos,
+         char_start, CAST(char_start + length(piece) AS INTEGER) AS char_end,
+         lower(piece) IN ({_q(TAGGER_STOP_WORDS)}) AS is_stop
+  FROM (SELECT *, CASE WHEN nl IN ({_q(TAGGER_NOUNS)}) THEN 'NOUN'
               WHEN lower(piece) IN ({_q(TAGGER_ADJECTIVES)}) THEN 'ADJ'
               WHEN lower(piece) IN ({_q(TAGGER_PREPOSITIONS)}) THEN 'ADP'
               WHEN lower(piece) IN ({_q(ACTION_RELATIONS)}) THEN 'VERB'
               WHEN lower(piece) IN ({_q(TAGGER_DETERMINERS)}) THEN 'DET'
-              WHEN NOT regexp_matches(piece, '[{PY_WORD}]') THEN 'PUNCT' ELSE 'X' END AS pos,
-         char_start, CAST(char_start + length(piece) AS INTEGER) AS char_end,
-         lower(piece) IN ({_q(TAGGER_STOP_WORDS)}) AS is_stop
-  FROM {name}_o WHERE NOT regexp_full_match(piece, '[{PY_WS}]+')),
+              WHEN NOT regexp_matches(piece, '[{PY_WORD}]') THEN 'PUNCT'
+              WHEN lower(piece) IN ({_q(TAGGER_STOP_WORDS + TAGGER_CLOSED)}) OR regexp_matches(piece, '[\\p{{N}}_]') THEN 'X'
+              {' '.join(f"WHEN length(piece) > 4 AND regexp_matches(lower(piece), '{e}') THEN '{k}'" for k, e in TAGGER_SUFFIXES)}
+              ELSE 'NOUN' END AS pos
+        FROM (SELECT *, {_lemma_sql('lower(piece)')} AS nl FROM {name}_o WHERE NOT regexp_full_match(piece, '[{PY_WS}]+')))),
 {name}_s AS (
   SELECT *, coalesce(sum(CASE WHEN text IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY {i}
          ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM {name}_t),
@@ -151,8 +164,9 @@ terms AS (SELECT DISTINCT sample_id, term FROM (
 tl AS (SELECT sample_id, term, lower({STRIP('term')}) AS ol FROM terms),
 tc AS (SELECT tl.*, coalesce(s.base, tl.ol) AS oc FROM tl LEFT JOIN syn s ON s.word = tl.ol),
 gc AS (SELECT g.sample_id, g.obj, coalesce(s.base, g.obj) AS gcan FROM gobj g LEFT JOIN syn s ON s.word = g.obj),
+tw0 AS (SELECT sample_id, term, unnest(regexp_extract_all(ol, '[{PY_WORD}]+')) AS w FROM tl),
 tw AS (SELECT sample_id, term, coalesce(s.base, w) AS wc FROM (
-         SELECT sample_id, term, unnest(regexp_extract_all(ol, '[{PY_WORD}]+')) AS w FROM tl) x
+         SELECT sample_id, term, w FROM tw0 UNION SELECT sample_id, term, {_lemma_sql('w')} FROM tw0) x
        LEFT JOIN syn s ON s.word = x.w),
 ex AS (SELECT tc.sample_id, tc.term,
   tc.ol IN ({_q(GENERIC_WORDS)})
@@ -176,6 +190,13 @@ def tagged_tokens(spark, sf):
     return tagger.tag(g, ["sample_id"], "generated_description")
 
 
+@register("tagged_documents", "F5 (default tagger with lemmas over whole documents)", f"""
+WITH {_tagger_sql('tok', 'documents', ['doc_id'], 'text')}
+SELECT * FROM tok""")
+def tagged_documents(spark, sf):
+    return tagger.tag(tables.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text")
+
+
 @register("chunks_extracted", "C1 C2 C3 C4 J10 J11 U2 W8 O3 (chunks in order)", f"""
 WITH {CHUNKS}
 SELECT sample_id, chunk_idx, chunk_text, chunk_type, "start", "end", attribute, object, relation,
