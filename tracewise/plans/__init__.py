@@ -10,6 +10,7 @@ MODULES = [
     "label_queries",
     "score_queries",
     "learn_queries",
+    "io_queries",
 ]
 
 

@@ -165,7 +165,7 @@ def trace_lists(spark, sf):
                     r(F.col("feature_60")).alias("feature_60"), r(F.col("feature_61")).alias("feature_61"))
 
 
-@register("trace_row_features", "X1 form (per-row array features == grouped features)", f"""
+TRACE_ROW_FEATURES = f"""
 WITH {PROB_TRACE}, {LEADS}
 SELECT sample_id,
   round(avg(1.0::DOUBLE / greatest(p_max, 1e-10)), 6) AS feature_66,
@@ -180,7 +180,10 @@ SELECT sample_id,
   round(coalesce(avg(abs(p_max_lead1 - p_max)), 0.0::DOUBLE), 6) AS mean_grad,
   round(CASE WHEN count(p_max_lead1) >= 3 THEN greatest(0.0::DOUBLE, -least(min(p_max_lead3 - p_max), 0.0::DOUBLE))
         ELSE 0.0::DOUBLE END, 6) AS largest_window_drop
-FROM leads GROUP BY sample_id""")
+FROM leads GROUP BY sample_id"""
+
+
+@register("trace_row_features", "X1 form (per-row array features == grouped features)", TRACE_ROW_FEATURES)
 def trace_row_features(spark, sf):
     a = traces.trace_arrays(_trace(spark, sf))
     f = traces.row_features(F.col("feature_60"))

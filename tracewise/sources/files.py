@@ -31,7 +31,9 @@ REQUIRED_TRUTH = {
 
 
 #: One option set for reading and writing feature CSVs.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+_WRITE = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
 
 
 def read_headers(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[tuple[str, list[str]]]:
@@ -87,7 +89,7 @@ def load_features(spark: SparkSession, path: str) -> DataFrame:
 
 def write_feature_csv(df: DataFrame, path: str, mode: str = "append") -> None:
     """Feature rows as CSV with a header; list features as JSON text."""
-    to_csv_row(df).write.mode(mode).options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}).csv(path)
+    to_csv_row(df).write.mode(mode).options(**_WRITE).csv(path)
 
 
 def write_feature_bundle(df: DataFrame, path: str, metadata: dict) -> None:
@@ -107,7 +109,7 @@ def write_truth_joined(df: DataFrame, path: str) -> None:
 def write_chunk_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Chunk dataset sink."""
     w = df.write.mode("overwrite")
-    (w.options(header=True, quote='"', escape='"').csv(path) if fmt == "csv" else w.parquet(path))
+    (w.options(**_WRITE).csv(path) if fmt == "csv" else w.parquet(path))
 
 
 def append_results(spark: SparkSession, row: dict, path: str) -> DataFrame:
@@ -117,6 +119,12 @@ def append_results(spark: SparkSession, row: dict, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def append_result_rows(rows: DataFrame, path: str) -> DataFrame:
+    """Append result rows of any columns and read the whole log with schema union."""
+    rows.write.mode("append").parquet(path)
+    return rows.sparkSession.read.option("mergeSchema", True).parquet(path)
+
+
 def write_text_column(df: DataFrame, col: str, path: str, strip_ends: bool = False) -> None:
     """One line per row, newlines replaced by spaces."""
     df.select(sanitize_lines(F.col(col).cast("string"), strip_ends).alias("value")).write.mode("overwrite").text(path)
