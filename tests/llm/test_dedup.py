@@ -99,19 +99,19 @@ def slow_strip(rows):
         words = [p.lower().split() for p in parts]
         idx = [i for i, w in enumerate(words) if w]
         gone = set()
+        size = [len(words[i]) for i in idx]
+        enough = lambda a, b: b - a >= 1 and sum(size[a:b + 1]) >= 20
+        runs = set()
         for a in range(len(idx)):
-            n, b = 0, a
-            if len(words[idx[a]]) >= 40:
-                b = a + 1
-            else:
-                while b < len(idx) and not (n >= 20 and b - a >= 2):
-                    n += len(words[idx[b]])
-                    b += 1
-                if not (n >= 20 and b - a >= 2):
-                    continue
-            key = " ".join(" ".join(words[idx[x]]) for x in range(a, b))
+            if size[a] >= 40:
+                runs.add((a, a))
+                continue
+            runs.update([(a, b) for b in range(a, len(idx)) if enough(a, b)][:1])
+            runs.update([(c, a) for c in range(a, -1, -1) if enough(c, a)][:1])
+        for a, b in sorted(runs):
+            key = " ".join(" ".join(words[idx[x]]) for x in range(a, b + 1))
             if key in seen:
-                gone.update(range(idx[a], idx[b - 1] + 1))
+                gone.update(range(idx[a], idx[b] + 1))
             seen.add(key)
         left[k] = "".join(p for i, p in enumerate(parts) if i not in gone)
     return left
@@ -134,6 +134,13 @@ def test_passage_stays_once(spark):
         assert "harbour" not in got[i].text and "kitchens" not in got[i].text and got[i].text.startswith(f"Opening line number {i}")
 
 
+def test_short_last_sentence_of_a_passage_goes(spark):
+    passage = PASSAGE + " So it ended."
+    own = [(i, f"Page {i} has an opening. {passage} Then page {i} has words {' '.join(f'w{i}x{k}' for k in range(30))}.") for i in (1, 2)]
+    got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(documents(spark, own)).collect()}
+    assert passage in got[1] and "So it ended" not in got[2] and got[2].startswith("Page 2 has an opening. Then page 2")
+
+
 def test_span_dedup_awkward_rows(spark):
     docs = awkward(spark)
     out = substring_dedup.without_repeats(docs)

@@ -39,30 +39,32 @@ def sentences(text: str) -> list[str]:
 def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS) -> tuple[list[bytes], list[int], list[int]]:
     """128-bit hash, first sentence and length of each run.
 
-    The run from each sentence is the shortest one with ``min_sentences``
-    sentences and ``min_words`` words, or one sentence of ``alone_words``.
-    Sentences are compared in lower case with single spaces; those without a
-    word count for nothing.
+    From each sentence the shortest run on, and to each sentence the shortest
+    run back, with ``min_sentences`` sentences and ``min_words`` words; for a
+    sentence of ``alone_words`` it is that sentence.  The runs back reach the
+    last sentences of a repeated passage.  Sentences are compared in lower
+    case with single spaces; those without a word count for nothing.
     """
     parts = [(k, w) for k, w in enumerate(s.split() for s in sentences(text.lower())) if w]
+    if not parts:
+        return [], [], []
     lines = [" ".join(w).encode() for _, w in parts]
-    sizes = [len(w) for _, w in parts]
-    digests, firsts, lengths = [], [], []
-    end = total = 0
-    for i in range(len(parts)):
-        while end < len(parts) and not (total >= min_words and end - i >= min_sentences or end - i == 1 and total >= alone_words):
-            total += sizes[end]
-            end += 1
-        n = 1 if sizes[i] >= alone_words else end - i
-        if n == 1 and sizes[i] < alone_words or n > 1 and (total < min_words or n < min_sentences):
-            break  # the rest of the text is too short for a run
-        digests.append(xxhash.xxh3_128_digest(b" ".join(lines[i:i + n])))
-        firsts.append(parts[i][0])
-        lengths.append(parts[i + n - 1][0] - parts[i][0] + 1)
-        total -= sizes[i]
-        end = max(end, i + 1)
-        total = max(total, 0)
-    return digests, firsts, lengths
+    sizes = np.array([len(w) for _, w in parts])
+    place = np.arange(len(parts))
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    last = np.maximum(np.searchsorted(upto, upto[:-1] + min_words, side="left") - 1, place + min_sentences - 1)
+    first = np.minimum(np.searchsorted(upto, upto[1:] - min_words, side="right") - 1, place - min_sentences + 1)
+    alone = sizes >= alone_words
+    last[alone], first[alone] = place[alone], place[alone]
+    on, back = last < len(parts), first >= 0
+    runs = np.unique(np.concatenate([place[on] * len(parts) + last[on], first[back] * len(parts) + place[back]]))
+    a, b = runs // len(parts), runs % len(parts)
+    ends = np.cumsum(np.array([len(x) + 1 for x in lines])) - 1
+    starts = ends - np.array([len(x) for x in lines])
+    joined, digest = b" ".join(lines), xxhash.xxh3_128_digest
+    number = np.array([k for k, _ in parts])
+    return ([digest(joined[x:y]) for x, y in zip(starts[a].tolist(), ends[b].tolist())], number[a].tolist(),
+            (number[b] - number[a] + 1).tolist())
 
 
 def _halves(digests: list[bytes]) -> np.ndarray:
@@ -130,7 +132,7 @@ def _with_cuts(docs: DataFrame, id_col: str, text_col: str, limits: dict) -> Dat
     """``docs`` with the spans to cut from each row's text as last column."""
     d = narrow(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     cuts = (repeated_spans(d, **limits).groupBy("doc_id", "text_hash")
-            .agg(F.collect_set(F.struct("first", "size")).alias("__cuts")))  # at most one span per sentence
+            .agg(F.collect_set(F.struct("first", "size")).alias("__cuts")))  # at most two spans per sentence
     c = cuts.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
     return docs.join(c, same, "left").drop("__id", "__hash")
