@@ -72,3 +72,10 @@ def test_awkward_rows(spark):
     assert D.contamination(empty(spark), items).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in D.contamination(awkward(spark), none).collect())
+
+
+def test_many_rows_equal_in_id_and_text_are_one_document(spark):
+    docs = documents(spark, [(None, "red fox jumps high")] * 300 + [(None, None)] * 300 + [(4, "red fox")])
+    items = spark.createDataFrame([(7, "fox jumps"), (8, "red fox")], "item_id long, text string")
+    got = rows(D.contamination(docs, items))
+    assert got == sorted(brute([(None, "red fox jumps high"), (None, None), (4, "red fox")], [(7, "fox jumps"), (8, "red fox")]), key=repr)

@@ -188,7 +188,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
         phrases.order_by_rarity({r["terms"]: r["n"] for r in counts})
         hits = index.mapInArrow(_search(spark.sparkContext.broadcast(phrases), slop), _HITS_DDL)
         found = hits if found is None else found.unionByName(hits)
-    flat = lambda c: F.flatten(F.collect_list(c))
+    flat = lambda c: F.flatten(F.collect_set(c))  # a set: rows that repeat id and text hold one entry per block
     return found.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(flat("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(flat("items"))).alias("items"),
