@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewise.operators import features as feat
-from tracewise.operators import learn, prep
+from tracewise.operators import learn, prep, report
 
 
 def table(spark, n_per_class=(40, 12, 5), dim=3, seed=1):
@@ -95,3 +95,34 @@ def test_fit_predict_importance(spark):
     assert acc > 0.6
     imp = learn.permutation_importance(m, t, ["x0", "x1", "x2"], "id", "label_idx")
     assert imp.count() == 3
+
+
+def test_compare_models_equals_separate_fits(spark):
+    t = prep.encode_labels(table(spark, (60, 50, 40)), "label").withColumn("is_test", F.col("id") % 4 == 0)
+    t = t.withColumn("model", F.when(F.col("id") % 2 == 0, "a").otherwise("b")).withColumn("weight", F.lit(1.0))
+    lone = t.filter("label_idx = 0 and not is_test").withColumn("model", F.lit("one class"))
+    t = t.withColumn("is_test", F.col("id") % 5 == 0)
+    x = ["x0", "x1", "x2"]
+    got = {r.group: r for r in learn.compare_models(t.unionByName(lone), "model", x).collect()}
+    for g in ("a", "b"):
+        part = t.filter(F.col("model") == g)
+        m = learn.fit(part.filter("not is_test"), x, "label_idx", "weight")
+        p = learn.predict(m, part.filter("is_test"), x, [F.col("label_idx").alias("y")])
+        want = report.summary_metrics(p).first()
+        assert got[g].error is None and abs(got[g].accuracy - want.accuracy) < 1e-9 and abs(got[g].macro_f1 - want.macro_f1) < 1e-9
+        assert abs(got[g].weighted_f1 - want.weighted_f1) < 1e-9 and 0.5 < got[g].macro_auc <= 1
+    assert got["one class"].accuracy is None and "two classes" in got["one class"].error
+
+
+def test_importance_permutes_one_column_and_reports_groups(spark):
+    t = prep.encode_labels(table(spark, (30, 30, 30)), "label").withColumn("weight", F.lit(1.0))
+    named = t.select("id", "label_idx", "weight", F.col("x0").alias("feature_3"), F.lit(0.0).alias("feature_65"), F.col("x1").alias("feature_70"))
+    cols = ["feature_3", "feature_65", "feature_70"]
+    m = learn.fit(named, cols, "label_idx", "weight", max_iter=30)
+    imp = learn.permutation_importance(m, named, cols, "id", "label_idx")
+    by = {r.feature: r.importance for r in imp.collect()}
+    assert set(by) == set(cols) and by["feature_65"] == 0.0 and by["feature_3"] > 0
+    rows = report.importance_report(imp).collect()
+    late = sorted((r["rank"], r.feature, r.group_name) for r in rows if r.section == "signals_62_73")
+    assert late == [(1, "feature_70", "Perplexity/Confidence"), (2, "feature_65", "Attention Concentration")]
+    assert {r.group_name for r in rows if r.section == "groups"} == {"signal_0_61", "signal_62_73"}

@@ -84,6 +84,28 @@ def summary_metrics(pred: DataFrame, y: str = "y", p: str = "pred") -> DataFrame
     return acc.crossJoin(agg)
 
 
+def summary_metrics_by(pred: DataFrame, group: str, y: str = "y", p: str = "pred") -> DataFrame:
+    """Accuracy and macro / weighted averages for every value of ``group``.
+
+    Every count comes from one confusion table (groups x classes x classes
+    rows): a cell counts once for its true and once for its predicted class.
+    """
+    c = pred.groupBy(group, y, p).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col(y) == F.col(p), F.col("n")).otherwise(F.lit(0))
+    sides = F.explode(F.array(F.struct(F.col(y).cast("int").alias("cls"), F.col("n").alias("support"), hit.alias("tp"), F.lit(0).cast("long").alias("pred_n")),
+                              F.struct(F.col(p).cast("int").alias("cls"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("tp"),
+                                       F.col("n").alias("pred_n"))))
+    m = c.select(group, sides.alias("s")).groupBy(group, "s.cls").agg(*[F.sum(f"s.{k}").alias(k) for k in ("support", "tp", "pred_n")])
+    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("pred_n")), F.lit(0.0))
+    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    m = m.withColumns({"precision": prec, "recall": rec}).withColumn("f1", f1)
+    mean = lambda k: (F.sum(F.col(k) * F.col("support")) / F.sum("support")).alias(f"weighted_{k}")
+    return m.groupBy(group).agg((F.sum("tp") / F.sum("support")).alias("accuracy"),
+                                *[F.avg(k).alias(f"macro_{k}") for k in ("precision", "recall", "f1")],
+                                *[mean(k) for k in ("precision", "recall", "f1")])
+
+
 def auc_by_group(scored: DataFrame, group: str, score: str, positive: str) -> DataFrame:
     """Tie-aware ROC AUC per group via the Mann-Whitney rank sum.
 
@@ -114,6 +136,15 @@ def auc_one_vs_rest(probs: DataFrame, y: str = "y", cls: str = "cls", prob: str
     return per, avg
 
 
+def auc_one_vs_rest_by(probs: DataFrame, group: str, y: str = "y", cls: str = "cls", prob: str = "prob") -> DataFrame:
+    """Macro and support-weighted one-vs-rest AUC for every value of ``group``."""
+    d = probs.select(F.struct(F.col(group).alias("g"), F.col(cls).alias("c")).alias("_gc"), F.col(prob).alias("_p"),
+                     (F.col(y) == F.col(cls)).cast("int").alias("_is"))
+    per = auc_by_group(d, "_gc", "_p", "_is").filter(F.col("auc").isNotNull())
+    return per.groupBy(F.col("_gc.g").alias(group)).agg(
+        F.avg("auc").alias("macro_auc"), (F.sum(F.col("auc") * F.col("n_pos")) / F.sum("n_pos")).alias("weighted_auc"))
+
+
 def importance_groups(imp: DataFrame, feature: str = "feature", importance: str = "importance") -> DataFrame:
     """Sum and share of importance by group: 0-61, 62-73, other."""
     idx = F.regexp_extract(F.col(feature), r"^feature_(\d+)", 1)
@@ -145,6 +176,24 @@ def top_importance(imp: DataFrame, k: int = 20, feature: str = "feature", import
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(importance), F.asc(feature))))
 
 
+def importance_report(imp: DataFrame, k: int = 20, k_signals: int = 10) -> DataFrame:
+    """(section, rank, feature, group_name, importance, share_pct): the three parts of the importance report.
+
+    ``top``: best ``k`` of all columns; ``signals_62_73``: best ``k_signals``
+    of features 62 to 73 with their group names; ``groups``: totals and shares.
+    """
+    idx = F.when(F.regexp_extract("feature", r"^feature_(\d+)", 1) != "", F.regexp_extract("feature", r"^feature_(\d+)", 1).cast("int"))
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    top = top_importance(imp, k).select(F.lit("top").alias("section"), "rank", "feature", none("string", "group_name"), "importance",
+                                        none("double", "share_pct"))
+    late = top_importance(imp.filter(idx.between(62, 73)), k_signals).select(
+        F.lit("signals_62_73").alias("section"), "rank", "feature", feature_group_name(idx).alias("group_name"), "importance",
+        none("double", "share_pct"))
+    groups = importance_groups(imp).select(F.lit("groups").alias("section"), none("int", "rank"), none("string", "feature"),
+                                           F.col("group").alias("group_name"), "importance", "share_pct")
+    return top.unionByName(late).unionByName(groups)
+
+
 def run_summary(chunks: DataFrame, model_col: str, dataset_col: str, label: str) -> DataFrame:
     """One row per (model, dataset): totals and label mix."""
     return chunks.groupBy(model_col, dataset_col).agg(

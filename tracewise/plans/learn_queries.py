@@ -8,6 +8,7 @@ from ..operators import features as feat
 from ..operators import labelling, layers, learn, prep, report, traces
 from ..sources import fixtures, tables
 from ..functions.text import repetition_features, words
+from ..session import materialize
 from .registry import register, rounded
 from .label_queries import LABELS_EXACT
 from .trace_queries import PROB_TRACE
@@ -318,9 +319,101 @@ def run_summary(spark, sf):
     return rounded(report.run_summary(lab.join(o, "sample_id"), "model_name", "dataset", "chunk_label"))
 
 
-@register("model_comparison", "M14 A27 (one fit + evaluation per dataset group; errors isolated)")
+@register("model_comparison", "M14 A27 (every dataset group fitted and judged in one job)")
 def model_comparison(spark, sf):
     sp = prep.encode_labels(_split(spark, sf), "label")
     sp = sp.withColumn("dataset", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd"))
     sp = prep.with_class_weights(sp, "label")
     return learn.compare_models(sp, "dataset", FEATS)
+
+
+def _filled(c: str) -> F.Column:
+    """A matrix value as double; null and the NaN of an empty list count as 0."""
+    return F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
+
+
+def _chunk_matrix(spark, sf):
+    """The multi-class chunk matrix with its label, split by sample, and its columns."""
+    d = feat.preprocess(chunk_dataset(spark, sf), "multiclass")
+    cols = feat.matrix_columns(d, "multiclass")
+    d = materialize(d.select(F.concat_ws("_", "sample_id", "chunk_idx").alias("row_id"), "sample_id", "model_name",
+                             F.col("chunk_label").alias("label"), *[_filled(c) for c in cols]))
+    return prep.stratified_split(prep.encode_labels(d, "label"), "row_id", "label", group="sample_id"), cols
+
+
+def _scaled_and_weighted(split, cols):
+    """Training and test rows, scaled by the training rows' statistics, training rows with class weights."""
+    train = split.filter(~F.col("is_test"))
+    scaled = materialize(prep.apply_scaler(split, prep.fit_scaler(train, cols), cols))
+    return prep.with_class_weights(scaled.filter(~F.col("is_test")), "label"), scaled.filter(F.col("is_test"))
+
+
+def _chunk_model(spark, sf):
+    split, cols = _chunk_matrix(spark, sf)
+    train, test = _scaled_and_weighted(split, cols)
+    return learn.fit(train, cols, "label_idx", "weight", max_iter=50), train, test, cols
+
+
+@register("chunk_train_predict", "M2 M4 M5 M7 M8 M10 V13 (weighted fit on the chunk matrix, split by sample; test predictions)")
+def chunk_train_predict(spark, sf):
+    model, _, test, cols = _chunk_model(spark, sf)
+    return learn.predict(model, test, cols, ["row_id", "label", "label_idx"])
+
+
+@register("chunk_evaluation_report", "M11 A24 A25 (metrics of the chunk model on its test samples)")
+def chunk_evaluation_report(spark, sf):
+    model, train, test, cols = _chunk_model(spark, sf)
+    p = learn.predict(model, test, cols, [F.col("label_idx").alias("y")])
+    _, auc = report.auc_one_vs_rest(p.select("y", F.posexplode("probs").alias("cls", "prob")))
+    sizes = train.agg(F.count(F.lit(1)).alias("n_train")).crossJoin(test.agg(F.count(F.lit(1)).alias("n_test")))
+    return sizes.crossJoin(report.summary_metrics(p)).crossJoin(auc)
+
+
+@register("chunk_importance", "M12 M13 O4 O6 A26 (importance of the chunk matrix's columns: top 20, top 10 of 62-73, group shares)")
+def chunk_importance(spark, sf):
+    model, _, test, cols = _chunk_model(spark, sf)
+    return report.importance_report(materialize(learn.permutation_importance(model, test, cols, "row_id", "label_idx")))
+
+
+@register("chunk_model_comparison", "M14 A27 (a chunk model per model name, fitted and judged in one job)")
+def chunk_model_comparison(spark, sf):
+    split, cols = _chunk_matrix(spark, sf)
+    train, test = _scaled_and_weighted(split, cols)
+    return learn.compare_models(train.unionByName(test.withColumn("weight", F.lit(1.0))), "model_name", cols, max_iter=50)
+
+
+@register("chunk_split_counts", "M5 M7 A19 A20 (chunks split by sample, counts and class weights of the training side, exact rules)",
+          LABELS_EXACT + """
+, sp AS (SELECT chunk_label AS label, sample_id,
+                ('0x' || substr(md5(CAST(sample_id AS VARCHAR) || ':42'), 1, 12))::BIGINT / 281474976710656.0 < 0.2 AS is_test FROM labels),
+c AS (SELECT label, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test,
+             count(DISTINCT sample_id) FILTER (is_test) AS test_samples FROM sp GROUP BY label),
+t AS (SELECT sum(n_train) AS total FROM c)
+SELECT label, n_train, n_test, test_samples,
+       round(CASE WHEN n_train > 0 THEN total / n_train * CASE WHEN n_train < total * 0.05 THEN 3.0 WHEN n_train < total * 0.10 THEN 2.0
+             ELSE 1.0 END END, 6)::DOUBLE AS weight FROM c, t""")
+def chunk_split_counts(spark, sf):
+    li = labelling.prepare(fixtures.generations(spark, sf), fixtures.references(spark, sf))
+    lab = labelling.label(li, fuzzy=False).select("sample_id", "chunk_idx", F.col("chunk_label").alias("label"))
+    sp = prep.stratified_split(lab, "chunk_idx", "label", group="sample_id")
+    c = sp.groupBy("label").agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if(F.col("is_test")).alias("n_test"),
+                                F.count_distinct(F.when(F.col("is_test"), F.col("sample_id"))).alias("test_samples"))
+    w = report.class_weights(sp.filter(~F.col("is_test")), "label").select("label", "weight")
+    return rounded(c.join(w, "label", "left"))
+
+
+@register("binary_model_report", "M3 M9 A21 A24 A25 (binary fit with the positive weight on the binary matrix, split by sample)")
+def binary_model_report(spark, sf):
+    names = [f"x_{i}" for i in range(65)]
+    x = binary_matrix(spark, sf).select("sample_id", *[F.col("x_binary")[i].alias(c) for i, c in enumerate(names)])
+    x = x.select("sample_id", *[_filled(c) for c in names])
+    truth = (tables.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("quality") < 3).cast("int").alias("label")))
+    d = prep.stratified_split(materialize(x.join(truth, "sample_id")), "sample_id", "label", 0.2, 42)
+    pos = report.positive_weight(d.filter(~F.col("is_test")), "label")
+    d = d.crossJoin(F.broadcast(pos)).withColumn("weight", F.when(F.col("label") == 1, F.col("pos_weight")).otherwise(F.lit(1.0)))
+    train = d.filter(~F.col("is_test"))
+    d = materialize(prep.apply_scaler(d, prep.fit_scaler(train, names), names))
+    model = learn.fit(d.filter(~F.col("is_test")), names, "label", "weight", family="binomial", max_iter=50, reg=0.01)
+    p = learn.predict(model, d.filter(F.col("is_test")), names, [F.col("label").alias("y")])
+    _, auc = report.auc_one_vs_rest(p.select("y", F.posexplode("probs").alias("cls", "prob")))
+    return report.summary_metrics(p).crossJoin(auc).crossJoin(pos)
