@@ -31,6 +31,13 @@ def brute(docs, items, window=13):
     return out
 
 
+def test_words_of_every_character():
+    for c in [*range(0xD800), 0xE000, 0xFEFF, 0x1F600]:
+        text = f"A{chr(c)}b{chr(c)}{chr(c)}Z"
+        low = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text)
+        assert [w.decode() for w in D.words(text)] == re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+
+
 def rows(df):
     return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect()), key=repr)
 

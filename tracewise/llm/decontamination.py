@@ -14,8 +14,8 @@ block's phrases are the only thing broadcast.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from .common import narrow, record_batch, stored, text_slices, texts_of
 ITEM_BLOCK_BYTES = 64 << 20
 WINDOW = 13
 SLOP = 16
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+# byte map: A-Z to lower case; digits, a-z and the bytes of characters beyond ASCII as they are; the rest to spaces
+_FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 
 _INDEX = pa.schema([("n_postings", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("text_hashes", pa.list_(pa.int64())),
                     ("bases", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())),
@@ -40,16 +40,16 @@ _HITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words"
 _HITS_DDL = "doc_id long, text_hash long, n_words long, hits array<array<long>>, items array<string>, near_items array<string>"
 
 
-def words(text: str) -> list[str]:
-    """Words after lower-casing A-Z: runs of digits, letters a-z and characters beyond ASCII."""
-    return _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+def words(text: str) -> list[bytes]:
+    """Words (UTF-8) after lower-casing A-Z: runs of digits, letters a-z and characters beyond ASCII."""
+    return text.encode().translate(_FOLD).split()
 
 
 class Phrases:
     """The distinct windows of a block of test items, with their items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
@@ -71,7 +71,7 @@ def _build(vocabulary) -> object:
             found, at, bases, sizes, base = [], [], [], [], 0
             for text in texts_of(batch):
                 w = words(text)
-                ids = np.fromiter((ids_of(x, -1) for x in w), dtype=np.int32, count=len(w))
+                ids = np.fromiter(map(ids_of, w, repeat(-1)), dtype=np.int32, count=len(w))
                 known = np.flatnonzero(ids >= 0)
                 found.append(ids[known])
                 at.append((known + base).astype(np.int32))
