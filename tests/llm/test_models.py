@@ -122,3 +122,25 @@ def test_sketches_merge(spark):
     fine, whole = quality.sketches(s), quality.sketches(s.withColumn("source", s.lang))
     a = {tuple(r) for r in quality.merged(fine, "lang").collect()}
     assert a == {tuple(r) for r in quality.merged(whole, "lang").collect()}
+
+
+def test_fences_have_no_fixed_width(spark):
+    word = "abcde abcdf abcdg abcdh abcdi abcdj abcdk abcdl abcdm abcdn ".split()
+    text = lambda i, symbols: " ".join(f"{w}{i % 7}{k}" for k, w in enumerate(word * 10)) + " #" * symbols
+    texts = [(i, text(i, 2 if i % 2 else 0), "en", "mixed") for i in range(200)] + [(i, text(i, 0), "en", "clean") for i in range(300, 500)]
+    texts += [(900, text(0, 15), "en", "mixed"), (901, text(0, 2), "en", "mixed"), (902, text(0, 2), "en", "clean"), (903, text(0, 15), "en", "clean")]
+    got = {r.doc_id: r.kept for r in quality.quality(documents(spark, texts)).collect()}
+    # the same two symbols are usual in one source and an outlier in the other; fifteen are outliers in both
+    assert all(got[i] for i in [*range(200), *range(300, 500), 901]) and not any(got[i] for i in (900, 902, 903))
+    fixed = {r.doc_id: r.kept for r in quality.quality(documents(spark, texts), fences=quality.quartile_fences).collect()}
+    assert fixed[900] and fixed[902] and fixed[903]
+
+
+def test_sketch_fences_leave_few_beyond(spark):
+    s = quality.signals(table(spark, SF, "documents")).filter("n_words > 0")
+    whole = s.withColumns({"lang": quality.F.lit(""), "source": quality.F.lit("")})
+    t = quality.thresholds(quality.sketches(whole)).first()
+    for name, x in quality.ratios().items():
+        values = [r[0] for r in whole.select(x).collect()]
+        assert sum(v > t[f"{name}_high"] for v in values) * quality.TAIL <= len(values)
+        assert sum(v < t[f"{name}_low"] for v in values) * quality.TAIL <= len(values)

@@ -63,6 +63,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that ``_op7_sql`` states, with its fixed least ranges."""
+    return quality.quality(table(spark, sf_dir, "documents"), fences=quality.quartile_fences)
+
+
+def op7_quality_rules_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
@@ -163,7 +168,7 @@ FROM s LEFT JOIN t USING (lang, source)
 
 def queries() -> dict[str, Query]:
     every = [op1_decontamination, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_warc,
-             op7_quality_rules, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output]
+             op7_quality_rules, op7_quality_rules_adaptive, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output]
     return {f.__name__: f for f in every}
 
 
