@@ -162,3 +162,33 @@ def test_bk_search_finds_every_pair():
     a, b = simhash.bk_links(shard, fps, np.arange(len(fps)), 2)
     want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if i != j and int(fps[i] ^ fps[j]).bit_count() <= 2}
     assert set(zip(a.tolist(), b.tolist())) == want
+
+
+CHINESE = ("老港长在暴风雨来临之前把每一条船都数了两遍。他把数字记在一本绿色的本子里。后来再也没有人要求看那本本子！水涨起来的时候书页一张一张漂走了。"
+           "孩子们沿着海岸把它们捡起来，保存了很多年。有人问“为什么？”其中一些至今还挂在山上的厨房里。")
+HINDI = ("बूढ़े बंदरगाह प्रमुख ने तूफान आने से पहले हर नाव को दो बार गिना। उसने संख्याओं को एक हरी किताब में लिख दिया। "
+         "उसके बाद किसी ने भी वह किताब देखने को नहीं कहा। बच्चों ने पन्नों को किनारे पर पकड़ा और बरसों तक संभाल कर रखा।")
+THAI = "นายท่าเรือเก่านับเรือทุกลำสองครั้งก่อนพายุจะมา เขาเขียนตัวเลขลงในสมุดสีเขียว ไม่มีใครขอดูสมุดเล่มนั้นอีกเลย เมื่อน้ำขึ้นหน้ากระดาษก็ลอยออกไปทีละแผ่น เด็กๆเก็บไว้ตามชายฝั่งหลายปี"
+
+
+def test_sentences_of_other_scripts():
+    cut = substring_dedup.sentences
+    assert cut("他走了。她说“好！”天黑了") == ["他走了。", "她说“好！”", "天黑了"]
+    assert cut("एक बात। दूसरी बात।") == ["एक बात। ", "दूसरी बात।"] and cut("ماذا؟ نعم") == ["ماذا؟ ", "نعم"]
+    assert cut("นายท่า เขาเขียน") == ["นายท่า ", "เขาเขียน"]
+    assert cut("Übergröße 3.5 m. Ende… ja") == ["Übergröße 3.5 m. ", "Ende… ja"]
+    for text in (CHINESE, HINDI, THAI, PASSAGE):
+        assert "".join(cut(text)) == text and len(cut(text)) > 3
+    assert substring_dedup.word_count("他有3本book。", ["他有3本book。"]) == 4 and substring_dedup.word_count("öl - 3", ["öl", "-", "3"]) == 3
+
+
+def test_passages_of_other_scripts_stay_once(spark):
+    for passage, opening, closing in ((CHINESE, "第{}页有自己的开头。", "第{}页的结尾也不同。"), (HINDI, "पन्ना {} अलग है। ", " पन्ना {} का अंत भी अलग है।"),
+                                      (THAI, "หน้าที่{}มีคำเปิด ", " หน้าที่{}จบต่างกัน")):
+        own = [(i, opening.format(i) + passage + closing.format(i)) for i in (2, 1)]
+        got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(documents(spark, own)).collect()}
+        assert got[1] == own[1][1] and got[2] == opening.format(2) + closing.format(2).lstrip()
+        one_line = [(i, passage.replace("。", "，").replace("।", ",").replace(" ", "") + f"\n{i}") for i in (1, 2)]
+        if passage != HINDI:  # one long sentence without spaces
+            got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(documents(spark, one_line)).collect()}
+            assert got[1] == one_line[0][1] and got[2] == "2"

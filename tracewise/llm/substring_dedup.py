@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans (operator 2).
 
 Every run of consecutive sentences is hashed, the hashes are joined over all
-documents, and sentences under any non-first occurrence go.
+documents, and sentences under any non-first occurrence go.  Sentences end at
+the marks of many scripts; runs are measured in words, and text without spaces
+between words in letters.
 
 A first pass counts span hashes and marks the repeated ones in a bitmap of
 fixed size, so that the join moves only spans that (almost surely) repeat.
@@ -23,17 +25,45 @@ MIN_SENTENCES = 2
 MIN_WORDS = 20
 ALONE_WORDS = 40
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|\n|[.!?]|$)\s*")
+# Marks that end a sentence without white space after them: Arabic, Urdu, Devanagari, Armenian, Ethiopic, Tibetan, Burmese,
+# Khmer, Chinese and Japanese; closing quotes and brackets stay with them.
+_MARKS = "\u0589\u061f\u06d4\u0964\u0965\u0f0d\u0f0e\u104b\u1362\u1367\u17d4\u17d5\u3002\uff01\uff1f\uff61"
+_MARK = re.compile(f"[{_MARKS}]")
+_MARKED = re.compile(rf"[^.!?\n{_MARKS}]*(?:[.!?]*[{_MARKS}][.!?{_MARKS}]*[\"'\u2019\u201d\u300d\u300f\u300b\u3011\uff09)]*|[.!?]+(?=\s|$)|\n|[.!?]|$)\s*")
+# Letters of scripts written without spaces between words: Han and kana; Thai, Lao, Tibetan, Burmese and Khmer, whose spaces end phrases.
+_HAN = re.compile("[\u3005-\u3007\u3040-\u30ff\u3100-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af]")
+_PHRASED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]")
+_PHRASE = re.compile(rf"(?<=\s)(?={_PHRASED.pattern})")
+_UNSPACED = re.compile(f"{_HAN.pattern[:-1]}{_PHRASED.pattern[1:]}")
+HAN_A_WORD = 2  # letters that count as a word
+PHRASED_A_WORD = 4
 
 
 def sentences(text: str) -> list[str]:
-    """The text cut after sentence ends and line ends, white space kept; the parts join to the text."""
+    """The text cut after sentence ends and line ends, white space kept; the parts join to the text.
+
+    '.', '!' and '?' end a sentence before white space, the marks of other
+    scripts anywhere.  Phrases that start with a letter of Thai, Lao, Tibetan,
+    Burmese or Khmer after white space are parts as well.
+    """
+    ascii_only = text.isascii()
+    marked = not ascii_only and _MARK.search(text) is not None
     out, held = [], ""
-    for part in _SENTENCE.findall(text):
+    for part in (_MARKED if marked else _SENTENCE).findall(text):
         held += part
-        if held and (held[-1].isspace() or not part):
+        if held and (held[-1].isspace() or not part or marked and _MARK.search(part)):
             out.append(held)
             held = ""
-    return [*out, held] if held else out
+    out = [*out, held] if held else out
+    return out if ascii_only or not _PHRASED.search(text) else [p for s in out for p in _PHRASE.split(s) if p]
+
+
+def word_count(sentence: str, words: list[str]) -> int:
+    """Words of a sentence; in scripts without spaces, its letters over the letters that count as a word, rounded up."""
+    if sentence.isascii() or not _UNSPACED.search(sentence):
+        return len(words)
+    others = sum(any(map(str.isalnum, w)) for w in _UNSPACED.sub(" ", sentence).split())
+    return max(1, others - (-len(_HAN.findall(sentence)) // HAN_A_WORD) - (-len(_PHRASED.findall(sentence)) // PHRASED_A_WORD))
 
 
 def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS) -> tuple[list[bytes], list[int], list[int]]:
@@ -43,13 +73,15 @@ def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WO
     run back, with ``min_sentences`` sentences and ``min_words`` words; for a
     sentence of ``alone_words`` it is that sentence.  The runs back reach the
     last sentences of a repeated passage.  Sentences are compared in lower
-    case with single spaces; those without a word count for nothing.
+    case with single spaces; those without a word count for nothing.  Words
+    are those of ``word_count``.
     """
-    parts = [(k, w) for k, w in enumerate(s.split() for s in sentences(text.lower())) if w]
+    cut = sentences(text.lower())
+    parts = [(k, w) for k, w in enumerate(s.split() for s in cut) if w]
     if not parts:
         return [], [], []
     lines = [" ".join(w).encode() for _, w in parts]
-    sizes = np.array([len(w) for _, w in parts])
+    sizes = np.array([len(w) for _, w in parts] if text.isascii() else [word_count(cut[k], w) for k, w in parts])
     place = np.arange(len(parts))
     upto = np.concatenate([[0], np.cumsum(sizes)])
     last = np.maximum(np.searchsorted(upto, upto[:-1] + min_words, side="left") - 1, place + min_sentences - 1)
