@@ -144,3 +144,43 @@ def test_sketch_fences_leave_few_beyond(spark):
         values = [r[0] for r in whole.select(x).collect()]
         assert sum(v > t[f"{name}_high"] for v in values) * quality.TAIL <= len(values)
         assert sum(v < t[f"{name}_low"] for v in values) * quality.TAIL <= len(values)
+
+
+def test_words_outside_the_classes_follow_their_context(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    lm = language_model
+    monkeypatch.setattr(lm, "MODEL_WORDS", 64)
+    scores, t = lm.language_model(docs, docs)
+    got = {r.doc_id: r.score for r in scores.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    h, suffix, sizes = lm.hashed_tokens(list(texts.values()))
+    rank, u = t.ranks(h), lm.previous(h, sizes)
+    rest = rank >= t.words
+    count, pair, total = Counter(h[rest].tolist()), Counter(zip(u[rest].tolist(), h[rest].tolist())), Counter(u[rest].tolist())
+    taken, after = Counter(), {}
+    for (a, b), n in pair.items():
+        after.setdefault(a, []).append(b)
+        taken[a] += n - t.discount if n >= lm.LEAST_PAIR else 0
+
+    def prob(a, b):
+        n = pair[a, b]
+        return (n - t.discount) / total[a] * (n >= lm.LEAST_PAIR) + (1 - taken[a] / total[a]) * (count[b] - t.discount) / t.rest_total
+
+    unknown = t.discount * t.rest_distinct / t.rest_total
+    for a in list(after)[:3]:
+        assert math.isclose(sum(prob(a, b) for b in count) + (1 - taken[a] / total[a]) * unknown, 1, rel_tol=1e-9)
+    at = t.contexts(rank, suffix, sizes)
+    log = t.class_log[at, np.where(rest, t.classes - 1, rank // lm.CLASS_WORDS)].astype(float)
+    log[~rest] += t.word_log[at[~rest] % lm.CONTEXTS, rank[~rest]]
+    log[rest] += [math.log10(prob(a, b)) for a, b in zip(u[rest].tolist(), h[rest].tolist())]
+    want = dict(zip(texts, np.add.reduceat(log, np.cumsum(sizes) - sizes)))
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in texts)
+    assert any(n >= lm.LEAST_PAIR for n in pair.values())
+
+
+def test_pairs_grow_with_the_corpus(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    def pairs(d):
+        t = language_model.head_tables(language_model.token_counts(d))
+        return language_model.rest_pairs(d, spark.sparkContext.broadcast(t)).filter("h IS NOT NULL").count()
+    assert pairs(docs) > 1.5 * pairs(docs.filter("doc_id % 4 = 0"))
