@@ -86,3 +86,11 @@ def test_many_rows_equal_in_id_and_text_are_one_document(spark):
     items = spark.createDataFrame([(7, "fox jumps"), (8, "red fox")], "item_id long, text string")
     got = rows(D.contamination(docs, items))
     assert got == sorted(brute([(None, "red fox jumps high"), (None, None), (4, "red fox")], [(7, "fox jumps"), (8, "red fox")]), key=repr)
+
+
+def test_window_wider_than_the_slop(spark):
+    phrase = " ".join(f"w{k}" for k in range(30))
+    docs = documents(spark, [(1, f"before {phrase} after"), (2, phrase.replace("w29", "other")), (3, "w1 " * 5)])
+    items = spark.createDataFrame([("a", phrase)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in D.contamination(docs, items, window=30, slop=16).collect()}
+    assert got == {1: (30, 1), 2: (0, 0), 3: (0, 0)}

@@ -128,7 +128,7 @@ def _search(phrases, slop: int) -> object:
                     if not all(t in lists for t, _ in plan):
                         continue
                     near = _near(lists, plan, slop)
-                    if not len(near):
+                    if not len(near) and len(plan) <= slop + 1:
                         continue  # an exact match lies within the window, so it is near as well
                     doc = np.searchsorted(bases, near, side="right") - 1
                     for d in np.unique(doc).tolist():
