@@ -17,6 +17,7 @@ from . import (
     decontamination,
     language_id,
     language_model,
+    prefix_trie,
     quality,
     simhash,
     substring_dedup,
@@ -83,6 +84,10 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=2)
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -166,11 +171,55 @@ FROM s LEFT JOIN t USING (lang, source)
 """
 
 
+_CRC_STEP = "xor({0} >> 1, 3988292384 * ({0} & 1))"
+
+
+def _crc32(text: str) -> str:
+    """DuckDB expression for the unsigned crc32 of an ASCII text; needs the byte table ``crc_t`` of ``_crc_table`` in scope."""
+    bytes_ = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INTEGER, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _crc_table() -> str:
+    steps = "SELECT i, i::BIGINT AS c FROM range(256) r(i)"
+    for _ in range(8):
+        steps = f"SELECT i, {_CRC_STEP.format('c')} AS c FROM ({steps})"
+    return f"crc AS (SELECT list(c ORDER BY i) AS crc_t FROM ({steps}))"
+
+
+OP13_SQL = f"""
+WITH {_crc_table()},
+r AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, strlen(coalesce(text, '')) AS n,
+             sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s
+      FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {_crc32("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM r), crc),
+turns AS (SELECT ids.c, r.k, r.s, r.n FROM ids JOIN r ON r.c = ids.c - ids.c % 5 AND r.k <= ids.h
+          UNION ALL SELECT ids.c, r.k + 100, r.s, r.n FROM ids JOIN r ON r.c = ids.c AND r.k > ids.h),
+seqs AS (SELECT ids.c, list(s ORDER BY k) FILTER (s IS NOT NULL) AS s, list(n ORDER BY k) FILTER (n IS NOT NULL) AS n
+         FROM ids LEFT JOIN turns USING (c) GROUP BY ids.c),
+pre AS (SELECT c, d, array_to_string(coalesce(s[:d], []), ',') AS key, array_to_string(coalesce(s[:d - 1], []), ',') AS up, n[d] AS n,
+               d = coalesce(len(s), 0) AS ends
+        FROM (SELECT c, s, n, unnest(range(0, coalesce(len(s), 0) + 1)) AS d FROM seqs)),
+nodes AS (SELECT key, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+                 sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+          FROM pre GROUP BY key, d),
+kids AS (SELECT up AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up),
+each AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+below AS (SELECT p.key, count(*) FILTER (e.n_children = 0) AS n_leaves, coalesce(sum((e.n_convs - 1) * e.n) FILTER (e.d > 0), 0) AS saved_tokens
+          FROM each e JOIN pre m ON m.c = e.conv_id AND m.d = e.d JOIN pre p ON p.c = e.conv_id AND p.d <= e.d GROUP BY p.key)
+SELECT e.conv_id, e.d::BIGINT AS depth, u.conv_id AS parent_conv_id, e.n_convs::BIGINT AS n_convs, e.n_children::BIGINT AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, e.ends_sha256
+FROM each e JOIN below b USING (key) LEFT JOIN each u ON e.d > 0 AND u.key = e.up
+"""
+
+
 def queries() -> dict[str, Query]:
     every = [op1_decontamination, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_warc,
-             op7_quality_rules, op7_quality_rules_adaptive, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output]
+             op7_quality_rules, op7_quality_rules_adaptive, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output,
+             op13_conversation_prefix_trie]
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": _op7_sql()}
+    return {"op1_decontamination": OP1_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": _op7_sql(),
+            "op13_conversation_prefix_trie": OP13_SQL}
