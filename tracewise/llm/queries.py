@@ -15,6 +15,7 @@ from tracewise.sources.tables import table
 from . import (
     chunk_reuse,
     decontamination,
+    divergence,
     language_id,
     language_model,
     prefix_trie,
@@ -84,6 +85,10 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=2)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
@@ -187,6 +192,30 @@ def _crc_table() -> str:
     return f"crc AS (SELECT list(c ORDER BY i) AS crc_t FROM ({steps}))"
 
 
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w, row_number() OVER () AS k FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+full_c AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM full_c JOIN v USING (lang)),
+l AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM full_c GROUP BY ALL) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 10
+"""
+
 OP13_SQL = f"""
 WITH {_crc_table()},
 r AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, strlen(coalesce(text, '')) AS n,
@@ -216,10 +245,10 @@ FROM each e JOIN below b USING (key) LEFT JOIN each u ON e.d > 0 AND u.key = e.u
 def queries() -> dict[str, Query]:
     every = [op1_decontamination, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_warc,
              op7_quality_rules, op7_quality_rules_adaptive, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output,
-             op13_conversation_prefix_trie]
+             op12_source_divergence, op13_conversation_prefix_trie]
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontamination": OP1_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": _op7_sql(),
-            "op13_conversation_prefix_trie": OP13_SQL}
+            "op12_source_divergence": OP12_SQL, "op13_conversation_prefix_trie": OP13_SQL}
