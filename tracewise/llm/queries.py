@@ -20,12 +20,14 @@ from . import (
     language_model,
     prefix_trie,
     quality,
+    reply_trees,
     simhash,
     substring_dedup,
     token_counts,
     token_files,
     warc,
 )
+from .chat_template import CLOSE, CONTROL, OPEN, ROLE_CLOSE, ROLE_END, ROLE_OPEN
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -85,6 +87,13 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=2)
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return reply_trees.conversation_digests(reply_trees.format_conversations(conversations))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -192,6 +201,23 @@ def _crc_table() -> str:
     return f"crc AS (SELECT list(c ORDER BY i) AS crc_t FROM ({steps}))"
 
 
+def _op11_sql() -> str:
+    doubled = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in ["\\", *CONTROL])  # control strings never overlap
+    escaped = lambda x: f"(length({x}) + {doubled.replace('(x', '(' + x)})"
+    marks = " ".join(f"WHEN '{r}' THEN {len(OPEN[r]) + len(CLOSE[r])}" for r in OPEN)
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(k)),
+s AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST) AS all_turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '') AS loss,
+             sum({escaped('text')} + CASE role {marks} ELSE {escaped('role')} + {len(ROLE_OPEN + ROLE_END + ROLE_CLOSE)} END) AS chars
+      FROM t GROUP BY conv_id)
+SELECT conv_id, n::BIGINT AS n_turns, sha256(all_turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+       chars::BIGINT AS formatted_chars
+FROM s
+"""
+
+
 OP12_SQL = """
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -245,10 +271,10 @@ FROM each e JOIN below b USING (key) LEFT JOIN each u ON e.d > 0 AND u.key = e.u
 def queries() -> dict[str, Query]:
     every = [op1_decontamination, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_warc,
              op7_quality_rules, op7_quality_rules_adaptive, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output,
-             op12_source_divergence, op13_conversation_prefix_trie]
+             op11_chat_formatting, op12_source_divergence, op13_conversation_prefix_trie]
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontamination": OP1_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": _op7_sql(),
-            "op12_source_divergence": OP12_SQL, "op13_conversation_prefix_trie": OP13_SQL}
+            "op11_chat_formatting": _op11_sql(), "op12_source_divergence": OP12_SQL, "op13_conversation_prefix_trie": OP13_SQL}
