@@ -1,11 +1,11 @@
 from pyspark.sql import functions as F
 
-from tracewise.functions.similarity import ratio_py, similarity
+from tracewise.functions.similarity import ratios, similarity
 from tracewise.operators import labelling, matching, tagger
 
 
 def test_similarity_direction(spark):
-    assert ratio_py("tide", "diet") == 0.25 and ratio_py("diet", "tide") == 0.5
+    assert ratios(["tide", "diet"], ["diet", "tide"]).tolist() == [0.25, 0.5]
     df = spark.createDataFrame([("tide", "diet"), ("diet", "tide")], "a string, b string")
     assert [r.r for r in df.select(similarity(F.col("a"), F.col("b")).alias("r")).collect()] == [0.25, 0.5]
 

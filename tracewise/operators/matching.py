@@ -1,12 +1,11 @@
 """Hierarchical labelling of chunks against reference texts.
 
 Reference terms are extracted once per sample (not once per chunk).  Every
-match stage is an equi-join keyed by ``sample_id`` plus the term (or its
-canonical form, or a substring of it).  Only the last stage, the fuzzy
-ratio, compares strings that are not equal: it runs on *distinct*,
-still-unmatched (term, reference term) pairs of one sample that pass the
-length bound of the ratio, so its size is bounded by the vocabulary of a
-sample rather than by its row count.
+match stage is an equi-join keyed by ``sample_id`` plus the term, its
+canonical form, a seed gram or a rare character (``fuzzy``).  The costlier
+stages, substrings and the ratio, take only the distinct terms that the
+exact stages left open, and the ratio runs once per distinct string pair
+that shares enough characters to reach the threshold.
 """
 
 from __future__ import annotations
@@ -15,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import GENERIC_WORDS, RELATIONS, attribute_category, canonical, noun_lemma
-from ..functions.similarity import may_reach, similarity
 from ..functions.text import PY_WORD, strip, words
 from ..session import materialize
+from .fuzzy import contained_pairs, similar_pairs
 
 KEY = "sample_id"
 LABELS = ("CATEGORY_HALLUC", "ATTRIBUTE_HALLUC", "RELATION_HALLUC", "CORRECT")
@@ -52,169 +51,91 @@ def truth_relations(gt_texts: DataFrame, text_col: str = "gt_text") -> DataFrame
     return gt_texts.select(KEY, F.explode(F.filter(lex, lambda r: low.contains(r))).alias("rel")).distinct()
 
 
-# ---------------------------------------------------------------- fuzzy stage
-def candidate_pairs(left: DataFrame, lcol: str, right: DataFrame, rcol: str, threshold: float) -> DataFrame:
-    """(sample_id, _a, _b): distinct terms of one sample whose ratio can reach ``threshold``."""
-    lf = left.select(KEY, F.col(lcol).alias("_a")).distinct()
-    rt = right.select(KEY, F.col(rcol).alias("_b")).distinct()
-    return lf.join(rt, KEY).filter(may_reach(F.col("_a"), F.col("_b"), threshold))
-
-
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """(_a, _b, _r): the ratio once per distinct string pair (the one Python UDF)."""
-    return pairs.select("_a", "_b").distinct().withColumn("_r", similarity(F.col("_a"), F.col("_b")))
-
-
-def fuzzy_hits(left: DataFrame, lcol: str, right: DataFrame, rcol: str, threshold: float,
-               scored: DataFrame | None = None) -> DataFrame:
-    """(sample_id, lcol) with some right term of the same sample at ratio >= threshold.
-
-    ``scored`` is a precomputed (_a, _b, _r) table covering these pairs
-    (one scoring pass shared by all stages); without it the pairs are
-    scored here.
-    """
-    pairs = candidate_pairs(left, lcol, right, rcol, threshold)
-    scored = score_pairs(pairs) if scored is None else scored
-    hits = pairs.join(scored.filter(F.col("_r") >= threshold), ["_a", "_b"])
-    return hits.select(KEY, F.col("_a").alias(lcol)).distinct()
-
-
-def _substrings(s, lo: int, hi):
-    """All substrings of ``s`` with length in [lo, hi] (hi a column)."""
-    n = F.length(s)
-    return F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n - lo + 1, F.lit(1))),
-        lambda i: F.transform(F.sequence(F.lit(lo), F.greatest(F.least(hi, n - i + 1), F.lit(lo))),
-                              lambda ln: F.substring(s, i, ln))))
-
-
 # ---------------------------------------------------------------- C5
-def object_exists(terms: DataFrame, gt_objects: DataFrame, fuzzy: bool = True,
-                  scored: DataFrame | None = None, fuzzy_found: DataFrame | None = None) -> DataFrame:
+def object_exists(terms: DataFrame, gt_objects: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(sample_id, term, exists) for distinct (sample, term).
 
     A term exists when any holds: it is a generic scene word; equal to a
     reference object; same canonical form; one contains the other with both
     longer than 3 characters; a word of it, or that word's lemma, has the
     canonical form of a reference object; ratio >= 0.7 (if ``fuzzy``).
+    Each stage takes only the terms that the stages before it left open.
     """
     t = terms.select(KEY, "term").distinct().withColumn("_ol", F.lower(strip(F.col("term"))))
-    g = gt_objects.select(KEY, F.col("obj")).distinct()
-    g = g.withColumn("_gl", F.lower("obj")).withColumn("_gc", canonical(F.lower("obj")))
-    hit_parts = []
-    # generic words
-    hit_parts.append(t.filter(F.col("_ol").isin(*GENERIC_WORDS)).select(KEY, "term"))
-    # equality and canonical equality (canonical covers equality)
-    tc = t.withColumn("_gc", canonical(F.col("_ol")))
-    hit_parts.append(tc.join(g.select(KEY, "_gc"), [KEY, "_gc"]).select(KEY, "term"))
-    # substring, both longer than 3: enumerate substrings of the longer side
-    # up to the longest term on the other side of the same sample
-    gl = g.filter(F.length("_gl") > 3).select(KEY, "_gl")
-    tl = t.filter(F.length("_ol") > 3).select(KEY, "term", "_ol")
-    max_g = gl.groupBy(KEY).agg(F.max(F.length("_gl")).alias("_mg"))
-    max_t = tl.groupBy(KEY).agg(F.max(F.length("_ol")).alias("_mt"))
-    t_sub = tl.join(max_g, KEY).select(KEY, "term", F.explode(F.array_distinct(
-        _substrings(F.col("_ol"), 4, F.col("_mg")))).alias("_gl"))
-    hit_parts.append(t_sub.join(gl, [KEY, "_gl"]).select(KEY, "term"))
-    g_sub = gl.join(max_t, KEY).select(KEY, F.explode(F.array_distinct(
-        _substrings(F.col("_gl"), 4, F.col("_mt")))).alias("_ol"))
-    hit_parts.append(tl.join(g_sub, [KEY, "_ol"]).select(KEY, "term"))
-    # lemma stage: any word of the term with the canonical form of an object
-    tw = t.select(KEY, "term", F.explode(F.regexp_extract_all(F.col("_ol"), F.lit(f"[{PY_WORD}]+"), 0)).alias("_w"))
-    tw = tw.select(KEY, "term", F.explode(F.array_distinct(F.array(canonical(F.col("_w")), canonical(noun_lemma(F.col("_w")))))).alias("_gc"))
-    hit_parts.append(tw.join(g.select(KEY, "_gc"), [KEY, "_gc"]).select(KEY, "term"))
-    hits = hit_parts[0]
-    for h in hit_parts[1:]:
-        hits = hits.unionByName(h)
-    hits = hits.distinct()
+    g = gt_objects.select(KEY, F.lower("obj").alias("_gl")).distinct().withColumn("_gc", canonical(F.col("_gl")))
+    # canonical form of the whole term (which covers equality) and of its words and their lemmas
+    in_term = F.regexp_extract_all(F.col("_ol"), F.lit(f"[{PY_WORD}]+"), 0)
+    forms = F.array_union(F.array(canonical(F.col("_ol"))), F.flatten(F.transform(
+        in_term, lambda w: F.array(canonical(w), canonical(noun_lemma(w))))))
+    named = t.select(KEY, "term", F.explode(forms).alias("_gc")).join(g.select(KEY, "_gc").distinct(), [KEY, "_gc"], "left_semi")
+    hits = t.filter(F.col("_ol").isin(*GENERIC_WORDS)).select(KEY, "term").unionByName(named.select(KEY, "term")).distinct()
+    hits = materialize(hits)
+    rest = materialize(t.join(hits, [KEY, "term"], "left_anti"))
+    # substring, both longer than 3, either way round
+    asked, given = rest.filter(F.length("_ol") > 3).select(KEY, "_ol"), g.filter(F.length("_gl") > 3).select(KEY, "_gl")
+    within = contained_pairs(asked, given, [KEY], "_ol", "_gl").unionByName(
+        contained_pairs(given, asked, [KEY], "_gl", "_ol").select(KEY, "_ol", "_gl")).select(KEY, "_ol").distinct()
     if fuzzy:
-        rest = t.join(hits, [KEY, "term"], "left_anti")
-        fz = (fuzzy_found if fuzzy_found is not None
-              else fuzzy_hits(rest.select(KEY, "term", "_ol"), "_ol", g, "_gl", 0.7, scored))
-        hits = hits.unionByName(rest.join(fz, [KEY, "_ol"]).select(KEY, "term")).distinct()
-    return t.join(hits.withColumn("exists", F.lit(True)), [KEY, "term"], "left").select(
+        within = materialize(within)
+        open_ = rest.select(KEY, "_ol").join(within, [KEY, "_ol"], "left_anti")
+        near = similar_pairs(open_, g, [KEY], "_ol", "_gl", 0.7).select(KEY, "_ol").distinct()
+        within = within.unionByName(near)
+    late = rest.join(within, [KEY, "_ol"], "left_semi").select(KEY, "term")
+    return t.join(hits.unionByName(late).withColumn("exists", F.lit(True)), [KEY, "term"], "left").select(
         KEY, "term", F.coalesce(F.col("exists"), F.lit(False)).alias("exists"))
 
 
 # ---------------------------------------------------------------- labels
 def label_chunks(chunks: DataFrame, gt_objects: DataFrame, gt_attrs: DataFrame, gt_rels: DataFrame,
                  fuzzy: bool = True) -> DataFrame:
-    """Add ``object_ok``, ``attribute_ok``, ``relation_ok`` and ``chunk_label``.
+    """Add ``object_ok``, ``missing_objects``, ``attribute_ok``, ``relation_ok`` and ``chunk_label``.
 
     object chunk: its text must exist.  attribute chunk: its object must
     exist, then the attribute test.  relation chunk: all objects must exist,
-    then the relation test.
+    then the relation test.  ``missing_objects`` lists the chunk's objects
+    that do not exist, in their order in the chunk.
     """
     c = chunks
     # terms whose existence is needed
-    obj_terms = c.select(KEY, "chunk_idx", F.when(F.col("chunk_type") == "object", F.col("chunk_text"))
+    obj_terms = c.select(KEY, "chunk_idx", F.lit(0).alias("_at"), F.when(F.col("chunk_type") == "object", F.col("chunk_text"))
                          .when(F.col("chunk_type") == "attribute", F.col("object")).alias("term")
                          ).filter(F.col("term").isNotNull())
     rel_terms = c.filter(F.col("chunk_type") == "relation").select(
-        KEY, "chunk_idx", F.explode("objects").alias("term"))
+        KEY, "chunk_idx", F.posexplode("objects").alias("_at", "term"))
     terms = obj_terms.unionByName(rel_terms)
-    at = c.filter(F.col("chunk_type") == "attribute").select(KEY, F.lower(strip(F.col("attribute"))).alias("_al"))
-    at = at.distinct()
-    rt = c.filter(F.col("chunk_type") == "relation").select(KEY, F.lower("relation").alias("_rl")).distinct()
-    fz_obj = fz_m08 = fz_oth = fz_rel = None
-    if fuzzy:
-        # every candidate pair of every fuzzy stage, tagged by stage, built
-        # and scored once (one UDF pass over distinct strings), then filtered
-        tl = terms.select(KEY, F.lower(strip(F.col("term"))).alias("_a"))
-        cand = candidate_pairs(tl, "_a", gt_objects.select(KEY, F.lower("obj").alias("_b")), "_b", 0.7) \
-            .withColumn("_kind", F.lit("obj")) \
-            .unionByName(candidate_pairs(at, "_al", gt_attrs, "attr", 0.7).withColumn("_kind", F.lit("attr"))) \
-            .unionByName(candidate_pairs(rt, "_rl", gt_rels, "rel", 0.7).withColumn("_kind", F.lit("rel")))
-        cand = materialize(cand)
-        scored = cand.join(score_pairs(cand), ["_a", "_b"])
-        scored = materialize(scored)
-
-        def found(kind, thr, col, extra=None):
-            f = scored.filter((F.col("_kind") == kind) & (F.col("_r") >= thr))
-            if extra is not None:
-                f = f.filter(extra)
-            return f.select(KEY, F.col("_a").alias(col)).distinct()
-        fz_obj = found("obj", 0.7, "_ol")
-        fz_m08 = found("attr", 0.8, "_al")
-        # words under "other" are exactly the reference attributes outside the lexicons
-        fz_oth = found("attr", 0.7, "_al", attribute_category(F.col("_b")).isNull())
-        fz_rel = found("rel", 0.7, "_rl")
-    ex = object_exists(terms.select(KEY, "term"), gt_objects, fuzzy, fuzzy_found=fz_obj)
+    ex = object_exists(terms.select(KEY, "term"), gt_objects, fuzzy)
+    missing = F.array_sort(F.collect_list(F.when(~F.col("exists"), F.struct("_at", "term"))))
     per_chunk = terms.join(ex, [KEY, "term"]).groupBy(KEY, "chunk_idx").agg(
-        F.min(F.col("exists").cast("int")).alias("_all_exist"))
+        F.every("exists").alias("_all_exist"), F.transform(missing, lambda m: m["term"]).alias("missing_objects"))
     c = c.join(per_chunk, [KEY, "chunk_idx"], "left").withColumn(
-        "object_ok", F.coalesce(F.col("_all_exist"), F.lit(0)) == 1).drop("_all_exist")
-
-    # attribute test inputs, per (sample, attribute word)
-    ga = gt_attrs.select(KEY, "category", F.col("attr"))
-    exact = at.join(ga.select(KEY, F.col("attr").alias("_al")).distinct(), [KEY, "_al"]).select(
-        KEY, "_al").distinct()
-    stats = ga.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n_attr"),
-                                F.count_if(F.col("category") == "other").alias("_n_other"))
-    if fuzzy:
-        m08 = fz_m08
-        oth = fz_oth
-    else:
-        m08 = exact.limit(0)
-        oth = exact.limit(0)
-    at = (at.join(exact.withColumn("_exact", F.lit(True)), [KEY, "_al"], "left")
-            .join(m08.withColumn("_m08", F.lit(True)), [KEY, "_al"], "left")
-            .join(oth.withColumn("_m07o", F.lit(True)), [KEY, "_al"], "left")
-            .join(stats, KEY, "left"))
-    known = attribute_category(F.col("_al")).isNotNull()
-    has_other = F.coalesce(F.col("_n_other"), F.lit(0)) > 0
-    any_attr = F.coalesce(F.col("_n_attr"), F.lit(0)) > 0
-    attr_ok = (F.coalesce("_exact", F.lit(False)) | F.coalesce("_m08", F.lit(False))
-               | (~known & F.when(has_other, F.coalesce("_m07o", F.lit(False))).otherwise(~any_attr)))
-    at = at.select(KEY, "_al", attr_ok.alias("_attr_ok"))
-    c = c.withColumn("_al", F.lower(strip(F.col("attribute")))).join(at, [KEY, "_al"], "left")
+        "object_ok", F.coalesce(F.col("_all_exist"), F.lit(False))).drop("_all_exist")
 
+    # attribute test, per (sample, attribute word)
+    at = c.filter(F.col("chunk_type") == "attribute").select(KEY, F.lower(strip(F.col("attribute"))).alias("_al")).distinct()
+    ga = gt_attrs.select(KEY, "category", "attr")
+    stats = ga.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n_attr"), F.count_if(F.col("category") == "other").alias("_n_other"))
+    at_hits = at.join(ga.select(KEY, F.col("attr").alias("_al")), [KEY, "_al"], "left_semi").withColumn("_found", F.lit(True))
     # relation test, per (sample, relation word)
-    gr = gt_rels.select(KEY, "rel")
-    r_exact = rt.join(gr.select(KEY, F.col("rel").alias("_rl")), [KEY, "_rl"]).select(KEY, "_rl")
-    r_hits = r_exact.unionByName(fz_rel) if fuzzy else r_exact
-    rt = rt.join(r_hits.distinct().withColumn("_rel_ok", F.lit(True)), [KEY, "_rl"], "left")
-    c = c.withColumn("_rl", F.lower("relation")).join(rt, [KEY, "_rl"], "left")
+    rt = c.filter(F.col("chunk_type") == "relation").select(KEY, F.lower("relation").alias("_rl")).distinct()
+    rt_hits = rt.join(gt_rels.select(KEY, F.col("rel").alias("_rl")), [KEY, "_rl"], "left_semi")
+    if fuzzy:
+        # what is still open of both kinds, in one pass
+        kind = lambda df, k, col, out: df.select(F.lit(k).alias("_kind"), KEY, F.col(col).alias(out))
+        left = kind(at.join(at_hits, [KEY, "_al"], "left_anti"), "attr", "_al", "_a").unionByName(
+            kind(rt.join(rt_hits, [KEY, "_rl"], "left_anti"), "rel", "_rl", "_a"))
+        right = kind(ga, "attr", "attr", "_b").unionByName(kind(gt_rels, "rel", "rel", "_b"))
+        near = materialize(similar_pairs(left, right, ["_kind", KEY], "_a", "_b", 0.7))
+        # words outside the lexicons are exactly the reference attributes under "other", and 0.7 does for those
+        other = attribute_category(F.col("_b")).isNull() & attribute_category(F.col("_a")).isNull()
+        at_hits = at_hits.unionByName(near.filter((F.col("_kind") == "attr") & ((F.col("ratio") >= 0.8) | other))
+                                      .select(KEY, F.col("_a").alias("_al")).distinct().withColumn("_found", F.lit(True)))
+        rt_hits = rt_hits.unionByName(near.filter(F.col("_kind") == "rel").select(KEY, F.col("_a").alias("_rl")).distinct())
+    at = at.join(at_hits, [KEY, "_al"], "left").join(stats, KEY, "left")
+    # a word of no lexicon passes where the references have no attribute at all
+    no_attrs = attribute_category(F.col("_al")).isNull() & F.col("_n_attr").isNull()
+    at = at.select(KEY, "_al", (F.coalesce("_found", F.lit(False)) | no_attrs).alias("_attr_ok"))
+    c = c.withColumn("_al", F.lower(strip(F.col("attribute")))).join(at, [KEY, "_al"], "left")
+    c = c.withColumn("_rl", F.lower("relation")).join(rt_hits.withColumn("_rel_ok", F.lit(True)), [KEY, "_rl"], "left")
 
     attr_ok_c = F.col("object_ok") & F.coalesce(F.col("_attr_ok"), F.lit(False))
     rel_ok_c = F.col("object_ok") & F.coalesce(F.col("_rel_ok"), F.lit(False))
@@ -229,20 +150,23 @@ def label_chunks(chunks: DataFrame, gt_objects: DataFrame, gt_attrs: DataFrame,
 
 def label_explanations(labelled: DataFrame, gt_objects: DataFrame, gt_attrs: DataFrame,
                        gt_rels: DataFrame) -> DataFrame:
-    """Reason text and the sample's reference sets per chunk (C14)."""
+    """Reason text and the sample's reference sets per chunk (C14).
+
+    The reason names the chunk's missing objects, or the attribute or relation
+    at fault, with the reference terms it was held against.
+    """
     objs = gt_objects.groupBy(KEY).agg(F.array_sort(F.collect_set("obj")).alias("gt_objects"))
     attrs = gt_attrs.groupBy(KEY).agg(F.array_sort(F.collect_set(F.concat_ws(":", "category", "attr")))
                                       .alias("gt_attributes"))
     rels = gt_rels.groupBy(KEY).agg(F.array_sort(F.collect_set("rel")).alias("gt_relations"))
     j = labelled.join(objs, KEY, "left").join(attrs, KEY, "left").join(rels, KEY, "left")
+    listed = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
     t = F.col("chunk_type")
-    reason = (F.when(~F.col("object_ok"), F.concat(F.lit("Object not found in ground truth objects: "),
-                                                   F.coalesce(F.array_join("gt_objects", ", "), F.lit(""))))
-               .when(t == "attribute", F.concat(F.lit("Object exists; attribute '"), F.col("attribute"),
-                                                F.when(F.col("attribute_ok"), F.lit("' is correct"))
-                                                 .otherwise(F.lit("' is incorrect"))))
-               .when(t == "relation", F.concat(F.lit("All objects exist; relation '"), F.col("relation"),
-                                               F.when(F.col("relation_ok"), F.lit("' is correct"))
-                                                .otherwise(F.lit("' is incorrect"))))
-               .otherwise(F.lit("Object found in ground truth")))
+    lacking = F.concat(F.lit("Not among the reference objects: "), listed("missing_objects"), F.lit("; reference objects: "), listed("gt_objects"))
+    attribute = F.concat(F.lit("Object '"), F.col("object"), F.lit("' exists; attribute '"), F.col("attribute"), F.when(
+        F.col("attribute_ok"), F.lit("' is correct")).otherwise(F.concat(F.lit("' is incorrect; reference attributes: "), listed("gt_attributes"))))
+    relation = F.concat(F.lit("Objects exist: "), listed("objects"), F.lit("; relation '"), F.col("relation"), F.when(
+        F.col("relation_ok"), F.lit("' is correct")).otherwise(F.concat(F.lit("' is incorrect; reference relations: "), listed("gt_relations"))))
+    reason = (F.when(~F.col("object_ok"), lacking).when(t == "attribute", attribute).when(t == "relation", relation)
+               .otherwise(F.concat(F.lit("Object '"), F.col("chunk_text"), F.lit("' is among the reference objects"))))
     return j.withColumn("reasoning", reason)

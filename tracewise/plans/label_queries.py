@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import (ACTION_RELATIONS, GENERIC_WORDS, IRREGULAR_NOUNS, RELATIONS, TAGGER_ADJECTIVES, TAGGER_CLOSED,
                                   TAGGER_DETERMINERS, TAGGER_NOUNS, TAGGER_PREPOSITIONS, TAGGER_STOP_WORDS, TAGGER_SUFFIXES,
                                   attribute_category_map, synonym_map)
+from ..functions.similarity import similarity
 from ..functions.text import PY_WORD, PY_WS
 from ..operators import chunks as chunk_ops
 from ..operators import labelling, matching, tagger
@@ -323,15 +324,15 @@ def label_distribution(spark, sf):
     return rounded(report.class_distribution(lab, "chunk_label"))
 
 
-def _explanations(spark, sf):
+def _explanations(spark, sf, fuzzy=True):
     li = _inputs(spark, sf)
-    lab = labelling.label(li, fuzzy=True)
+    lab = labelling.label(li, fuzzy=fuzzy)
     return matching.label_explanations(lab, li.gt_objects, li.gt_attributes, li.gt_relations)
 
 
 def _explained(ex):
-    return ex.select("sample_id", "chunk_idx", "chunk_text", "chunk_type", "chunk_label", "reasoning",
-                     F.array_join("gt_objects", ", ").alias("gt_objects"), F.array_join("gt_relations", ", ").alias("gt_relations"))
+    return ex.select("sample_id", "chunk_idx", "chunk_text", "chunk_type", "chunk_label", "reasoning", F.array_join("gt_objects", ", ").alias("gt_objects"),
+                     F.array_join("gt_attributes", ", ").alias("gt_attributes"), F.array_join("gt_relations", ", ").alias("gt_relations"))
 
 
 @register("label_explanations", "C14 (reason text and reference sets of every chunk)")
@@ -339,8 +340,70 @@ def label_explanations(spark, sf):
     return _explained(_explanations(spark, sf))
 
 
+def _examples(ex, per_class):
+    w = Window.partitionBy("chunk_label").orderBy("sample_id", "chunk_idx")
+    return _explained(ex.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= per_class))
+
+
 @register("label_examples", "W12 (first examples per class, a top-k report)")
 def label_examples(spark, sf, per_class: int = 50):
-    w = Window.partitionBy("chunk_label").orderBy("sample_id", "chunk_idx")
-    ex = _explanations(spark, sf).withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= per_class)
-    return _explained(ex)
+    return _examples(_explanations(spark, sf), per_class)
+
+
+EXPLAINED_EXACT = LABELS_EXACT + """,
+gl AS (SELECT sample_id, string_agg(obj, ', ' ORDER BY obj) AS gt_objects FROM gobj GROUP BY 1),
+al AS (SELECT sample_id, string_agg(category || ':' || attr, ', ' ORDER BY category || ':' || attr) AS gt_attributes FROM gattr GROUP BY 1),
+rl AS (SELECT sample_id, string_agg(rel, ', ' ORDER BY rel) AS gt_relations FROM grel GROUP BY 1),
+at0 AS (SELECT sample_id, chunk_idx, 1 AS k, CASE WHEN chunk_type = 'object' THEN chunk_text ELSE object END AS term FROM ch
+        WHERE chunk_type IN ('object', 'attribute')
+        UNION ALL SELECT sample_id, chunk_idx, unnest(range(1, len(objects) + 1)), unnest(objects) FROM ch WHERE chunk_type = 'relation'),
+miss AS (SELECT at0.sample_id, at0.chunk_idx, string_agg(at0.term, ', ' ORDER BY k) AS missing FROM at0
+         JOIN ex ON ex.sample_id = at0.sample_id AND ex.term = at0.term WHERE NOT ex."exists" GROUP BY 1, 2),
+explained AS (SELECT ch.sample_id, ch.chunk_idx, ch.chunk_text, ch.chunk_type, l.chunk_label,
+  CASE WHEN l.chunk_label = 'CATEGORY_HALLUC'
+         THEN 'Not among the reference objects: ' || coalesce(missing, '') || '; reference objects: ' || coalesce(gt_objects, '')
+       WHEN ch.chunk_type = 'attribute' THEN 'Object ''' || object || ''' exists; attribute ''' || attribute || ''' is '
+         || CASE WHEN l.chunk_label = 'CORRECT' THEN 'correct' ELSE 'incorrect; reference attributes: ' || coalesce(gt_attributes, '') END
+       WHEN ch.chunk_type = 'relation' THEN 'Objects exist: ' || array_to_string(objects, ', ') || '; relation ''' || relation || ''' is '
+         || CASE WHEN l.chunk_label = 'CORRECT' THEN 'correct' ELSE 'incorrect; reference relations: ' || coalesce(gt_relations, '') END
+       ELSE 'Object ''' || ch.chunk_text || ''' is among the reference objects' END AS reasoning,
+  gt_objects, gt_attributes, gt_relations
+  FROM ch JOIN labels l USING (sample_id, chunk_idx) LEFT JOIN miss USING (sample_id, chunk_idx)
+  LEFT JOIN gl USING (sample_id) LEFT JOIN al USING (sample_id) LEFT JOIN rl USING (sample_id))
+"""
+
+
+@register("label_explanations_exact", "C14 (reasons and reference sets, labels without the fuzzy stage)", EXPLAINED_EXACT + "SELECT * FROM explained")
+def label_explanations_exact(spark, sf):
+    return _explained(_explanations(spark, sf, fuzzy=False))
+
+
+@register("label_examples_exact", "W12 (first examples per class, labels without the fuzzy stage)", EXPLAINED_EXACT + """
+SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_label ORDER BY sample_id, chunk_idx) AS rk FROM explained) WHERE rk <= 50""")
+def label_examples_exact(spark, sf, per_class: int = 50):
+    return _examples(_explanations(spark, sf, fuzzy=False), per_class)
+
+
+# The longest block is found by listing substrings; each round opens the segments on both sides of it.
+_BLOCK = """list_max(flatten(list_transform(range(1, length(s.x) + 1), lambda i: list_transform(range(1, length(s.x) - i + 2),
+    lambda l: CASE WHEN contains(s.y, substr(s.x, i::INTEGER, l::INTEGER)) THEN {'l': l, 'i': -i} END))))"""
+BLOCKS = f"""WITH RECURSIVE pairs AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (ORDER BY p_partkey) AS b FROM part),
+seg AS (
+  SELECT a, b, s, {_BLOCK} AS m
+  FROM (SELECT DISTINCT a, b, {{'x': lower(a), 'y': lower(b)}} AS s FROM pairs WHERE b IS NOT NULL)
+  UNION ALL
+  SELECT a, b, s, {_BLOCK} AS m
+  FROM (SELECT a, b, unnest([{{'x': substr(s.x, 1, (-m.i - 1)::INTEGER), 'y': substr(s.y, 1, (hit - 1)::INTEGER)}},
+                             {{'x': substr(s.x, (-m.i + m.l)::INTEGER), 'y': substr(s.y, (hit + m.l)::INTEGER)}}]) AS s
+        FROM (SELECT *, strpos(s.y, substr(s.x, (-m.i)::INTEGER, m.l::INTEGER)) AS hit FROM seg WHERE m.l > 0)))
+SELECT p_partkey, round(2.0 * total / (length(a) + length(b)), 6)::DOUBLE AS ratio
+FROM pairs JOIN (SELECT a, b, coalesce(sum(m.l), 0) AS total FROM seg GROUP BY a, b) USING (a, b)"""
+
+
+@register("similarity_ratio", "T4 F4 (Ratcliff-Obershelp ratio of each part's name and the next one's)", BLOCKS)
+def similarity_ratio(spark, sf):
+    p = tables.table(spark, sf, "part").select("p_partkey", "p_name")
+    # part keys are dense, so the next part is the one with the next key
+    both = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b")), "p_partkey")
+    scored = both.select("p_name", "b").distinct().withColumn("ratio", F.round(similarity(F.col("p_name"), F.col("b")), 6))
+    return both.join(scored, ["p_name", "b"]).select("p_partkey", "ratio")
