@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .neighbours import LEAF_ROWS, TREES, nearest
 from .report import class_weights
 from .sequence import ordered_index
 
@@ -57,17 +59,13 @@ def balance_targets(df: DataFrame, label: str) -> DataFrame:
 
 
 def smote(train: DataFrame, id_col: str, label: str, features: list[str], k_max: int = 15,
-          seed: int = 42, tile_rows: int = 2048, fit_rows: int = 4096) -> DataFrame:
+          seed: int = 42, leaf_rows: int = LEAF_ROWS, trees: int = TREES) -> DataFrame:
     """Synthetic minority rows up to the majority count.
 
     * k = min(15, smallest class - 1) nearest neighbours (Euclidean) within
-      the class, among the class's first ``fit_rows`` rows in hashed order
-      (the documented bound on labelled rows for the fit; classes up to that
-      size are searched whole).  Each row of a class meets at most
-      ``fit_rows`` others, so the work is linear in the rows; it is tiled
-      by (class, tile) so a large class spreads over ceil(n / tile_rows)
-      tasks, and only the k best per row leave a task (``row_number() <= k``
-      is planned as a per-task group limit before the shuffle).
+      the class, out of all its rows, by ``neighbours.nearest``: exact
+      for classes of up to ``leaf_rows`` rows, above that the best of
+      ``trees`` random-projection buckets (recall is measured by a query);
     * a row without any neighbour (class of one) is repeated as it is.
     * each row of a class gets ``deficit // n`` copies, the first
       ``deficit % n`` rows one more (round robin by hashed order);
@@ -81,36 +79,26 @@ def smote(train: DataFrame, id_col: str, label: str, features: list[str], k_max:
     kmin = tg.agg(F.min("n")).first()[0]
     k = max(1, min(k_max, (kmin or 1) - 1))
     need = tg.filter(F.col("deficit") > 0).select(label, "n", "deficit")
-    minority = base.join(F.broadcast(need), label)  # one row per class
-    # copies and neighbour candidates go by hashed order
+    minority = materialize(base.join(F.broadcast(need), label))  # one row per class
+    # copies go by hashed order
     ranked = ordered_index(minority.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"),
                                                                        F.lit(str(seed))))),
                            label, ["_h", id_col], out="_r")
-    # exact kNN inside each minority class, tiled so that no task holds a
-    # whole class: a row of the class goes to one of T tiles (by hash), the
-    # candidate side is copied to all T tiles, T = ceil(n / tile_rows)
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(tile_rows))).cast("int")
-    a = minority.select(F.col(id_col).alias("_a"), label, F.col("_x").alias("_xa"),
-                        F.pmod(F.xxhash64(F.col(id_col)), tiles).cast("int").alias("_tile"))
-    b = ranked.filter(F.col("_r") < fit_rows).select(F.col(id_col).alias("_b"), label, F.col("_x").alias("_xb"),
-                        F.explode(F.sequence(F.lit(0), tiles - 1)).alias("_tile"))
-    d2 = F.aggregate(F.zip_with("_xa", "_xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, [label, "_tile"]).filter(F.col("_a") != F.col("_b")).select("_a", "_b", "_xb", d2.alias("_d"))
-    w = Window.partitionBy("_a").orderBy("_d", "_b")
-    # filter on the row_number itself so Spark inserts a per-task group limit
-    nn = pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k) \
-              .withColumn("_nn", (F.col("_rn") - 1).cast("int")).drop("_rn")
+    vectors = minority.select(F.col(id_col).cast("string").alias("id"), F.col(label).cast("string").alias("label"), F.col("_x").alias("x"))
+    near = nearest(vectors, k, leaf_rows, trees, seed)
+    nn = near.join(vectors.select(F.col("id").alias("b"), F.col("x").alias("_xb")), "b").select(
+        F.col("a").alias("_a"), (F.col("rank") - 1).cast("int").alias("_nn"), "_xb")
     # copies per row, round robin in hashed order
     copies = (F.floor(F.col("deficit") / F.col("n")) + (F.col("_r") < F.col("deficit") % F.col("n")).cast("int"))
     ranked = ranked.withColumn("_copies", copies.cast("int")).filter(F.col("_copies") > 0)
-    syn = ranked.select(id_col, label, "_x", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_j"))
-    pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("_j").cast("string"),
+    syn = ranked.select(F.col(id_col).cast("string").alias("_a"), label, "_x", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_j"))
+    pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "_a", F.col("_j").cast("string"),
                                                         F.lit(str(seed)))), 1, 8), 16, 10).cast("long"),
                   F.lit(k)).cast("int")
-    syn = syn.withColumn("_nn", pick).withColumn("_lam", _u01(id_col, "_j", F.lit(str(seed) + "l")))
-    syn = syn.join(nn.select(F.col("_a").alias(id_col), "_nn", "_xb"), [id_col, "_nn"], "left")
+    syn = syn.withColumn("_nn", pick).withColumn("_lam", _u01("_a", "_j", F.lit(str(seed) + "l")))
+    syn = syn.join(nn, ["_a", "_nn"], "left")
     xs = F.zip_with("_x", F.coalesce("_xb", "_x"), lambda x, y: x + F.col("_lam") * (y - x))
-    syn = syn.select(F.concat_ws("_", F.col(id_col).cast("string"), F.lit("syn"), F.col("_j").cast("string")).alias(id_col),
+    syn = syn.select(F.concat_ws("_", "_a", F.lit("syn"), F.col("_j").cast("string")).alias(id_col),
                      label, xs.alias("_x"), F.lit(True).alias("is_synthetic"))
     orig = base.select(F.col(id_col).cast("string").alias(id_col), label, "_x", F.lit(False).alias("is_synthetic"))
     out = orig.unionByName(syn)

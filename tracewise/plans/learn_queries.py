@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
-from ..operators import labelling, layers, learn, prep, report, traces
+from ..operators import labelling, layers, learn, neighbours, prep, report, traces
 from ..sources import fixtures, tables
 from ..functions.text import repetition_features, words
 from ..session import materialize
@@ -84,11 +85,10 @@ kk AS (SELECT greatest(1, least(15, min(n) - 1)) AS k FROM cnt),
 mi AS (SELECT tr.*, tg.n, tg.deficit FROM tr JOIN tg USING (label) WHERE tg.deficit > 0),
 rk AS (SELECT mi.*, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) - 1 AS r
        FROM mi),
-cd AS (SELECT * FROM rk WHERE r < 4096),
 pr AS (SELECT a.vec_id AS a, b.vec_id AS b, b.x AS xb,
               list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))) AS d
-       FROM mi a JOIN cd b ON a.label = b.label AND a.vec_id <> b.vec_id),
-nn AS (SELECT a, xb, row_number() OVER (PARTITION BY a ORDER BY d, b) - 1 AS nn FROM pr),
+       FROM mi a JOIN mi b ON a.label = b.label AND a.vec_id <> b.vec_id),
+nn AS (SELECT a, xb, row_number() OVER (PARTITION BY a ORDER BY d, b::VARCHAR) - 1 AS nn FROM pr),
 cp AS (SELECT rk.*, CAST(floor(deficit / n) + CASE WHEN r < deficit % n THEN 1 ELSE 0 END AS INTEGER) AS copies FROM rk),
 sy AS (SELECT vec_id, label, x, unnest(range(0, copies)) AS j FROM cp WHERE copies > 0),
 sy2 AS (SELECT sy.*,
@@ -101,13 +101,29 @@ SELECT CAST(sy2.vec_id AS VARCHAR) || '_syn_' || CAST(sy2.j AS VARCHAR) AS vec_i
 FROM sy2 JOIN nn ON nn.a = sy2.vec_id AND nn.nn = sy2.pick"""
 
 
-@register("smote_rows", "M6 J14 V14 (synthetic rows; exact within-class kNN, md5-chosen neighbour and lambda)",
+@register("smote_rows", "M6 J14 V14 (synthetic rows; neighbours among all rows of the class, md5-chosen neighbour and lambda)",
           SMOTE_SQL)
 def smote_rows(spark, sf):
     tr = _split(spark, sf).filter(~F.col("is_test"))
     return rounded(prep.smote(tr, "vec_id", "label", FEATS).filter(F.col("is_synthetic")))
 
 
+@register("neighbour_recall", "J14 V14 (share of the true 15 nearest rows that the projection forest finds, for ids divisible by 100)")
+def neighbour_recall(spark, sf, k: int = 15):
+    """Queries, their true neighbours among all rows (by brute force), those found, and the recall.  All rows are one class."""
+    e = tables.table(spark, sf, "embeddings")
+    rows = materialize(e.select(F.col("vec_id").cast("string").alias("id"), F.lit("all").alias("label"),
+                                F.col("embedding").cast("array<double>").alias("x"), (F.col("vec_id") % 100 == 0).alias("asks")))
+    found = neighbours.nearest(rows, k)
+    asked = rows.filter("asks").select(F.col("id").alias("a"), "label", F.col("x").alias("xa"))
+    d2 = F.aggregate(F.zip_with("xa", "x", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    pairs = rows.join(asked, "label").filter("a <> id").select("a", F.col("id").alias("b"), d2.alias("d"))
+    true = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("rank") <= k)
+    hit = true.select("a", "b").join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    return rounded(hit.agg(F.count_distinct("a").alias("n_queries"), F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"),
+                           (F.count("hit") / F.count(F.lit(1))).alias("recall")))
+
+
 @register("scaled_features", "V12 (population-std scaling fit on train, applied to all)", f"""
 WITH {SPLIT_SQL}, st AS (SELECT """ + ", ".join(
     f"avg(x[{i + 1}]) AS m{i}, stddev_pop(x[{i + 1}]) AS s{i}" for i in range(64)) + """ FROM sp WHERE NOT is_test)
@@ -209,7 +225,7 @@ def feature_rows(spark, sf):
     return rounded(r.withColumns({"feature_60": rnd(F.col("feature_60")), "feature_61": rnd(F.col("feature_61"))}))
 
 
-def chunk_dataset(spark, sf):
+def chunk_dataset(spark, sf, fuzzy=True):
     """Labelled chunks + chunk features + the sample's 74 features.
 
     Chunk samples are orders; their signal features are the customer's
@@ -217,7 +233,7 @@ def chunk_dataset(spark, sf):
     """
     from ..operators import chunks as chunk_ops
     li = labelling.prepare(fixtures.generations(spark, sf), fixtures.references(spark, sf))
-    lab = labelling.label(li, fuzzy=True).select("sample_id", "chunk_idx", "chunk_label")
+    lab = labelling.label(li, fuzzy=fuzzy).select("sample_id", "chunk_idx", "chunk_label")
     cf = chunk_ops.chunk_features(li.chunks, li.gen_texts)
     o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"), "o_custkey",
                                                  F.col("o_orderpriority").alias("model_name"))
@@ -332,9 +348,9 @@ def _filled(c: str) -> F.Column:
     return F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
 
 
-def _chunk_matrix(spark, sf):
+def _chunk_matrix(spark, sf, fuzzy=True):
     """The multi-class chunk matrix with its label, split by sample, and its columns."""
-    d = feat.preprocess(chunk_dataset(spark, sf), "multiclass")
+    d = feat.preprocess(chunk_dataset(spark, sf, fuzzy), "multiclass")
     cols = feat.matrix_columns(d, "multiclass")
     d = materialize(d.select(F.concat_ws("_", "sample_id", "chunk_idx").alias("row_id"), "sample_id", "model_name",
                              F.col("chunk_label").alias("label"), *[_filled(c) for c in cols]))
@@ -382,10 +398,41 @@ def chunk_model_comparison(spark, sf):
     return learn.compare_models(train.unionByName(test.withColumn("weight", F.lit(1.0))), "model_name", cols, max_iter=50)
 
 
-@register("chunk_split_counts", "M5 M7 A19 A20 (chunks split by sample, counts and class weights of the training side, exact rules)",
-          LABELS_EXACT + """
+SPLIT_CHUNKS_EXACT = LABELS_EXACT + """
 , sp AS (SELECT chunk_label AS label, sample_id,
-                ('0x' || substr(md5(CAST(sample_id AS VARCHAR) || ':42'), 1, 12))::BIGINT / 281474976710656.0 < 0.2 AS is_test FROM labels),
+                ('0x' || substr(md5(CAST(sample_id AS VARCHAR) || ':42'), 1, 12))::BIGINT / 281474976710656.0 < 0.2 AS is_test FROM labels)"""
+
+
+def _balanced_chunks(spark, sf, fuzzy):
+    """The chunk matrix split by sample, its training side balanced before any scaling (M6)."""
+    split, cols = _chunk_matrix(spark, sf, fuzzy)
+    train = split.filter(~F.col("is_test"))
+    synthetic = prep.smote(train.select("row_id", "label", *cols), "row_id", "label", cols)
+    return materialize(synthetic), split.filter(F.col("is_test")), cols
+
+
+@register("chunk_smote_counts", "M6 M5 (training chunks balanced before scaling: class counts, exact rules)", SPLIT_CHUNKS_EXACT + """
+, c AS (SELECT label, count(*) AS n FROM sp WHERE NOT is_test GROUP BY label)
+SELECT label, max(n) OVER () AS n_after, max(n) OVER () - n AS n_synthetic FROM c""")
+def chunk_smote_counts(spark, sf):
+    balanced, _, _ = _balanced_chunks(spark, sf, fuzzy=False)
+    return balanced.groupBy("label").agg(F.count(F.lit(1)).alias("n_after"), F.count_if(F.col("is_synthetic")).alias("n_synthetic"))
+
+
+@register("chunk_smote_evaluation", "M6 M8 M11 (chunk model fitted on the balanced, then scaled training side; metrics on its test samples)")
+def chunk_smote_evaluation(spark, sf):
+    balanced, test, cols = _balanced_chunks(spark, sf, fuzzy=True)
+    stats = prep.fit_scaler(balanced, cols)
+    index = test.select("label", "label_idx").distinct()  # a row per class
+    train = prep.apply_scaler(balanced.join(F.broadcast(index), "label"), stats, cols)
+    model = learn.fit(materialize(train), cols, "label_idx", None, max_iter=50)
+    p = learn.predict(model, prep.apply_scaler(test, stats, cols), cols, [F.col("label_idx").alias("y")])
+    sizes = train.agg(F.count(F.lit(1)).alias("n_train")).crossJoin(test.agg(F.count(F.lit(1)).alias("n_test")))
+    return sizes.crossJoin(report.summary_metrics(p))
+
+
+@register("chunk_split_counts", "M5 M7 A19 A20 (chunks split by sample, counts and class weights of the training side, exact rules)",
+          SPLIT_CHUNKS_EXACT + """,
 c AS (SELECT label, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test,
              count(DISTINCT sample_id) FILTER (is_test) AS test_samples FROM sp GROUP BY label),
 t AS (SELECT sum(n_train) AS total FROM c)
@@ -402,13 +449,33 @@ def chunk_split_counts(spark, sf):
     return rounded(c.join(w, "label", "left"))
 
 
-@register("binary_model_report", "M3 M9 A21 A24 A25 (binary fit with the positive weight on the binary matrix, split by sample)")
-def binary_model_report(spark, sf):
+def _binary_split(spark, sf):
+    """Binary matrix rows with their label (1: quality 0, the class to be found), split by quota."""
     names = [f"x_{i}" for i in range(65)]
     x = binary_matrix(spark, sf).select("sample_id", *[F.col("x_binary")[i].alias(c) for i, c in enumerate(names)])
     x = x.select("sample_id", *[_filled(c) for c in names])
-    truth = (tables.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("quality") < 3).cast("int").alias("label")))
-    d = prep.stratified_split(materialize(x.join(truth, "sample_id")), "sample_id", "label", 0.2, 42)
+    truth = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("quality") == 0).cast("int").alias("label"))
+    return prep.stratified_split(materialize(x.join(truth.filter("label IS NOT NULL"), "sample_id")), "sample_id", "label", 0.2, 42), names
+
+
+@register("binary_label_counts", "M9 A21 M5 (binary labels of the fit: classes on both sides and the positive weight)", """
+WITH d AS (SELECT s.sample_id, CAST(l.quality = 0 AS INTEGER) AS label FROM (SELECT DISTINCT user_id AS sample_id FROM events) s
+           JOIN labels l ON l.doc_id = s.sample_id WHERE l.quality IS NOT NULL),
+sp AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(sample_id AS VARCHAR) || ':42'), sample_id) - 1
+                < ceil(count(*) OVER (PARTITION BY label) * 0.2) AS is_test FROM d),
+c AS (SELECT count(*) FILTER (NOT is_test AND label = 1) AS train_positive, count(*) FILTER (NOT is_test AND label = 0) AS train_negative,
+             count(*) FILTER (is_test AND label = 1) AS test_positive, count(*) FILTER (is_test AND label = 0) AS test_negative FROM sp)
+SELECT *, round((train_positive + train_negative) / (2.0 * train_positive), 6)::DOUBLE AS pos_weight FROM c""")
+def binary_label_counts(spark, sf):
+    d, _ = _binary_split(spark, sf)
+    n = lambda test, label: F.count_if((F.col("is_test") == test) & (F.col("label") == label))
+    c = d.agg(n(False, 1).alias("train_positive"), n(False, 0).alias("train_negative"), n(True, 1).alias("test_positive"), n(True, 0).alias("test_negative"))
+    return rounded(c.crossJoin(report.positive_weight(d.filter(~F.col("is_test")), "label")))
+
+
+@register("binary_model_report", "M3 M9 A21 A24 A25 (binary fit with the positive weight on the binary matrix)")
+def binary_model_report(spark, sf):
+    d, names = _binary_split(spark, sf)
     pos = report.positive_weight(d.filter(~F.col("is_test")), "label")
     d = d.crossJoin(F.broadcast(pos)).withColumn("weight", F.when(F.col("label") == 1, F.col("pos_weight")).otherwise(F.lit(1.0)))
     train = d.filter(~F.col("is_test"))
