@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
-from ..operators import labelling, layers, learn, neighbours, prep, report, traces
+from ..operators import grouped_fit, labelling, layers, learn, neighbours, prep, report, traces
 from ..sources import fixtures, tables
 from ..functions.text import repetition_features, words
 from ..session import materialize
@@ -335,7 +335,24 @@ def run_summary(spark, sf):
     return rounded(report.run_summary(lab.join(o, "sample_id"), "model_name", "dataset", "chunk_label"))
 
 
-@register("model_comparison", "M14 A27 (every dataset group fitted and judged in one job)")
+@register("grouped_newton_step", "M14 (first Newton step of every group's model, from coefficients zero)", f"""
+WITH {LEARN_SQL},
+d AS (SELECT vec_id % 5 AS g, CAST(x[1] > 0.05 AS INTEGER) - 0.5 AS r, x[2] AS a, x[3] AS b FROM lt),
+s AS (SELECT g, sum(r * a) AS ga, sum(r * b) AS gb, sum(r) AS gc, sum(a * a) / 4 AS aa, sum(a * b) / 4 AS ab, sum(a) / 4 AS ac,
+             sum(b * b) / 4 AS bb, sum(b) / 4 AS bc, count(*) / 4 AS cc FROM d GROUP BY g),
+t AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s)
+SELECT CAST(g AS VARCHAR) AS g, round((ga * (bb * cc - bc * bc) - ab * (gb * cc - bc * gc) + ac * (gb * bc - bb * gc)) / det, 4) AS beta_a,
+       round((aa * (gb * cc - bc * gc) - ga * (ab * cc - bc * ac) + ac * (ab * gc - gb * ac)) / det, 4) AS beta_b,
+       round((aa * (bb * gc - gb * bc) - ab * (ab * gc - gb * ac) + ga * (ab * bc - bb * ac)) / det, 4) AS beta_c
+FROM t""")
+def grouped_newton_step(spark, sf):
+    d = learning_table(spark, sf).select((F.col("vec_id") % 5).alias("g"), (F.col("f_0") > 0.05).cast("int").alias("y"), "f_1", "f_2")
+    rows = grouped_fit.design(d, "g", ["f_1", "f_2"], "y")
+    after = grouped_fit.step(rows, materialize(grouped_fit.start(rows)))
+    return rounded(after.select("g", *[F.col("beta")[i].alias(f"beta_{c}") for i, c in enumerate("abc")]), 4)
+
+
+@register("model_comparison", "M14 A27 (a model per dataset group, stepped together)")
 def model_comparison(spark, sf):
     sp = prep.encode_labels(_split(spark, sf), "label")
     sp = sp.withColumn("dataset", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd"))
@@ -391,11 +408,11 @@ def chunk_importance(spark, sf):
     return report.importance_report(materialize(learn.permutation_importance(model, test, cols, "row_id", "label_idx")))
 
 
-@register("chunk_model_comparison", "M14 A27 (a chunk model per model name, fitted and judged in one job)")
+@register("chunk_model_comparison", "M14 A27 (a chunk model per model name, stepped together)")
 def chunk_model_comparison(spark, sf):
     split, cols = _chunk_matrix(spark, sf)
     train, test = _scaled_and_weighted(split, cols)
-    return learn.compare_models(train.unionByName(test.withColumn("weight", F.lit(1.0))), "model_name", cols, max_iter=50)
+    return learn.compare_models(train.unionByName(test.withColumn("weight", F.lit(1.0))), "model_name", cols)
 
 
 SPLIT_CHUNKS_EXACT = LABELS_EXACT + """
