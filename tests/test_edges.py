@@ -71,10 +71,10 @@ def test_unequal_layer_sizes_fail_the_sample(spark):
     assert {r.sample_id for r in layers.layer_shift_long(df).collect()} == {1}
 
 
-def test_smote_lone_row_and_bounded_candidates(spark):
+def test_smote_lone_row_and_small_buckets(spark):
     rows = [(i, "a", float(i)) for i in range(6)] + [(100, "b", 7.0)] + [(200 + i, "c", float(i)) for i in range(4)]
     df = spark.createDataFrame(rows, "id long, label string, f_0 double")
-    out = prep.smote(df, "id", "label", ["f_0"], fit_rows=2).collect()
+    out = prep.smote(df, "id", "label", ["f_0"], leaf_rows=2).collect()
     assert {k: sum(r.label == k for r in out) for k in "abc"} == {"a": 6, "b": 6, "c": 6}
     assert {r.f_0 for r in out if r.label == "b"} == {7.0}
     assert all(0 <= r.f_0 <= 3 for r in out if r.label == "c")

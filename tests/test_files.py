@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tracewise.sources import files
@@ -59,3 +61,40 @@ def test_bundle_truth_folder_and_model(spark, scratch):
     files.save_model(m, t.groupBy("label_idx").count(), os.path.join(scratch, "model"))
     from pyspark.ml import PipelineModel
     assert PipelineModel.load(os.path.join(scratch, "model", "model")).stages
+
+
+def test_folder_pass_lists_damaged_files_and_goes_on(spark, scratch):
+    src = os.path.join(scratch, "in")
+    os.makedirs(src)
+    for name, text in {"good.csv": 'id,t\n1,"a, ""b""\nc"\n2,x\n', "wide.csv": "id,extra\n1,z\n", "long.csv": "id,t\n1,x\n2,y,z\n", "short.csv": "id,t\n1\n",
+                       "nokey.csv": "name,t\n1,x\n", "twice.csv": "id,t,T\n1,x,y\n"}.items():
+        with open(os.path.join(src, name), "w") as f:
+            f.write(text)
+    tr = spark.createDataFrame([("1", "one")], "id string, gt string")
+    got = {r.source_file: (r.n_rows, r.matched, r.error) for r in files.enrich_folder(
+        spark, src, tr, "id", {"ground_truth": F.col("gt")}, os.path.join(scratch, "out")).collect()}
+    assert got == {"good.csv": (2, 1, None), "wide.csv": (1, 1, None), "long.csv": (2, None, "1 damaged rows"), "short.csv": (1, None, "1 damaged rows"),
+                   "nokey.csv": (None, None, "no column id"), "twice.csv": (None, None, "a column is named twice")}
+    out = spark.read.option("mergeSchema", True).parquet(os.path.join(scratch, "out")).collect()
+    assert sorted((r.source_file, r.id, r.ground_truth) for r in out) == [("good.csv", "1", "one"), ("good.csv", "2", ""), ("wide.csv", "1", "one")]
+    assert [r.t for r in out if r.source_file == "good.csv" and r.id == "1"] == ['a, "b"\nc']
+
+
+def test_reference_captions_need_their_columns(spark, scratch):
+    from tracewise.operators import truth
+    with open(os.path.join(scratch, "a.csv"), "w") as f:
+        f.write("image_filename,generated_description\na.jpg,first\nb.jpg,\na.jpg,last\n")
+    got = {r.image_filename: r.ground_truth for r in truth.reference_captions(spark, os.path.join(scratch, "a.csv")).collect()}
+    assert got == {"a.jpg": "last", "b.jpg": ""}
+    with open(os.path.join(scratch, "b.csv"), "w") as f:
+        f.write("image_filename,caption\na.jpg,first\n")
+    with pytest.raises(ValueError, match="generated_description"):
+        truth.reference_captions(spark, os.path.join(scratch, "b.csv"))
+
+
+def test_a_run_written_twice_is_in_the_log_once(spark, scratch):
+    path = os.path.join(scratch, "log")
+    rows = spark.createDataFrame([("m", 1.0)], "model string, f1 double")
+    for run in ("r1", "r2", "r1"):
+        log = files.append_result_rows(rows, path, run)
+    assert log.count() == 2

@@ -44,3 +44,34 @@ def test_truth_enrichment_stream(spark, scratch):
     batch = truth.left_join_truth(spark.read.option("header", True).csv(src), tr, "image_filename",
                                   {"ground_truth": F.col("gt")})
     assert sorted(r.ground_truth for r in batch.collect()) == sorted(got.values())
+
+
+def _enrich(spark, scratch, src, tr, out="out", ck="ck", **more):
+    from pyspark.sql.types import StructType
+    q = incremental.start_truth_enrichment(spark, src, StructType.fromDDL("image_filename string, feature_0 string"), tr, "image_filename",
+                                           os.path.join(scratch, out), os.path.join(scratch, ck), {"ground_truth": F.col("gt")}, **more)
+    q.awaitTermination(120)
+    return sorted((r.image_filename, r.ground_truth) for r in spark.read.parquet(os.path.join(scratch, out)).collect())
+
+
+def test_a_batch_run_again_writes_no_row_twice(spark, scratch):
+    """The commit record of the last batch is lost, as after a crash between the write and the commit: the batch runs again."""
+    import shutil
+    src = os.path.join(scratch, "csv")
+    os.makedirs(src)
+    tr = spark.createDataFrame([("a.jpg", "cap a")], "image_filename string, gt string")
+    for name in ("m1", "m2", "m3"):
+        with open(os.path.join(src, f"{name}.csv"), "w") as f:
+            f.write(f"image_filename,feature_0\na.jpg,1.0\n{name}.jpg,2.0\n")
+    want = sorted([("a.jpg", "cap a")] * 3 + [(f"{n}.jpg", "") for n in ("m1", "m2", "m3")])
+    assert _enrich(spark, scratch, src, tr, max_files_per_trigger=1) == want
+    commits = os.path.join(scratch, "ck", "commits")
+    last = max(int(n) for n in os.listdir(commits) if n.isdigit())
+    assert last == 2
+    kept = os.path.join(scratch, "ck2")
+    shutil.copytree(os.path.join(scratch, "ck"), kept, ignore=lambda d, names: [n for n in names if d == commits and n.lstrip(".").split(".")[0] == str(last)])
+    assert _enrich(spark, scratch, src, tr, ck="ck2", max_files_per_trigger=1) == want
+    # a restart goes on where the query stopped
+    with open(os.path.join(src, "m4.csv"), "w") as f:
+        f.write("image_filename,feature_0\na.jpg,3.0\n")
+    assert _enrich(spark, scratch, src, tr, ck="ck2") == sorted([*want, ("a.jpg", "cap a")])

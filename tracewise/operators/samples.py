@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.json_arrays import RANGE_BYTES, read_json_arrays
 from .sequence import ordered_index
 
 # --- fixed values: prompt templates per dataset (P5) -------------------------
@@ -137,16 +138,20 @@ def dialogue_pairs(conv: DataFrame) -> DataFrame:
         "question", "answer")
 
 
-def coqa_from_json(spark: SparkSession, path: str) -> DataFrame:
+_TURNS = "array<struct<input_text:string,span_start:int>>"
+_COQA = f"id string, story string, questions {_TURNS}, answers {_TURNS}, additional_answers struct<`0`:{_TURNS},`1`:{_TURNS},`2`:{_TURNS}>"
+
+
+def coqa_from_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Nested CoQA JSON -> one row per question.
 
     ``data[]`` holds story, questions[], answers[] and
     additional_answers{"0","1","2"}[]; rows are zipped by position and the
     running story is rebuilt by ``dialogue_story``.  ``doc_pos`` and ``pos``
-    give the order of the file.
+    give the order of the file, which is read by byte ranges.
     """
-    raw = spark.read.option("multiLine", True).json(path)
-    d = raw.select(F.posexplode("data").alias("doc_pos", "d")).select("doc_pos", "d.*")
+    data = read_json_arrays(spark, path, range_bytes).filter(F.col("name") == "data")
+    d = data.select(F.struct("path", "offset").alias("doc_pos"), F.from_json("json", _COQA).alias("d")).select("doc_pos", "d.*")
     z = d.select("doc_pos", "id", "story", F.posexplode(F.arrays_zip(
         F.col("questions").alias("q"), F.col("answers").alias("a"),
         F.col("additional_answers.0").alias("x0"), F.col("additional_answers.1").alias("x1"),

@@ -7,27 +7,55 @@ truth table is assumed small.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import join_aliases, split_aliases
+from ..session import materialize
+from ..sources.files import CSV_OPTIONS, missing_columns, read_headers
+from ..sources.json_arrays import RANGE_BYTES, read_json_arrays
+
+
+_IMAGE = "id long, file_name string"
+_ANNOTATION = "id long, image_id long, category_id long, caption string, bbox array<double>, area double, iscrowd int"
+_CATEGORY = "id long, name string"
 
 
-def coco_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+def coco_tables(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame, str]:
     """COCO JSON -> (images, annotations, categories, annotation_type).
 
-    The type comes from the schema (a ``caption`` or ``category_id`` field),
-    not from the first record.
+    The file is read once, by byte ranges.  Annotations keep their order
+    (``pos``) and their text (``json``).  The type is that of the first
+    annotation: ``captions``, ``instances``, ``unknown``, or ``none`` without annotations.
+    """
+    rows = materialize(read_json_arrays(spark, path, range_bytes))
+
+    def of(name, schema, *keep):
+        return rows.filter(F.col("name") == name).select(F.from_json("json", schema).alias("r"), *keep).select(*keep, "r.*")
+
+    ann = of("annotations", _ANNOTATION, "offset", "json").withColumnRenamed("offset", "pos")
+    first = rows.filter(F.col("name") == "annotations").agg(F.min_by("json", F.struct("path", "offset")).alias("j")).first()["j"]
+    fields = set(json.loads(first)) if first else set()
+    kind = "none" if first is None else "captions" if "caption" in fields else "instances" if "category_id" in fields else "unknown"
+    return of("images", _IMAGE), ann, of("categories", _CATEGORY), kind
+
+
+def reference_captions(spark: SparkSession, path: str, image_col: str = "image_filename", text_col: str = "generated_description") -> DataFrame:
+    """Reference-caption CSV -> (image_filename, ground_truth), the last row of a file name wins.
+
+    Raises ValueError naming the columns that the file lacks.
     """
-    raw = spark.read.option("multiLine", True).json(path)
-    images = raw.select(F.explode("images").alias("i")).select("i.id", "i.file_name")
-    ann = raw.select(F.posexplode("annotations").alias("pos", "a")).select("pos", "a.*")
-    fields = set(ann.columns)
-    kind = "captions" if "caption" in fields else "instances" if "category_id" in fields else "unknown"
-    cats = (raw.select(F.explode("categories").alias("c")).select("c.id", "c.name")
-            if "categories" in raw.columns else spark.createDataFrame([], "id bigint, name string"))
-    return images, ann, cats, kind
+    headers = read_headers(spark, path)
+    for file, columns in headers:
+        missing = missing_columns(columns, [image_col, text_col])
+        if missing:
+            raise ValueError(f"{file} lacks {', '.join(missing)}")
+    rows = spark.read.options(**CSV_OPTIONS).csv(path).withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    out = last_per_key(rows.filter(F.col(image_col).isNotNull()), image_col, text_col, ["_at"])
+    return out.select(F.col(image_col).alias("image_filename"), F.coalesce(text_col, F.lit("")).alias("ground_truth"))
 
 
 def annotations_by_file(images: DataFrame, ann: DataFrame) -> DataFrame:

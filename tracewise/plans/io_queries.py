@@ -1,4 +1,4 @@
-"""Write-then-read queries of sources, sinks and streams.
+"""Write-then-read queries of sources, sinks and streams.
 
 Each writes rows of the given tables into the shared checkpoint folder with
 the library's sink and reads them back with its source.
@@ -8,13 +8,20 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import traces
-from ..session import ensure_checkpoint_dir
-from ..sources import files, fixtures, tables
+from ..operators import labelling, learn, prep, report, samples, traces, truth
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources import files, fixtures, json_arrays, tables
+from ..sources.fixtures import ANN_ORDER
 from ..streaming import incremental
+from . import learn_queries
+from .label_queries import LABELS_EXACT
+from .learn_queries import SPLIT_SQL
 from .registry import register, rounded
+from .text_queries import DIALOGUE_SQL
+from .truth_queries import COCO, ORD
 from .trace_queries import PROB_TRACE, TRACE_ROW_FEATURES
 
 
@@ -70,16 +77,165 @@ def results_log(spark, sf):
     return files.append_result_rows(b, path).select("model", "n_docs", "n_chars")
 
 
-@register("chunk_dataset_sink", "S15 (chunk features written as CSV and read back)", """
-SELECT c_custkey::VARCHAR AS c_custkey, c_name, 'He said "' || c_name || '", twice' || chr(10) || ' then left' AS chunk_text FROM customer""")
+@register("chunk_dataset_sink", "S15 (labelled chunks, exact rules, written as CSV and read back)", LABELS_EXACT + """
+SELECT ch.sample_id::VARCHAR AS sample_id, ch.chunk_idx::VARCHAR AS chunk_idx, ch.chunk_text, ch.chunk_type, l.chunk_label
+FROM ch JOIN labels l USING (sample_id, chunk_idx)""")
 def chunk_dataset_sink(spark, sf):
+    lab = labelling.label(labelling.prepare(fixtures.generations(spark, sf), fixtures.references(spark, sf)), fuzzy=False)
+    path = _folder(spark, "chunks")
+    files.write_chunk_dataset(lab.select("sample_id", "chunk_idx", "chunk_text", "chunk_type", "chunk_label"), path, "csv")
+    return files.load_features(spark, path)
+
+
+@register("quoted_csv_round_trip", "S11 S12 (quotes, commas and newlines through the CSV dialect)", """
+SELECT c_custkey::VARCHAR AS c_custkey, c_name, 'He said "' || c_name || '", twice' || chr(10) || ' then left' AS chunk_text FROM customer""")
+def quoted_csv_round_trip(spark, sf):
     c = tables.table(spark, sf, "customer")
     text = F.concat(F.lit('He said "'), F.col("c_name"), F.lit('", twice\n then left'))
-    path = _folder(spark, "chunks")
+    path = _folder(spark, "quoted")
     files.write_chunk_dataset(c.select("c_custkey", "c_name", text.alias("chunk_text")), path, "csv")
     return files.load_features(spark, path)
 
 
+@register("text_lines_sink", "S17 T2 (texts written one line a row and read back)", """
+SELECT trim(regexp_replace(text, '\\n', ' ', 'g'), ' ') AS line, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1""")
+def text_lines_sink(spark, sf):
+    path = _folder(spark, "lines")
+    files.write_text_column(tables.table(spark, sf, "documents").filter("text <> ''"), "text", path)
+    return spark.read.text(path).groupBy(F.trim("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("coco_json_scan", "S5 J1 J2 (one COCO file written, read by byte ranges, annotations with file and category)", f"""
+WITH {COCO}
+SELECT file_name, category, category_id, row_number() OVER (PARTITION BY file_name ORDER BY {ORD}) AS nr, round(area, 2)::DOUBLE AS area FROM inst""")
+def coco_json_scan(spark, sf):
+    path = _folder(spark, "coco")
+    ann = fixtures.coco_instances(spark, sf)
+    json_arrays.write_json_arrays({
+        "images": (fixtures.coco_images(spark, sf), ["id"]),
+        "annotations": (ann.select("image_id", "category_id", "bbox", "area", *ANN_ORDER), ["image_id", *ANN_ORDER]),
+        "categories": (fixtures.coco_categories(spark, sf), ["id"])}, path)
+    images, ann, categories, kind = truth.coco_tables(spark, path, range_bytes=1 << 20)
+    assert kind == "instances"
+    rows = truth.with_category_names(truth.annotations_by_file(images, ann), categories)
+    nr = F.row_number().over(Window.partitionBy("file_name").orderBy("pos"))
+    return rows.select("file_name", "category", "category_id", nr.cast("long").alias("nr"), F.round("area", 2).alias("area"))
+
+
+@register("coqa_json_scan", "S4 W4 (one CoQA file written, read by byte ranges, a row per question with its running story)", DIALOGUE_SQL + """
+SELECT id, story, question, answer, question || '?' AS third_answer FROM d""")
+def coqa_json_scan(spark, sf):
+    path = _folder(spark, "coqa")
+    d = samples.dialogue_pairs(tables.table(spark, sf, "conversations"))
+    turn = lambda t, n: F.struct(t.alias("input_text"), F.lit(n).alias("span_start"))
+    per = d.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("q_idx", "question", "answer", "story"))).alias("l"))
+    lists = [F.transform("l", lambda x: turn(x["question"], 0)), F.transform("l", lambda x: turn(x["answer"], 1)),
+             F.transform("l", lambda x: turn(F.concat(x["question"], F.lit("?")), 2))]
+    doc = per.select("conv_id", F.col("conv_id").cast("string").alias("id"), F.col("l")[0]["story"].alias("story"), lists[0].alias("questions"),
+                     lists[1].alias("answers"), F.struct(lists[1].alias("0"), lists[1].alias("1"), lists[2].alias("2")).alias("additional_answers"))
+    json_arrays.write_json_arrays({"data": (doc, ["conv_id"])}, path)
+    rows = samples.coqa_from_json(spark, path, range_bytes=1 << 20)
+    return rows.select("id", "story", "question", F.col("answer.text").alias("answer"), F.col("additional_answers")[2].alias("third_answer"))
+
+
+@register("qa_dataset_scan", "S3 S8 A1 O1 O2 P4 (TriviaQA rows scanned from files: first row per question, named, first 500)", """
+WITH f AS (SELECT lang || ':' || source AS question_id, doc_id, text, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents),
+n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, question_id, doc_id FROM f WHERE r = 1)
+SELECT 'triviaqa_sample_' || idx AS name, question_id, doc_id FROM n WHERE idx < 500""")
+def qa_dataset_scan(spark, sf):
+    path = _folder(spark, "trivia")
+    d = tables.table(spark, sf, "documents").select(F.concat_ws(":", "lang", "source").alias("question_id"), "doc_id", F.col("text").alias("question"))
+    d.orderBy("doc_id").write.parquet(path)
+    return samples.load_qa_dataset(spark, "triviaqa", path, max_samples=500).select("name", "question_id", "doc_id")
+
+
+@register("image_folder_scan", "S1 P16 (a folder of files listed: images by suffix, with name and file name)", """
+SELECT lower(s_name) AS name, lower(s_name) || ['.jpg', '.PNG', '.jpeg'][s_suppkey % 4 + 1] AS filename FROM supplier WHERE s_suppkey % 4 < 3""")
+def image_folder_scan(spark, sf):
+    path = _folder(spark, "images")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".jpg", ".PNG", ".jpeg", ".txt")]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    named = tables.table(spark, sf, "supplier").select(F.concat(F.lower("s_name"), suffix).alias("name"), F.col("s_name").cast("binary").alias("content"))
+    files.write_files(named, path)
+    return samples.image_catalog(spark, path).select(*[F.url_decode(c).alias(c) for c in ("name", "filename")])
+
+
+@register("virtual_image_scan", "S2 (first image of each dataset row; names keep the row's index)", """
+SELECT 'llava_dataset_image_' || doc_id AS path, 'llava_image_' || doc_id AS name, 'llava_image_' || doc_id || '.jpg' AS filename, text AS image
+FROM documents WHERE n_chars % 3 > 0 AND text IS NOT NULL""")
+def virtual_image_scan(spark, sf):
+    path = _folder(spark, "virtual")
+    images = F.when(F.col("n_chars") % 3 == 0, F.array().cast("array<string>")).when(F.col("n_chars") % 3 == 1, F.array("text")).otherwise(F.array("text", "lang"))
+    tables.table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), images.alias("images")).write.parquet(path)
+    return samples.virtual_catalog(spark.read.parquet(path))
+
+
+@register("reference_caption_csv", "S6 J4 (reference captions read from CSV with their columns checked, last row per file name)", f"""
+WITH {COCO}, r AS (SELECT file_name, caption, row_number() OVER (PARTITION BY file_name ORDER BY {', '.join(c + ' DESC' for c in ANN_ORDER)}) AS k FROM ann)
+SELECT f.image_filename, coalesce(r.caption, '') AS ground_truth, r.caption IS NOT NULL AS gt_matched
+FROM feats f LEFT JOIN r ON r.file_name = f.image_filename AND k = 1""")
+def reference_caption_csv(spark, sf):
+    path = _folder(spark, "captions")
+    ann = truth.annotations_by_file(fixtures.coco_images(spark, sf), fixtures.coco_captions(spark, sf))
+    rows = ann.select(F.col("file_name").alias("image_filename"), F.col("caption").alias("generated_description"), *ANN_ORDER)
+    files.write_feature_csv(rows.repartition(1).sortWithinPartitions("image_filename", *ANN_ORDER), path)
+    captions = truth.reference_captions(spark, path)
+    joined = truth.left_join_truth(fixtures.image_features(spark, sf), captions, "image_filename", {"ground_truth": F.col("ground_truth")})
+    return joined.select("image_filename", "ground_truth", "gt_matched")
+
+
+@register("folder_truth_pass", "S14 X2 (a folder of feature CSVs joined with truth: good files written, a damaged one and one without the key listed)", """
+WITH d AS (SELECT doc_id, lang FROM documents WHERE text <> '')
+SELECT 'good' AS file, lang, count(*) AS n_rows, count(l.doc_id) AS matched, NULL::VARCHAR AS error FROM d LEFT JOIN labels l USING (doc_id) WHERE lang <> 'en' GROUP BY lang
+UNION ALL SELECT 'damaged', NULL, count(*), NULL, count(*) FILTER (doc_id % 2 = 0) || ' damaged rows' FROM d WHERE lang = 'en' HAVING count(*) > 0
+UNION ALL SELECT 'no key', NULL, NULL, NULL, 'no column doc_id' FROM d HAVING count(*) > 0""")
+def folder_truth_pass(spark, sf):
+    path = _folder(spark, "folder")
+    d = tables.table(spark, sf, "documents").filter("text <> ''").select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
+    for part, rows in (("good", d.filter("lang <> 'en'")), ("no key", d.select("lang"))):
+        rows.repartition(1).write.options(header=True).mode("append").csv(f"{path}/in")
+    lines = d.filter("lang = 'en'").select(F.concat_ws(",", "doc_id", "lang", F.when(F.col("doc_id").cast("long") % 2 == 0, F.lit("extra"))).alias("value"))
+    head = spark.createDataFrame([("doc_id,lang",)], "value string").withColumn("i", F.lit(0))
+    one = head.unionByName(lines.withColumn("i", F.lit(1))).repartition(1).sortWithinPartitions("i").select("value")
+    one.write.mode("append").option("sep", "\x01").csv(f"{path}/in")  # lines as they are
+    labels = tables.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("string").alias("q"))
+    status = materialize(files.enrich_folder(spark, f"{path}/in", labels, "doc_id", {"ground_truth": F.col("q")}, f"{path}/out"))
+    written = spark.read.parquet(f"{path}/out")
+    good = written.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("gt_matched").alias("matched"))
+    good = good.select(F.lit("good").alias("file"), "lang", "n_rows", "matched", F.lit(None).cast("string").alias("error"))
+    bad = status.filter("error IS NOT NULL").select(F.when(F.col("error").contains("damaged"), "damaged").otherwise("no key").alias("file"),
+                                                    F.lit(None).cast("string").alias("lang"), "n_rows", "matched", "error")
+    return good.unionByName(bad)
+
+
+@register("results_log_replayed", "S16 U4 (a result block written twice under its run id is in the log once)", """
+SELECT lang AS model, count(*) AS n_docs FROM documents GROUP BY lang UNION ALL SELECT source, count(*) FROM documents GROUP BY source""")
+def results_log_replayed(spark, sf):
+    d = tables.table(spark, sf, "documents")
+    path = _folder(spark, "runs")
+    for run_id, column in (("by-lang", "lang"), ("by-source", "source"), ("by-lang", "lang")):
+        log = files.append_result_rows(d.groupBy(F.col(column).alias("model")).agg(F.count("*").alias("n_docs")), path, run_id)
+    return log.select("model", "n_docs")
+
+
+@register("model_artifact", "S18 (model saved with scaler, labels and columns, loaded, scored: predictions before and after)", f"""
+WITH {SPLIT_SQL}
+SELECT label, count(*) AS n_test, count(*) AS n_equal FROM sp WHERE is_test GROUP BY label""")
+def model_artifact(spark, sf):
+    path = _folder(spark, "model")
+    split = prep.encode_labels(learn_queries._split(spark, sf), "label")
+    train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
+    cols = learn_queries.FEATS
+    scaler = prep.fit_scaler(train, cols)
+    model = learn.fit(prep.apply_scaler(train, scaler, cols), cols, "label_idx", None, max_iter=20)
+    before = learn.predict(model, prep.apply_scaler(test, scaler, cols), cols, ["vec_id", "label"])
+    files.save_model(model, report.summary_metrics(before.withColumn("y", F.lit(0))), path, scaler, split.select("label", "label_idx").distinct(), cols)
+    loaded, scaler, labels, cols = files.load_model(spark, path)
+    after = learn.predict(loaded, prep.apply_scaler(test, scaler, cols), cols, ["vec_id"])
+    after = after.join(F.broadcast(labels.select(F.col("label_idx").alias("pred"), F.col("label").alias("name"))), "pred")  # a row per class
+    both = before.select("vec_id", "label", F.col("pred").alias("p0"), F.col("probs").alias("q0")).join(after, "vec_id")
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("n_test"), F.count_if((F.col("p0") == F.col("pred")) & (F.col("q0") == F.col("probs"))).alias("n_equal"))
+
+
 @register("stream_trace_features", "X1 (finished samples as files, streamed into features)",
           TRACE_ROW_FEATURES)
 def stream_trace_features(spark, sf):

@@ -11,13 +11,14 @@ import csv
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.catalog import model_name_from_file
 from ..functions.text import sanitize_lines
 from ..operators.features import to_csv_row
+from ..session import materialize
 
 # --- fixed values: columns a feature file must have, per dataset (P10) -------
 REQUIRED_TRUTH = {
@@ -106,12 +107,66 @@ def write_truth_joined(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("source_file").parquet(path)
 
 
+def enrich_folder(spark: SparkSession, folder: str, truth: DataFrame, key: str, truth_cols: dict[str, Column], out: str) -> DataFrame:
+    """Join every feature CSV of a folder with ``truth`` and write it; a row per file says how it went.
+
+    A file whose header lacks ``key`` or names a column twice, or that holds a row with
+    more or fewer fields than its header, is listed with its error and not
+    written; the other files go on.  The rows of a good file go to its own folder under ``out``.
+    Returns source_file, n_rows, matched and error (null if written).
+    """
+    from ..operators.truth import left_join_truth
+    headers = read_headers(spark, folder)
+    name = lambda p: p.rsplit("/", 1)[-1]
+    status = []
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, columns in headers:
+        if key not in columns:
+            status.append((name(path), None, None, f"no column {key}"))
+        elif len({c.lower() for c in columns}) < len(columns):
+            status.append((name(path), None, None, "a column is named twice"))
+        else:
+            groups.setdefault(tuple(columns), []).append(path)
+    bad, counts = "_corrupt_record", None
+    for columns, paths in groups.items():  # a scan per distinct header
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, bad]])
+        rows = (spark.read.options(**CSV_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=bad).schema(schema).csv(paths)
+                .withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)))
+        rows = materialize(rows)
+        verdict = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"), F.count(bad).alias("n_bad"))
+        good = rows.join(verdict.filter("n_bad = 0").select("source_file"), "source_file", "left_semi").drop(bad)
+        joined = materialize(left_join_truth(good, truth, key, truth_cols))
+        joined.write.mode("append").partitionBy("source_file").parquet(out)
+        matched = joined.groupBy("source_file").agg(F.count_if("gt_matched").alias("matched"))
+        part = verdict.join(matched, "source_file", "left").select(
+            "source_file", "n_rows", F.when(F.col("n_bad") == 0, F.coalesce("matched", F.lit(0))).alias("matched"),
+            F.when(F.col("n_bad") > 0, F.concat(F.col("n_bad").cast("string"), F.lit(" damaged rows"))).alias("error"))
+        counts = part if counts is None else counts.unionByName(part)
+    listed = spark.createDataFrame(status, "source_file string, n_rows long, matched long, error string")
+    return listed if counts is None else counts.unionByName(listed)
+
+
 def write_chunk_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Chunk dataset sink."""
     w = df.write.mode("overwrite")
     (w.options(**_WRITE).csv(path) if fmt == "csv" else w.parquet(path))
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """One file per row (name, content as binary) in folder ``path``, written by the tasks.  A name written again is replaced."""
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+        fs, folder = pafs.FileSystem.from_uri(path if "://" in path else path.removeprefix("file:"))
+        fs.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with fs.open_output_stream(f"{folder}/{name}") as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+    rows.select("name", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def append_results(spark: SparkSession, row: dict, path: str) -> DataFrame:
     """Append one result row and read the log back with schema union."""
     df = spark.createDataFrame([row])
@@ -119,9 +174,15 @@ def append_results(spark: SparkSession, row: dict, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def append_result_rows(rows: DataFrame, path: str) -> DataFrame:
-    """Append result rows of any columns and read the whole log with schema union."""
-    rows.write.mode("append").parquet(path)
+def append_result_rows(rows: DataFrame, path: str, run_id: str | None = None) -> DataFrame:
+    """Append result rows of any columns and read the whole log with schema union.
+
+    With ``run_id`` the rows replace those of the same run, so a repeated write adds none twice.
+    """
+    if run_id is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
     return rows.sparkSession.read.option("mergeSchema", True).parquet(path)
 
 
@@ -130,10 +191,29 @@ def write_text_column(df: DataFrame, col: str, path: str, strip_ends: bool = Fal
     df.select(sanitize_lines(F.col(col).cast("string"), strip_ends).alias("value")).write.mode("overwrite").text(path)
 
 
-def save_model(model, metrics: DataFrame, path: str) -> None:
-    """Model artefact + metrics table."""
+def save_model(model, metrics: DataFrame, path: str, scaler: DataFrame | None = None, labels: DataFrame | None = None,
+               features: list[str] | None = None) -> None:
+    """Model artefact: the model, its metrics, and what scoring new rows needs.
+
+    ``scaler``: the one-row table of ``prep.fit_scaler``; ``labels``: label names and indexes; ``features``: columns in model order.
+    """
     model.write().overwrite().save(f"{path}/model")
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    if scaler is not None:
+        scaler.write.mode("overwrite").parquet(f"{path}/scaler")
+    if labels is not None:
+        labels.write.mode("overwrite").parquet(f"{path}/labels")
+    if features is not None:
+        rows = metrics.sparkSession.createDataFrame(list(enumerate(features)), "i int, feature string")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_model(spark: SparkSession, path: str):
+    """(model, scaler, labels, features) of an artefact written with all its parts."""
+    from pyspark.ml import PipelineModel
+    read = lambda part: spark.read.parquet(f"{path}/{part}")
+    features = [r["feature"] for r in read("features").orderBy("i").collect()]  # a row per column
+    return PipelineModel.load(f"{path}/model"), read("scaler"), read("labels"), features
 
 
 def run_timestamp() -> F.Column:

@@ -42,20 +42,24 @@ def start_trace_features(spark: SparkSession, src: str, schema: StructType, out:
 
 def start_truth_enrichment(spark: SparkSession, src: str, schema: StructType, truth: DataFrame, key: str,
                            out: str, checkpoint: str, truth_cols: dict | None = None,
-                           available_now: bool = True):
-    """Join each batch of new feature rows with ``truth`` and append.
+                           available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Join each batch of new feature rows with ``truth`` and write it under its batch number.
 
-    ``truth`` is read once when the query starts; Spark plans the join per
+    A batch that is run again after a failure replaces its own folder
+    (``batch=<number>``), so no row is written twice.  ``truth`` is read once when the query starts; Spark plans the join per
     batch (broadcast when it is small, by measured size).
     """
     from ..operators.truth import left_join_truth
     cols = truth_cols or {c: F.col(c) for c in truth.columns if c != key}
-    stream = (spark.readStream.schema(schema).options(**CSV_OPTIONS).csv(src)
+    reader = spark.readStream.schema(schema).options(**CSV_OPTIONS)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = (reader.csv(src)
               .withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)))
 
     def write(batch: DataFrame, epoch: int):
         j = left_join_truth(batch, truth, key, cols)
-        j.write.mode("append").partitionBy("source_file").parquet(out)
+        j.write.mode("overwrite").partitionBy("source_file").parquet(f"{out}/batch={epoch}")
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
