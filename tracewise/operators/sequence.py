@@ -11,8 +11,9 @@ work spread by *row position*, not by key:
 * ``with_leads``      - values of the rows k steps ahead, by an equi-join on
   (key, step) expressed as one union + group-by (one shuffle, keys unique
   per step, so no hot group).
-* ``exact_quantiles`` - numpy-style linear percentiles per key by picking the
-  two neighbouring ranks, instead of buffering a whole group.
+* ``exact_quantiles`` - numpy-style linear percentiles per key by counting
+  values in bins, finer and finer around the wanted ranks, instead of
+  sorting or buffering a whole group.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 def _cols(xs) -> list:
     return [xs] if isinstance(xs, (str, Column)) else list(xs)
@@ -104,36 +105,67 @@ def with_leads(df: DataFrame, keys, step: str, values: Sequence[str],
     return g.filter(F.col("_self") == 1).drop("_self")
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, qs: dict[str, float],
-                    num_partitions: int | None = None) -> DataFrame:
+def value_bin(v: Column) -> Column:
+    """A whole number that never falls as ``v`` grows: sign, exponent and the first 256 steps between powers of two.
+
+    Zero has 0 and NaN the largest number of all, as in Spark's order.
+    """
+    e = F.least(F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-1100)), F.lit(1100))
+    step = F.floor((F.abs(v) / F.pow(F.lit(2.0), e) - 1) * 256)
+    size = (e + 1101) * 256 + F.least(F.greatest(step, F.lit(0)), F.lit(255))
+    return (F.when(F.isnan(v), F.lit(1 << 40)).when(v == 0, F.lit(0)).when(F.abs(v) == F.lit(float("inf")), F.lit(1 << 39) * F.signum(v))
+            .otherwise(F.signum(v) * size)).cast("long")
+
+
+def exact_quantiles(df: DataFrame, keys, value: str, qs: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per key (numpy ``percentile`` default).
 
     Returns one row per key with one column per entry of ``qs`` (name -> q in
     [0, 1]).  Null values are ignored.
+
+    Radix selection: values are counted per (key, bin), which the tasks do
+    before the shuffle, and running counts over a key's bins find the bin of each
+    wanted rank.  A bin of one value, or a rank at a bin's end, is
+    settled; the other bins' rows alone are counted again in finer bins.  The rows are never
+    sorted, and a key of any size is spread over its bins.
     """
     keys = _cols(keys)
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    # ties in value need a tie-break only for determinism of the index; any
-    # order of equal values yields the same picked value
-    ranked = ordered_index(base.withColumn("_t", F.monotonically_increasing_id()),
-                           keys, ["_v", "_t"], out="_r", num_partitions=num_partitions)
-    ranked = ranked.select(*keys, "_r", "_v")
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    targets = counts.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("_q"),
-                 (F.lit(float(q)) * (F.col("_n") - 1)).alias("_pos"))
-        for name, q in qs.items()])).alias("_t"))
-    targets = targets.select(*keys, "_t._q", "_t._pos",
-                             F.floor("_t._pos").cast("long").alias("_lo"),
-                             F.ceil("_t._pos").cast("long").alias("_hi"))
-    # each target needs rank lo and hi: emit the two wanted ranks and join once
-    want = targets.select(*keys, "_q", "_pos", "_lo", F.explode(F.array_distinct(
-        F.array("_lo", "_hi"))).alias("_r"))
-    picked = want.join(ranked, [*keys, "_r"], "inner")
-    agg = picked.groupBy(*keys, "_q").agg(
-        F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_r") != F.col("_lo"), F.col("_v"))).alias("_vhi"),
-        F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"))
-    agg = agg.withColumn("_val", F.when(F.col("_vhi").isNull(), F.col("_vlo")).otherwise(
-        F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))))
-    return agg.groupBy(*keys).pivot("_q", list(qs)).agg(F.first("_val"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    rows = rows.withColumn("_bin", value_bin(F.col("_v")))
+    by = Window.partitionBy(*keys).orderBy("_bin")
+    hist = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ranked = hist.withColumns({"_upto": F.sum("_c").over(by), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    wanted = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(end).alias("end"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("pos"),
+                                fn(F.lit(float(q)) * (F.col("_n") - 1)).cast("long").alias("rank"))
+                       for name, q in qs.items() for end, fn in (("lo", F.floor), ("hi", F.ceil))])
+    inside = F.filter(wanted, lambda w: (w["rank"] < F.col("_upto")) & (w["rank"] >= F.col("_upto") - F.col("_c")))
+    found = ranked.select(*keys, F.explode(inside).alias("_w"), "_bin", "_c", "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_before")).select(
+        *keys, "_w.q", "_w.end", "_w.pos", (F.col("_w.rank") - F.col("_before")).alias("_r"), "_bin", "_c", "_lo", "_hi")
+    value_at = (F.when((F.col("_lo") == F.col("_hi")) | (F.col("_r") == 0), F.col("_lo")).when(F.col("_r") == F.col("_c") - 1, F.col("_hi")))
+    settled = None
+    while True:
+        found = materialize(found.withColumn("_x", value_at))
+        done = found.filter("_x IS NOT NULL").select(*keys, "q", "end", "pos", "_x")
+        settled = done if settled is None else settled.unionByName(done)
+        left = found.filter("_x IS NULL").select(*keys, "q", "end", "pos", "_r", F.col("_bin").alias("_old"), F.col("_lo").alias("_a"), F.col("_hi").alias("_b"))
+        if left.isEmpty():
+            break
+        # finer bins of the open bins only; a bin's ends move together by at least the factor 4096 a round
+        open_ = left.select(*keys, "_old", "_a", "_b").distinct()
+        same = lambda x, y: [x[k].eqNullSafe(y[k]) for k in keys]
+        rows = materialize(rows.join(open_, [*same(rows, open_), rows["_bin"] == open_["_old"]]).select(*[rows[k] for k in keys], "_v", "_old", "_a", "_b"))
+        # halves first: the difference of two large values of unlike sign would be infinite
+        share = (F.col("_v") / 2 - F.col("_a") / 2) / (F.col("_b") / 2 - F.col("_a") / 2)
+        digit = F.least(F.floor(share * 4096), F.lit(4095)).cast("decimal(5,0)")
+        fine = rows.withColumn("_bin", (F.col("_old").cast("decimal(38,0)") * F.lit(4096).cast("decimal(5,0)") + digit).cast("decimal(38,0)"))
+        rows = fine.select(*keys, "_v", "_bin", "_old")
+        hist = rows.groupBy(*keys, "_old", "_bin").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        ranked = hist.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_old").orderBy("_bin")))
+        cond = [*same(left, ranked), left["_old"] == ranked["_old"], left["_r"] < ranked["_upto"], left["_r"] >= ranked["_upto"] - ranked["_c"]]
+        found = left.join(ranked, cond).select(*[left[k] for k in keys], "q", "end", "pos", (F.col("_r") - F.col("_upto") + F.col("_c")).alias("_r"),
+                                               ranked["_bin"], "_c", "_lo", "_hi")
+        rows = rows.drop("_old")
+    at = lambda name, end: F.max(F.when((F.col("q") == name) & (F.col("end") == end), F.col("_x")))
+    pos = lambda name: F.max(F.when(F.col("q") == name, F.col("pos")))
+    between = lambda n: at(n, "lo") + F.coalesce((pos(n) - F.floor(pos(n))) * (at(n, "hi") - at(n, "lo")), F.lit(0.0))
+    return settled.groupBy(*keys).agg(*[between(n).alias(n) for n in qs])

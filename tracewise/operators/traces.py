@@ -142,15 +142,19 @@ def probability_block(trace: DataFrame) -> DataFrame:
 
     feature_60 / feature_61 become min p_max and max spread; plus normalised
     entropies, low counts and mean gradients of both traces and the 25/50/75
-    percentiles of p_max.
+    percentiles of p_max.  One group-by gives all but the percentiles.
     """
-    ex = extremes(trace).select(KEY, F.col("min_p_max").alias("feature_60"),
-                                F.col("max_spread").alias("feature_61"))
-    emax = entropy_and_counts(trace, "p_max", "max").drop("high_prob_count_max")
-    emin = entropy_and_counts(trace, "p_min", "min").drop("high_prob_count_min")
-    gr = gradient_features(trace).select(KEY, "mean_grad_max", "mean_grad_min")
-    pc = percentiles(trace)
-    return ex.join(emax, KEY).join(emin, KEY).join(gr, KEY).join(pc, KEY)
+    d = with_leads(trace, KEY, "step", ["p_max", "p_min"], offsets=(1,))
+    n = F.count(F.lit(1))
+    aggs = [F.min(_p("p_max")).alias("feature_60"), F.max(_p("p_max") - _p("p_min")).alias("feature_61")]
+    for v, sfx in (("p_max", "max"), ("p_min", "min")):
+        entropy = F.coalesce(F.sum(F.when(_p(v) > 0, -_p(v) * F.ln(_p(v)))), F.lit(0.0))
+        aggs += [F.when(n > 1, entropy / F.ln(n.cast("double"))).otherwise(F.lit(0.0)).alias(f"norm_entropy_{sfx}"),
+                 F.count_if(_p(v) < 0.1).alias(f"low_prob_count_{sfx}"),
+                 F.coalesce(F.avg(F.abs(_p(f"{v}_lead1") - _p(v))), F.lit(0.0)).alias(f"mean_grad_{sfx}")]
+    block = d.groupBy(KEY).agg(*aggs).join(percentiles(trace), KEY)
+    return block.select(KEY, "feature_60", "feature_61", "norm_entropy_max", "low_prob_count_max", "norm_entropy_min", "low_prob_count_min",
+                        "mean_grad_max", "mean_grad_min", "p25_max", "p50_max", "p75_max")
 
 
 def trace_arrays(trace: DataFrame) -> DataFrame:
