@@ -126,3 +126,22 @@ def test_importance_permutes_one_column_and_reports_groups(spark):
     late = sorted((r["rank"], r.feature, r.group_name) for r in rows if r.section == "signals_62_73")
     assert late == [(1, "feature_70", "Perplexity/Confidence"), (2, "feature_65", "Attention Concentration")]
     assert {r.group_name for r in rows if r.section == "groups"} == {"signal_0_61", "signal_62_73"}
+
+
+def test_copies_follow_the_weights(spark):
+    t = prep.with_class_weights(table(spark, (400, 90, 10)), "label")
+    n = {r.label: r["count"] for r in prep.weighted_copies(t, "id", "weight").groupBy("label").count().collect()}
+    w = {r.label: r.weight for r in t.select("label", "weight").distinct().collect()}
+    assert n["c0"] == 400  # the least weight: every row once
+    for c, k in (("c1", 90), ("c2", 10)):
+        r = w[c] / w["c0"]
+        assert k * math.floor(r) <= n[c] <= k * math.ceil(r) and abs(n[c] - k * r) <= 3 * k ** 0.5
+
+
+def test_network_takes_weights(spark):
+    t = prep.with_class_weights(prep.encode_labels(table(spark, (60, 30, 30)), "label"), "label")
+    with pytest.raises(ValueError):
+        learn.fit(t, ["x0", "x1", "x2"], "label_idx", "weight", mlp_layers=[4])
+    m = learn.fit(t, ["x0", "x1", "x2"], "label_idx", "weight", max_iter=40, mlp_layers=[6, 4], id_col="id")
+    p = learn.predict(m, t, ["x0", "x1", "x2"], ["id", "label_idx"])
+    assert p.select(F.avg((F.col("pred") == F.col("label_idx")).cast("double"))).first()[0] > 0.6

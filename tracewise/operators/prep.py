@@ -126,3 +126,17 @@ def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFr
     """Per-row weight column from the rare-class weights (M7)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
     return df.join(F.broadcast(w), label)
+
+
+def weighted_copies(df: DataFrame, id_col: str, weight: str, seed: int = 42) -> DataFrame:
+    """Rows repeated in proportion to their weight, for learners that take none (M8, M9).
+
+    A row of the least weight comes once, one of r times that weight floor(r)
+    times, and once more if a hash of its id falls below the rest of r, so
+    that it comes r times on average.  No row is lost.
+    """
+    least = df.agg(F.min(weight).alias("_least"))  # one row
+    ratio = F.round(F.col(weight) / F.col("_least"), 9)
+    copies = F.floor(ratio) + (_u01(id_col, F.lit(f"{seed}w")) < ratio - F.floor(ratio)).cast("long")
+    d = df.crossJoin(F.broadcast(least))
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop("_copy", "_least")

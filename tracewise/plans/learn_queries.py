@@ -466,6 +466,31 @@ def chunk_split_counts(spark, sf):
     return rounded(c.join(w, "label", "left"))
 
 
+@register("chunk_weighted_copies", "M8 M7 (training chunks repeated by class weight for the network: rows per class, exact rules)", SPLIT_CHUNKS_EXACT.replace(
+    "sample_id,\n                ('0x'", "sample_id, CAST(sample_id AS VARCHAR) || '_' || CAST(chunk_idx AS VARCHAR) AS row_id,\n                ('0x'") + """
+, c AS (SELECT label, count(*) AS n FROM sp WHERE NOT is_test GROUP BY label),
+w AS (SELECT label, n, sum(n) OVER () / n * CASE WHEN n < sum(n) OVER () * 0.05 THEN 3.0 WHEN n < sum(n) OVER () * 0.10 THEN 2.0 ELSE 1.0 END AS weight FROM c),
+r AS (SELECT label, n, round(weight / min(weight) OVER (), 9) AS ratio FROM w)
+SELECT sp.label, r.n AS n_rows, sum(floor(ratio) + CASE WHEN ('0x' || substr(md5(row_id || ':42w'), 1, 12))::BIGINT / 281474976710656.0 < ratio - floor(ratio)
+       THEN 1 ELSE 0 END)::BIGINT AS n_copies
+FROM sp JOIN r USING (label) WHERE NOT is_test GROUP BY sp.label, r.n""")
+def chunk_weighted_copies(spark, sf):
+    li = labelling.prepare(fixtures.generations(spark, sf), fixtures.references(spark, sf))
+    lab = labelling.label(li, fuzzy=False).select("sample_id", F.concat_ws("_", "sample_id", "chunk_idx").alias("row_id"), F.col("chunk_label").alias("label"))
+    train = materialize(prep.with_class_weights(prep.stratified_split(lab, "row_id", "label", group="sample_id").filter(~F.col("is_test")), "label"))
+    copies = prep.weighted_copies(train, "row_id", "weight").groupBy("label").agg(F.count(F.lit(1)).alias("n_copies"))
+    return train.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows")).join(copies, "label")
+
+
+@register("chunk_network_evaluation", "M8 M7 M10 M11 (the deep network on the chunk matrix, classes weighted; metrics on its test samples)")
+def chunk_network_evaluation(spark, sf):
+    split, cols = _chunk_matrix(spark, sf)
+    train, test = _scaled_and_weighted(split, cols)
+    model = learn.fit(train, cols, "label_idx", "weight", max_iter=30, mlp_layers=learn.NETWORK_LAYERS, id_col="row_id")
+    p = learn.predict(model, test, cols, [F.col("label_idx").alias("y")])
+    return report.summary_metrics(p)
+
+
 def _binary_split(spark, sf):
     """Binary matrix rows with their label (1: quality 0, the class to be found), split by quota."""
     names = [f"x_{i}" for i in range(65)]
