@@ -98,6 +98,7 @@ def dialogue_pairs(spark, sf):
     return samples.dialogue_pairs(tables.table(spark, sf, "conversations"))
 
 
+# --- fixed values: the coqa template of ``samples.PROMPTS``, as SQL text -------
 @register("dialogue_prompts", "P5 (coqa template over dialogues)", DIALOGUE_SQL + """
 SELECT id, 'Answer the question concisely based on the context: ' || chr(10) || ' ' || story || ' ' || chr(10)
            || ' Q: ' || question || ' A:' AS prompt FROM d""")
@@ -119,6 +120,7 @@ def _qa_samples(spark, sf):
                     F.col("text").alias("story"))
 
 
+# --- fixed values: the prompt templates of ``samples.PROMPTS``, as SQL text ----
 @register("qa_prompts", "P5 (all seven templates, unknown dataset -> question)", f"""
 WITH d AS (SELECT doc_id, ['truthfulqa','triviaqa','tydiqa','coqa','haluevaldia','haluevalqa','haluevalsum','other']
              [doc_id % 8 + 1] AS dataset,
