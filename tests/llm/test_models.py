@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -132,8 +133,58 @@ def test_fences_have_no_fixed_width(spark):
     got = {r.doc_id: r.kept for r in quality.quality(documents(spark, texts)).collect()}
     # the same two symbols are usual in one source and an outlier in the other; fifteen are outliers in both
     assert all(got[i] for i in [*range(200), *range(300, 500), 901]) and not any(got[i] for i in (900, 902, 903))
-    fixed = {r.doc_id: r.kept for r in quality.quality(documents(spark, texts), fences=quality.quartile_fences).collect()}
-    assert fixed[900] and fixed[902] and fixed[903]
+
+
+def test_verdict_equals_brute_force(spark):
+    """Groups above and below MIN_DOCS: fences per source, per language and over all, in plain Python."""
+    rnd = random.Random(11)
+    words = [f"word{'x' * (k % 9)}{k}" for k in range(400)]
+
+    def text():
+        w = rnd.choices(words, k=rnd.choice([30, 60, 120, 200]))
+        w = [x + "#" * rnd.choice([0, 0, 0, 0, 1, 4]) for x in w]
+        lines = [" ".join(w[i:i + 10]) for i in range(0, len(w), 10)]
+        return "\n".join(lines + lines[:rnd.choice([0, 0, 0, 1, 3])])
+
+    sizes = {("en", "big"): 160, ("en", "small"): 30, ("de", "a"): 70, ("de", "b"): 60, ("fr", None): 20, (None, "z"): 15}
+    texts, i = [], 0
+    for (lang, source), n in sizes.items():
+        for _ in range(n):
+            texts.append((i, text(), lang, source))
+            i += 1
+    texts += [(i, None, "en", "big"), (i + 1, "", "en", "big"), (i + 2, "#" * 50, "fr", None)]
+
+    def measured(t):
+        t = t or ""
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        n = Counter(zip(w, w[1:], w[2:]))
+        repeat = {k + d for k, g in enumerate(zip(w, w[1:], w[2:])) if n[g] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        x = (sum(map(len, w)) * 1024 // max(len(w), 1), sum(c in "#*$%&|<>" for c in t) * 1024 // max(len(w), 1),
+             (len(lines) - len(set(lines))) * 1024 // max(len(lines), 1), len(repeat) * 1024 // max(len(w), 1))
+        return len(w), x, len(w) < 50 or 100 * len(repeat) > 50 * len(w)
+
+    rows = [(i, lang or "", source or "", *measured(t)) for i, t, lang, source in texts]
+    cell = lambda x: 1 << max(x.bit_length() - 8, 0)
+
+    def fence(group, k):
+        v = sorted(r[4][k] // cell(r[4][k]) * cell(r[4][k]) for r in group)
+        q = lambda a, b: v[-(-a * len(v) // b) - 1]
+        reach = 3 * (q(3, 4) - q(1, 4))
+        high = max(q(3, 4) + reach, q(19, 20))
+        return min(q(1, 4) - reach, q(1, 20)), high + cell(high) - 1
+
+    used = [r for r in rows if r[3] > 0]
+    got = {r.doc_id: r.kept for r in quality.quality(documents(spark, texts)).collect()}
+    for r in rows:
+        group = [o for o in used if o[1:3] == r[1:3]]
+        if len(group) < quality.MIN_DOCS:
+            group = [o for o in used if o[1] == r[1]]
+        if len(group) < quality.MIN_DOCS:
+            group = used
+        inside = all(low <= r[4][k] <= high for k, (low, high) in enumerate(fence(group, k) for k in range(4)))
+        assert got[r[0]] == (not r[5] and inside), r
+    assert 0 < sum(got.values()) < len(got)
 
 
 def test_sketch_fences_leave_few_beyond(spark):
@@ -182,5 +233,6 @@ def test_pairs_grow_with_the_corpus(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     def pairs(d):
         t = language_model.head_tables(language_model.token_counts(d))
-        return language_model.rest_pairs(d, spark.sparkContext.broadcast(t)).filter("h IS NOT NULL").count()
+        sent = spark.sparkContext.broadcast(t)
+        return language_model.repeated_pairs(language_model.training_counts(d, sent), sent).count()
     assert pairs(docs) > 1.5 * pairs(docs.filter("doc_id % 4 = 0"))

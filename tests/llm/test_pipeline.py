@@ -35,4 +35,4 @@ def test_stages_take_awkward_and_empty_tables(spark):
 
 def test_run_and_names(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))

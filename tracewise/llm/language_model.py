@@ -115,6 +115,12 @@ class Tables:
     def classes(self) -> int:
         return -(-self.words // CLASS_WORDS) + 1
 
+    def by_rank(self) -> np.ndarray:
+        """Hashes of the head tokens, commonest first."""
+        out = np.empty_like(self.hashes)
+        out[self.rank] = self.hashes
+        return out
+
     def ranks(self, h: np.ndarray) -> np.ndarray:
         """Rank of each token in the head, -1 outside."""
         if not len(self.hashes):
@@ -165,32 +171,6 @@ def head_tables(counts: DataFrame) -> Tables:
     return Tables(h[up], n[up], rank[up], words, total, distinct, total - int(n[order[:words]].sum()), distinct - words, discount)
 
 
-def context_counts(docs: DataFrame, tables) -> DataFrame:
-    """(cell, n): counts of (context pair, class), then of (previous token, word).
-
-    Cells number at most CONTEXTS**2 * classes + CONTEXTS * MODEL_WORDS.
-    """
-    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        t = tables.value
-        size = CONTEXTS * CONTEXTS * t.classes + CONTEXTS * t.words
-        sums = np.zeros(size, dtype=np.int64)
-        for batch in _slices(batches):
-            h, suffix, sizes = hashed_tokens(texts_of(batch))
-            rank = t.ranks(h)
-            pair = t.contexts(rank, suffix, sizes)
-            known = (rank >= 0) & (rank < t.words)
-            sums += np.bincount(pair * t.classes + np.where(known, rank // CLASS_WORDS, t.classes - 1), minlength=size)
-            sums += np.bincount(CONTEXTS * CONTEXTS * t.classes + pair[known] % CONTEXTS * t.words + rank[known], minlength=size)
-        cells = np.flatnonzero(sums)
-        for i in range(0, len(cells), 500_000):
-            c = cells[i:i + 500_000]
-            yield record_batch(schema, {"cell": c, "n": sums[c]})
-
-    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
 def previous(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The token before each token; the end token before a text's first."""
     out = np.empty_like(h)
@@ -203,35 +183,92 @@ def pair_key(u: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((u << np.uint64(1) | u >> np.uint64(63)) ^ h).view(np.int64)
 
 
-def rest_pairs(docs: DataFrame, tables) -> DataFrame:
-    """(u, h, n): counts of pairs (previous token, token of the last class) from LEAST_PAIR on; with a null h, of u before any such token."""
-    schema = pa.schema([("u", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
+CELL, COMMON_PAIR, RARE_PAIR, TOTAL = 0, 1, 2, 3
+_HELD_PAIRS = 4_000_000
+
+
+def training_counts(docs: DataFrame, tables) -> DataFrame:
+    """(kind, k, h, n) of all ``docs``, in one pass over the texts.
+
+    CELL: counts of (context pair, class), then of (previous token, word), k the cell's number; they
+    number at most CONTEXTS**2 * classes + CONTEXTS * MODEL_WORDS.
+    Pairs (previous token, token of the last class) from LEAST_PAIR on:
+    COMMON_PAIR, both head tokens, has both ranks in k; RARE_PAIR has the
+    tokens in k and h.  TOTAL: how often k stands before any token of the last class.
+    """
+    schema = pa.schema([("kind", pa.int8()), ("k", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
+
+    def rows(kind, k, n, h=None):
+        for i in range(0, len(k), 500_000):
+            part = slice(i, i + 500_000)
+            size = len(k[part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), pa.array(k[part].view(np.int64)),
+                                              pa.nulls(size, pa.int64()) if h is None else pa.array(h[part].view(np.int64)), pa.array(n[part])], schema=schema)
 
     def run(batches):
         t = tables.value
+        size = CONTEXTS * CONTEXTS * t.classes + CONTEXTS * t.words
+        cells, totals = np.zeros(size, dtype=np.int64), np.zeros(max(len(t.hashes), 1), dtype=np.int64)
+        held, length = [], 0
         for batch in _slices(batches):
-            h, _, sizes = hashed_tokens(texts_of(batch))
+            h, suffix, sizes = hashed_tokens(texts_of(batch))
             rank = t.ranks(h)
-            rest = (rank < 0) | (rank >= t.words)
-            u, h = previous(h, sizes)[rest], h[rest]
+            pair = t.contexts(rank, suffix, sizes)
+            known = (rank >= 0) & (rank < t.words)
+            cells += np.bincount(pair * t.classes + np.where(known, rank // CLASS_WORDS, t.classes - 1), minlength=size)
+            cells += np.bincount(CONTEXTS * CONTEXTS * t.classes + pair[known] % CONTEXTS * t.words + rank[known], minlength=size)
+            starts = np.cumsum(sizes) - sizes
+            before = np.empty_like(rank)
+            before[1:] = rank[:-1]
+            before[starts] = t.ranks(np.array([END], dtype=np.uint64))[0]
+            rest = ~known
+            u, h, before, rank = previous(h, sizes)[rest], h[rest], before[rest], rank[rest]
+            totals += np.bincount(before[before >= 0], minlength=len(totals))
+            common = (before >= 0) & (rank >= 0)
+            held.append(before[common] << 32 | rank[common])
+            length += len(held[-1])
+            if length > _HELD_PAIRS:
+                yield from rows(COMMON_PAIR, *np.unique(np.concatenate(held), return_counts=True))
+                held, length = [], 0
+            far, n = np.unique(u[before < 0], return_counts=True)
+            yield from rows(TOTAL, far, n)
+            u, h = u[~common], h[~common]
             _, at, n = np.unique(pair_key(u, h), return_index=True, return_counts=True)
-            yield record_batch(schema, {"u": u[at].view(np.int64), "h": h[at].view(np.int64), "n": n})
-            u, n = np.unique(u, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.nulls(len(u), pa.int64()), pa.array(n)], schema=schema)
+            yield from rows(RARE_PAIR, u[at], n, h[at])
+        if held:
+            yield from rows(COMMON_PAIR, *np.unique(np.concatenate(held), return_counts=True))
+        seen = np.flatnonzero(cells)
+        yield from rows(CELL, seen, cells[seen])
+        seen = np.flatnonzero(totals)
+        if len(seen):
+            yield from rows(TOTAL, t.by_rank()[seen], totals[seen])
+
+    counted = docs.select("text").mapInArrow(run, "kind byte, k long, h long, n long").groupBy("kind", "k", "h").agg(F.sum("n").alias("n"))
+    return counted.filter(F.col("kind").isin(CELL, TOTAL) | (F.col("n") >= LEAST_PAIR))
+
+
+def repeated_pairs(counted: DataFrame, tables) -> DataFrame:
+    """(u, h, n) of the pairs of ``training_counts``, both tokens by their hashes."""
+    schema = pa.schema([("u", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
+
+    def unpack(batches):
+        token = tables.value.by_rank().view(np.int64)
+        for batch in batches:
+            k = batch.column("k").to_numpy()
+            yield record_batch(schema, {"u": token[k >> 32], "h": token[k & 0xFFFFFFFF], "n": batch.column("n")})
 
-    return (docs.select("text").mapInArrow(run, "u long, h long, n long").groupBy("u", "h").agg(F.sum("n").alias("n"))
-            .filter(F.col("h").isNull() | (F.col("n") >= LEAST_PAIR)))
+    common = counted.filter(F.col("kind") == COMMON_PAIR).select("k", "n").mapInArrow(unpack, "u long, h long, n long")
+    return common.unionByName(counted.filter(F.col("kind") == RARE_PAIR).select(F.col("k").alias("u"), "h", "n"))
 
 
-def rest_model(pairs: DataFrame, counts: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+def rest_model(seen: DataFrame, total: DataFrame, counts: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """What a previous token u does to the frequencies of the last class.
 
     (u, total, left): the share of u's mass that its pairs leave, for each u
     with a pair; (p, gain): log10 of a pair's probability over that share of
     its frequency, by the pair's key.
     """
-    seen, taken = pairs.filter("h IS NOT NULL"), F.col("n") - F.lit(tables.discount)
-    total = pairs.filter("h IS NULL").select("u", F.col("n").alias("total"))
+    taken = F.col("n") - F.lit(tables.discount)
     contexts = stored(seen.groupBy("u").agg(F.sum(taken).alias("taken")).join(total, "u")
                       .select("u", "total", (1 - F.col("taken") / F.col("total")).alias("left")), "contexts")
     frequency = counts.select("h", ((F.col("n") - F.lit(tables.discount)) / max(tables.rest_total, 1)).alias("frequency"))
@@ -405,11 +442,13 @@ def language_model(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, Tab
     counts = stored(token_counts(narrow(training, "doc_id", "text")), "counts")
     tables = head_tables(counts)
     sent = docs.sparkSession.sparkContext.broadcast(tables)
-    w = train(context_counts(narrow(training, "doc_id", "text"), sent), tables)
+    counted = stored(training_counts(narrow(training, "doc_id", "text"), sent), "training-counts")
+    w = train(counted.filter(F.col("kind") == CELL).select(F.col("k").alias("cell"), "n"), tables)
     every, log10 = np.arange(CONTEXTS * CONTEXTS), 1 / math.log(10)
     tables.class_log = (w.class_log(every) * log10).astype(np.float32)
     tables.word_log = (w.word_log(np.arange(CONTEXTS)) * log10).astype(np.float32)
-    contexts, gains = rest_model(stored(rest_pairs(narrow(training, "doc_id", "text"), sent), "pairs"), counts, tables)
+    total = counted.filter(F.col("kind") == TOTAL).select(F.col("k").alias("u"), F.col("n").alias("total"))
+    contexts, gains = rest_model(repeated_pairs(counted, sent), total, counts, tables)
     tables.left_log = np.zeros(len(tables.rank))
     if len(tables.counts):
         common = counts.filter(F.col("n") >= int(tables.counts.min())).select(F.col("h").alias("u"))

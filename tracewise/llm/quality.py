@@ -5,11 +5,7 @@ values cut to eight significant bits: relative error below 1/128, counts of
 two sketches add up, and no order of merging changes it.  Fences are taken
 per language and source from quantiles of the merged sketch; a group with
 fewer than ``MIN_DOCS`` documents merges into its language, a language with
-fewer into the whole.
-
-``sketch_fences`` has no fixed width.  ``quartile_fences`` never lets the
-interquartile range count for less than ``LEAST_RANGE``; it is the rule that
-the SQL of ``op7_quality_rules`` states.
+fewer into the whole.  No threshold has a fixed width.
 """
 
 from __future__ import annotations
@@ -23,9 +19,7 @@ from .common import stored
 
 MIN_DOCS = 100
 REACH = 3  # fence distance in interquartile ranges
-TAIL = 20  # sketch_fences: at most one document in TAIL of a group lies beyond a fence
-# Fixed values of quartile_fences: the least interquartile range of each signal, in 1/1024.
-LEAST_RANGE = {"word_length": 1024, "symbols": 64, "dup_lines": 100, "repeats": 100}
+TAIL = 20  # at most one document in TAIL of a group lies beyond a fence
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -115,18 +109,8 @@ def _quantile(k: int, of: int) -> Column:
     return F.min(F.when(of * F.col("upto") >= k * F.col("total"), F.col("value")))
 
 
-def quartile_fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: documents, and for each signal ``<signal>_low`` and ``<signal>_high``."""
-    q = _ranked(sketch, by).groupBy(*by, "signal").agg(F.max("total").alias("total"), _quantile(1, 4).alias("q1"), _quantile(3, 4).alias("q3"))
-    columns = [F.max("total").alias("docs")]
-    for name, least in LEAST_RANGE.items():
-        mine, reach = F.col("signal") == name, REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        columns += [F.max(F.when(mine, F.col("q1") - reach)).alias(f"{name}_low"), F.max(F.when(mine, F.col("q3") + reach)).alias(f"{name}_high")]
-    return q.groupBy(*by).agg(*columns)
-
-
 def sketch_fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """As ``quartile_fences``, with all widths taken from the sketch.
+    """Per group: documents, and for each signal ``<signal>_low`` and ``<signal>_high``.
 
     A fence lies ``REACH`` interquartile ranges beyond its quartile, or at the
     quantile that leaves one document in ``TAIL`` beyond it if that is farther
@@ -142,25 +126,24 @@ def sketch_fences(sketch: DataFrame, by: list[str]) -> DataFrame:
                  F.greatest(F.col("q3") + reach, F.col("top")).alias("high"))
     q = q.withColumn("high", F.expr("high + shiftleft(1L, greatest(length(bin(high)) - 8, 0)) - 1"))
     columns = [F.max("total").alias("docs")]
-    for name in LEAST_RANGE:
+    for name in ratios():
         columns += [F.max(F.when(F.col("signal") == name, F.col(e))).alias(f"{name}_{e}") for e in ("low", "high")]
     return q.groupBy(*by).agg(*columns)
 
 
-def thresholds(sketch: DataFrame, fences: Callable[[DataFrame, list[str]], DataFrame] = sketch_fences) -> DataFrame:
+def thresholds(sketch: DataFrame) -> DataFrame:
     """Fences of every (lang, source), from the finest merged sketch with at least MIN_DOCS documents."""
-    limits = [f"{k}_{e}" for k in LEAST_RANGE for e in ("low", "high")]
+    limits = [f"{k}_{e}" for k in ratios() for e in ("low", "high")]
     named = lambda f, tag: f.select(*[c for c in f.columns if c in ("lang", "source", "one")], *[F.col(c).alias(f"{tag}_{c}") for c in ["docs", *limits]])
-    fine = named(fences(sketch, ["lang", "source"]), "s").withColumn("one", F.lit(1))
-    lang = named(fences(merged(sketch, "lang"), ["lang"]), "l")
-    every = named(fences(merged(sketch).withColumn("one", F.lit(1)), ["one"]), "a")
+    fine = named(sketch_fences(sketch, ["lang", "source"]), "s").withColumn("one", F.lit(1))
+    lang = named(sketch_fences(merged(sketch, "lang"), ["lang"]), "l")
+    every = named(sketch_fences(merged(sketch).withColumn("one", F.lit(1)), ["one"]), "a")
     pick = lambda c: (F.when(F.col("s_docs") >= MIN_DOCS, F.col(f"s_{c}")).when(F.col("l_docs") >= MIN_DOCS, F.col(f"l_{c}"))
                       .otherwise(F.col(f"a_{c}")).alias(c))
     return fine.join(lang, "lang").join(every, "one").select("lang", "source", *[pick(c) for c in limits])
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-            fences: Callable[[DataFrame, list[str]], DataFrame] = sketch_fences) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Signals and verdict of every row.
 
     ``kept``: not base_failed and each signal within its group's fences.  A
@@ -168,7 +151,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     counts as the empty string; repeated rows give a row each and count each.
     """
     s = stored(signals(docs, id_col, text_col, lang_col, source_col), "signals")
-    t = stored(thresholds(stored(sketches(s), "sketches"), fences), "thresholds")  # its size is known when the join is planned
+    t = stored(thresholds(stored(sketches(s), "sketches")), "thresholds")  # its size is known when the join is planned
     within = F.lit(True)
     for name, x in ratios().items():
         within = within & (x >= F.col(f"{name}_low")) & (x <= F.col(f"{name}_high"))

@@ -67,11 +67,6 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule that ``_op7_sql`` states, with its fixed least ranges."""
-    return quality.quality(table(spark, sf_dir, "documents"), fences=quality.quartile_fences)
-
-
-def op7_quality_rules_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
@@ -138,24 +133,25 @@ _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def _op7_sql() -> str:
-    names = list(quality.LEAST_RANGE)
     ratio = {"word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "n_words"),
              "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
     x = {k: f"({a} * 1024) // greatest({b}, 1)" for k, (a, b) in ratio.items()}
-    each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS signal, {x[k]} AS x FROM s WHERE n_words > 0" for k in names)
-    least = "CASE signal " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.LEAST_RANGE.items()) + " END"
+    each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS signal, {x[k]} AS x FROM s WHERE n_words > 0" for k in x)
+    quantile = lambda k, of, name: f"min(CASE WHEN {of} * upto >= {k} * total THEN value END) AS {name}"
 
     def fences(tag: str, by: str) -> str:
         return f"""{tag} AS (
-  SELECT {by}signal, max(total) AS docs,
-         min(CASE WHEN 4 * upto >= total THEN value END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN value END) AS q3
-  FROM (SELECT {by}signal, value, sum(n) OVER (PARTITION BY {by}signal ORDER BY value) AS upto,
-               sum(n) OVER (PARTITION BY {by}signal) AS total
-        FROM (SELECT {by}signal, value, sum(n) AS n FROM k GROUP BY ALL)) GROUP BY {by}signal)"""
-
-    limits = ", ".join(f"max(CASE WHEN signal = '{n}' THEN q1 - reach END) AS {n}_low, max(CASE WHEN signal = '{n}' THEN q3 + reach END) AS {n}_high"
-                       for n in names)
-    within = " AND ".join(f"{x[n]} BETWEEN {n}_low AND {n}_high" for n in names)
+  SELECT {by}signal, docs, least(q1 - {quality.REACH} * (q3 - q1), bottom) AS low, greatest(q3 + {quality.REACH} * (q3 - q1), top) AS high
+  FROM (SELECT {by}signal, max(total) AS docs, {quantile(1, 4, "q1")}, {quantile(3, 4, "q3")},
+               {quantile(1, quality.TAIL, "bottom")}, {quantile(quality.TAIL - 1, quality.TAIL, "top")}
+        FROM (SELECT {by}signal, value, sum(n) OVER (PARTITION BY {by}signal ORDER BY value) AS upto,
+                     sum(n) OVER (PARTITION BY {by}signal) AS total
+              FROM (SELECT {by}signal, value, sum(n) AS n FROM k GROUP BY ALL)) GROUP BY {by}signal))"""
+
+    pick = lambda e: f"CASE WHEN a.docs >= {quality.MIN_DOCS} THEN a.{e} WHEN b.docs >= {quality.MIN_DOCS} THEN b.{e} ELSE c.{e} END AS {e}"
+    ends = {"low": "low", "high": "high + (1::BIGINT << greatest(length(bin(high::BIGINT)) - 8, 0)) - 1"}  # the last value of the fence's cell
+    limits = ", ".join(f"max(CASE WHEN signal = '{n}' THEN {v} END) AS {n}_{e}" for n in x for e, v in ends.items())
+    within = " AND ".join(f"{x[n]} BETWEEN {n}_low AND {n}_high" for n in x)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -172,11 +168,7 @@ s AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(translate
 k AS (SELECT lang, source, signal, x >> greatest(length(bin(x)) - 8, 0) << greatest(length(bin(x)) - 8, 0) AS value, count(*) AS n
       FROM ({each}) GROUP BY ALL),
 {fences("a", "lang, source, ")}, {fences("b", "lang, ")}, {fences("c", "")},
-f AS (SELECT lang, source, signal, docs, q1, q3, {quality.REACH} * greatest(q3 - q1, {least}) AS reach FROM (
-        SELECT a.lang, a.source, a.signal, a.docs,
-               CASE WHEN a.docs >= {quality.MIN_DOCS} THEN a.q1 WHEN b.docs >= {quality.MIN_DOCS} THEN b.q1 ELSE c.q1 END AS q1,
-               CASE WHEN a.docs >= {quality.MIN_DOCS} THEN a.q3 WHEN b.docs >= {quality.MIN_DOCS} THEN b.q3 ELSE c.q3 END AS q3
-        FROM a JOIN b USING (lang, signal) JOIN c USING (signal))),
+f AS (SELECT a.lang, a.source, signal, {pick("low")}, {pick("high")} FROM a JOIN b USING (lang, signal) JOIN c USING (signal)),
 t AS (SELECT lang, source, {limits} FROM f GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
@@ -270,7 +262,7 @@ FROM each e JOIN below b USING (key) LEFT JOIN each u ON e.d > 0 AND u.key = e.u
 
 def queries() -> dict[str, Query]:
     every = [op1_decontamination, op2_substring_dedup, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_warc,
-             op7_quality_rules, op7_quality_rules_adaptive, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output,
+             op7_quality_rules, op8_bpe_encode_decode, op9_token_counts, op10_token_id_output,
              op11_chat_formatting, op12_source_divergence, op13_conversation_prefix_trie]
     return {f.__name__: f for f in every}
 
