@@ -236,3 +236,22 @@ def test_pairs_grow_with_the_corpus(spark):
         sent = spark.sparkContext.broadcast(t)
         return language_model.repeated_pairs(language_model.training_counts(d, sent), sent).count()
     assert pairs(docs) > 1.5 * pairs(docs.filter("doc_id % 4 = 0"))
+
+
+def test_token_hashes_name_tokens():
+    rnd = random.Random(1)
+    texts = ["", "a", " a  b\n", "É é\x1cz A", "x" * 5000, "   ", "aa a a a", *["".join(rnd.choices("abcdE \n\té日\x0b", k=200)) for _ in range(200)]]
+    h, suffix, sizes = language_model.hashed_tokens(texts)
+    tokens = [t.encode().lower().split() + [b""] for t in texts]
+    flat = [x for w in tokens for x in w]
+    assert sizes.tolist() == [len(w) for w in tokens] and len(h) == len(suffix) == len(flat)
+    names = {}
+    assert all(names.setdefault(x, y) == y for x, y in zip(flat, h.tolist())) and len(set(names.values())) == len(names)
+    assert names[b""] == language_model.END
+    words = sorted({x for r in duckdb_words() for x in r})
+    assert len(set(language_model.token_hashes(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])).tolist())) == len(words)
+
+
+def duckdb_words():
+    import duckdb
+    return [r[0].encode().lower().split() for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()]

@@ -29,7 +29,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,27 +43,60 @@ SUFFIXES = 64
 HASHED_PAIRS = 4096
 LEAST_PAIR = 2
 EPOCHS = 12
-END = xxhash.xxh64_intdigest(b"")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finalizer of SplitMix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)  # a fixed random number per byte
+_FACTOR = np.uint64(0xD1342543DE82EF95)
+_POWERS = np.ones(1, dtype=np.uint64)
+# byte map: A-Z to lower case, the six ASCII spaces to one
+_FOLD = bytes(32 if c in b"\t\n\x0b\x0c\r " else c for c in bytes(range(256)).lower())
+
+
+def _powers(n: int) -> np.ndarray:
+    global _POWERS
+    if len(_POWERS) < n:
+        _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 256), _FACTOR)]), dtype=np.uint64)
+    return _POWERS
+
+
+def token_hashes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of each token from the tokens' bytes in a row: a polynomial in random byte numbers, mixed with the length."""
+    start = np.cumsum(size) - size
+    place = np.arange(len(data)) - np.repeat(start, size)
+    h = np.add.reduceat(_BYTE[data] * _powers(int(size.max()))[place], start) if len(size) else np.zeros(0, np.uint64)
+    return _mixed(h + size.astype(np.uint64) * _GOLDEN)
+
+
+END = int(_mixed(np.zeros(1, np.uint64))[0])
 
 
 def hashed_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all texts (each closed by the end token), suffix codes, and tokens per text."""
-    tokens: list[bytes] = []
-    sizes = []
-    for t in texts:
-        words = t.encode().lower().split()
-        tokens += words
-        tokens.append(b"")
-        sizes.append(len(words) + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
-    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
-    line = np.frombuffer(b" ".join([*tokens, b""]), dtype=np.uint8).astype(np.int64)
-    suffix = (line[ends - 1] * 31 + line[ends - 2]) % SUFFIXES
-    return h, suffix, np.array(sizes, dtype=np.int64)
+    """Token hashes of all texts (each closed by the end token), suffix codes, and tokens per text.  No token becomes an object."""
+    raw = [t.encode() for t in texts]
+    line = np.frombuffer(b" ".join(raw).translate(_FOLD), dtype=np.uint8)
+    inside = line != 32
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, stop = edge[::2], edge[1::2]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    of_text = np.searchsorted(ends, start, side="right")
+    sizes = np.bincount(of_text, minlength=len(texts)).astype(np.int64) + 1
+    at = np.arange(len(start)) + of_text  # an end token stands after each text before
+    h = np.full(len(start) + len(texts), END, dtype=np.uint64)
+    h[at] = token_hashes(line[inside], stop - start)
+    suffix = np.full(len(h), (32 * 31 + 32) % SUFFIXES, dtype=np.int64)
+    second = np.where(stop - start > 1, line[np.maximum(stop - 2, 0)], 32) if len(start) else np.zeros(0, np.int64)
+    suffix[at] = (line[stop - 1].astype(np.int64) * 31 + second) % SUFFIXES if len(start) else 0
+    return h, suffix, sizes
 
 
 def _slices(batches):
-    return text_slices(batches, 4 << 20)
+    return text_slices(batches, 1 << 20)  # what a slice needs stays in the cache
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
