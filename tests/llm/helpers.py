@@ -26,7 +26,7 @@ def awkward(spark):
             (5, "same id, other text", "en", "a"), (6, long, "en", "a"), (7, "日本語の文章です。 次の行 Ünïcödé", "xx", "b"),
             (8, "#$%&|<>* 123 456", "en", "a"), (9, "<|endoftext|> is a name here", "en", "a"), (10, "a\x1cb\x85c d", "en", "a")]
     clash = {c: "x" for c in ("row_key", "h1", "seq", "fp", "component_id", "text_hash", "n_words", "hits", "label", "lang_pred", "score",
-                              "cuts", "ids", "start", "shard", "n_tokens", "kept", "value", "signal", "first")}
+                              "cuts", "ids", "start", "shard", "n_tokens", "kept", "value", "signal", "first", "__row_key", "__id", "__hash", "__cuts", "bad_id", "bad_id_", "cut_hash")}
     return documents(spark, rows, **clash)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 from helpers import awkward, documents, empty
 
 from tracewise.llm import decontamination as D
@@ -94,3 +95,24 @@ def test_window_wider_than_the_slop(spark):
     items = spark.createDataFrame([("a", phrase)], "item_id string, text string")
     got = {r.doc_id: (r.n_hit, r.n_items) for r in D.contamination(docs, items, window=30, slop=16).collect()}
     assert got == {1: (30, 1), 2: (0, 0), 3: (0, 0)}
+
+
+def test_many_phrases_stay_small():
+    """A block's phrases are arrays: a few dozen bytes each, whatever the items hold."""
+    import pickle
+    import random
+    rnd = random.Random(2)
+    items = [(f"i{k}", " ".join(f"w{rnd.randrange(20_000)}" for _ in range(2_000))) for k in range(50)] + [("short", "w1 w2"), ("none", "..."), ("twin", "w1 w2")]
+    p = D.Phrases(items, 13)
+    assert len(p.terms) > 90_000 and len(pickle.dumps([p.terms, p.item, p.item_end])) < 100 * len(p.terms)
+    rng = np.random.default_rng(1)
+    counts = rng.integers(1, 1000, len(p.vocabulary))
+    p.order_by_rarity(counts)
+    for i in (0, 5, len(p.terms) - 1):
+        plan = p.plan(i)
+        assert [counts[t] for t, _ in plan] == sorted(counts[t] for t, _ in plan) and len({k for _, k in plan}) == len(plan)
+    short = next(i for i in range(len(p.terms)) if len(p.plan(i)) == 2)
+    assert p.items(short) == ["short", "twin"]
+    some = np.unique(np.concatenate([[t for t, _ in p.plan(i)] for i in (3, 7, short)]))
+    want = [i for i in range(len(p.terms)) if set(t for t, _ in p.plan(i)) <= set(some.tolist())]
+    assert sorted(p.possible(some).tolist()) == want and {3, 7, short} <= set(want)

@@ -64,3 +64,12 @@ def test_reader_is_sequential_and_strict():
         with pytest.raises((ValueError, zlib.error)):
             list(warc.read_records(Drip(bad)))
     assert list(warc.read_records(Drip(b""))) == []
+
+
+def test_addresses_come_back_as_given(spark):
+    urls = ["https://a.org/b%20c?q=%C3%A9", "http://ü.example/ä b", "plain", "100%", "a\r\nWARC-Type: revisit", "", None, "http://x/" + "é" * 200_000]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], PAGES)
+    got = {r.page_id: r.url for r in warc.archive_round_trip(pages).collect()}
+    assert got == {i: u or "" for i, u in enumerate(urls)}
+    head = warc.zlib.decompress(warc.record(1, urls[0], b"", None), 31)
+    assert b"WARC-Target-URI: https://a.org/b%20c?q=%C3%A9\r\n" in head and b"X-Given-URL" not in head

@@ -31,6 +31,14 @@ def narrow(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame
                        F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(by))

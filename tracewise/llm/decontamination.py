@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, record_batch, stored, text_slices, texts_of
+from .common import narrow, record_batch, stored, text_slices, texts_of, unused
 
-ITEM_BLOCK_BYTES = 64 << 20
+ITEM_BLOCK_BYTES = 8 << 20
 WINDOW = 13
 SLOP = 16
 # byte map: A-Z to lower case; digits, a-z and the bytes of characters beyond ASCII as they are; the rest to spaces
@@ -46,22 +46,64 @@ def words(text: str) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of a block of test items, with their items."""
+    """The distinct windows of a block of test items, with their items, as arrays.
+
+    Row i of ``terms`` holds the terms of phrase i, filled up with the number
+    of terms (a term that every segment is said to have).
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(self.names)}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[k:k + window]), set()).add(item_id)
-        self.terms = list(found)
-        self.items = [sorted(found[t]) for t in self.terms]
-        self.plans: list[list[tuple[int, int]]] = []
-
-    def order_by_rarity(self, counts: dict[int, int]) -> None:
-        """Each phrase's (term, offset) pairs, rarest term first."""
-        self.plans = [sorted(((t, k) for k, t in enumerate(p)), key=lambda x: (counts.get(x[0], 0), x)) for p in self.terms]
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], np.int32)
+            if not len(ids):
+                continue
+            if len(ids) < window:
+                ids = np.concatenate([ids, np.full(window - len(ids), -1, np.int32)])
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, window).copy())
+            owners.append(np.full(len(rows[-1]), number[item_id]))
+        every = np.concatenate(rows)
+        _, at, phrase = np.unique(every.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+        self.terms = every[at]
+        self.terms[self.terms < 0] = len(self.vocabulary)
+        pairs = np.unique(phrase.ravel() * max(len(self.names), 1) + np.concatenate(owners))
+        self.item = pairs % max(len(self.names), 1)
+        self.item_end = np.searchsorted(pairs // max(len(self.names), 1), np.arange(len(at)), side="right")
+        self.offsets = self.by_rarest = self.first = None
+
+    def items(self, i: int) -> list[str]:
+        return [self.names[k] for k in self.item[self.item_end[i - 1] if i else 0:self.item_end[i]]]
+
+    def order_by_rarity(self, counts: np.ndarray) -> None:
+        """Put each phrase's terms in order of ``counts`` (per term), rarest first, with their offsets; file phrases under their rarest."""
+        n = len(self.vocabulary)
+        count = np.append(counts, np.iinfo(np.int64).max)
+        self.offsets = np.empty(self.terms.shape, np.int16)
+        place = np.arange(self.terms.shape[1])
+        for i in range(0, len(self.terms), 1 << 16):
+            part = self.terms[i:i + (1 << 16)]
+            order = np.lexsort((np.broadcast_to(place, part.shape), part, count[part]), axis=1)
+            self.offsets[i:i + (1 << 16)] = order
+            self.terms[i:i + (1 << 16)] = np.take_along_axis(part, order, axis=1)
+        self.by_rarest = np.argsort(self.terms[:, 0], kind="stable")
+        self.first = np.searchsorted(self.terms[self.by_rarest, 0], np.arange(n + 1))
+
+    def plan(self, i: int) -> list[tuple[int, int]]:
+        """Phrase i's (term, offset) pairs, rarest first."""
+        return [(t, k) for t, k in zip(self.terms[i].tolist(), self.offsets[i].tolist()) if t < len(self.vocabulary)]
+
+    def possible(self, present: np.ndarray) -> np.ndarray:
+        """Phrases all of whose terms are in ``present`` (ascending); only those filed under one of them are looked at."""
+        a, b = self.first[present], self.first[present + 1]
+        size = b - a
+        rows = self.by_rarest[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        has = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        has[present] = has[-1] = True
+        parts = [rows[i:i + 65536][has[self.terms[rows[i:i + 65536]]].all(axis=1)] for i in range(0, len(rows), 65536)]
+        return np.concatenate(parts) if parts else rows
 
 
 def _build(vocabulary) -> object:
@@ -124,9 +166,8 @@ def _search(phrases, slop: int) -> object:
                 spans: dict[int, list] = {}
                 exact: dict[int, set] = {}
                 close: dict[int, set] = {}
-                for plan, items in zip(p.plans, p.items):
-                    if not all(t in lists for t, _ in plan):
-                        continue
+                for i in p.possible(terms.astype(np.int64)).tolist():
+                    plan, items = p.plan(i), p.items(i)
                     near = _near(lists, plan, slop)
                     if not len(near) and len(plan) <= slop + 1:
                         continue  # an exact match lies within the window, so it is near as well
@@ -185,7 +226,9 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
         sizes = F.transform(F.sequence(F.lit(0), F.size("ends") - 1), lambda k: F.get("ends", k) - F.coalesce(F.get("ends", k - 1), F.lit(0)))
         counts = (index.filter("n_postings > 0").select(F.explode(F.arrays_zip("terms", sizes.alias("n"))).alias("x"))
                   .groupBy("x.terms").agg(F.sum("x.n").alias("n")).collect())  # at most the block's vocabulary
-        phrases.order_by_rarity({r["terms"]: r["n"] for r in counts})
+        count = np.zeros(len(phrases.vocabulary), np.int64)
+        count[[r["terms"] for r in counts]] = [r["n"] for r in counts]
+        phrases.order_by_rarity(count)
         hits = index.mapInArrow(_search(spark.sparkContext.broadcast(phrases), slop), _HITS_DDL)
         found = hits if found is None else found.unionByName(hits)
     flat = lambda c: F.flatten(F.collect_set(c))  # a set: rows that repeat id and text hold one entry per block
@@ -215,6 +258,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs``, all columns as they are, less the contaminated ones."""
     bad = contamination(docs, items, id_col=id_col, text_col=text_col, **limits).filter("contaminated")
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    i, h = unused(docs, "bad_id"), unused(docs, "bad_hash")
+    bad = bad.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h))
     return docs.join(bad, same, "left_anti")

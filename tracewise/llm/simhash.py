@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, narrow, record_batch, row_key, stored, text_slices, texts_of
+from .common import ROW_KEY, narrow, record_batch, row_key, stored, text_slices, texts_of, unused
 from .components import connected_components
 
 SHINGLE = 3
@@ -204,7 +204,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, i
     rows that repeat id and text, one stays.
     """
     near = near_duplicates(docs, shingle, radius, id_col, text_col)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row_key").alias(ROW_KEY)))
-    keys = near.groupBy("group_fp").agg(first.alias("k")).select(f"k.{ROW_KEY}")
-    keyed = docs.withColumn(ROW_KEY, row_key(id_col, text_col))
-    return keyed.join(keys, ROW_KEY).dropDuplicates([ROW_KEY]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = unused(docs, ROW_KEY)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row_key").alias(key)))
+    keys = near.groupBy("group_fp").agg(first.alias("k")).select(f"k.{key}")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    return keyed.join(keys, key).dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, narrow, record_batch, repeat_bitmap, stored, text_slices, texts_of
+from .common import bitmap_has, narrow, record_batch, repeat_bitmap, stored, text_slices, texts_of, unused
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -164,10 +164,11 @@ def _with_cuts(docs: DataFrame, id_col: str, text_col: str, limits: dict) -> Dat
     """``docs`` with the spans to cut from each row's text as last column."""
     d = narrow(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     cuts = (repeated_spans(d, **limits).groupBy("doc_id", "text_hash")
-            .agg(F.collect_set(F.struct("first", "size")).alias("__cuts")))  # at most two spans per sentence
-    c = cuts.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
-    return docs.join(c, same, "left").drop("__id", "__hash")
+            .agg(F.collect_set(F.struct("first", "size")).alias("cuts")))  # at most two spans per sentence
+    i, h, last = unused(docs, "cut_id"), unused(docs, "cut_hash"), unused(docs, "cuts")
+    c = cuts.withColumnsRenamed({"doc_id": i, "text_hash": h, "cuts": last})
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h))
+    return docs.join(c, same, "left").drop(i, h)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES,
@@ -184,7 +185,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         for batch in text_slices(batches):
             texts = batch.column("text").to_pylist()
-            left, total, gone = _stripped(texts, batch.column("__cuts").to_pylist())
+            left, total, gone = _stripped(texts, batch.column(batch.num_columns - 1).to_pylist())
             yield record_batch(schema, {"doc_id": batch.column("doc_id"), "text": left, "n_sentences": total, "n_removed": gone,
                                         "chars_removed": [len(a or "") - len(b or "") for a, b in zip(texts, left)]})
 
@@ -198,9 +199,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, all columns as they are, with repeated spans cut from the text."""
     def run(batches):
         for batch in text_slices(batches, text_col=text_col):
-            left = _stripped(batch.column(text_col).to_pylist(), batch.column("__cuts").to_pylist())[0]
+            left = _stripped(batch.column(text_col).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())[0]
             k = batch.schema.get_field_index(text_col)
-            yield batch.set_column(k, batch.schema.field(k), pa.array(left, type=batch.schema.field(k).type)).drop_columns(["__cuts"])
+            yield batch.set_column(k, batch.schema.field(k), pa.array(left, type=batch.schema.field(k).type)).drop_columns([batch.schema.names[-1]])
 
     limits = {"min_sentences": min_sentences, "min_words": min_words, "alone_words": alone_words}
     return _with_cuts(docs, id_col, text_col, limits).mapInArrow(run, docs.schema)

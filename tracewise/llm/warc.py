@@ -46,10 +46,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     """One WARC/1.1 record as a gzip member: a revisit without the payload if it refers to another."""
     revisit = refers_to is not None
     block = _HTTP if revisit else _HTTP + payload
+    given = url or ""
+    target = urllib.parse.quote(given, safe=":/?#[]@!$&'()*+,;=%")  # an IRI as a URI; escapes it has already are kept
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
-              ("WARC-Date", date), ("WARC-Target-URI", urllib.parse.quote(url or "", safe=":/?#[]@!$&'()*+,;=%")),
+              ("WARC-Date", date), ("WARC-Target-URI", target),
               ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)), ("WARC-Block-Digest", "sha1:" + base32_sha1(block)),
               ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response")]
+    if target != given:
+        fields.append(("X-Given-URL", urllib.parse.quote(given, safe="")))
     if revisit:
         fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", _PROFILE)]
     fields.append(("Content-Length", str(len(block))))
@@ -88,14 +92,19 @@ class _Members:
                 return out
         return b""
 
-    def upto(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while mark not in self.held:
+    def upto(self, mark: bytes) -> bytes:
+        """What stands before ``mark``: a record's header, as long as its address makes it."""
+        seen = bytearray(self.held)
+        at = seen.find(mark)
+        while at < 0:
             more = self.piece()
-            if not more or len(self.held) > most:
+            if not more:
                 raise ValueError("record header is not ended")
-            self.held += more
-        out, _, self.held = self.held.partition(mark)
-        return out
+            start = max(0, len(seen) - len(mark) + 1)
+            seen += more
+            at = seen.find(mark, start)
+        self.held = bytes(seen[at + len(mark):])
+        return bytes(seen[:at])
 
     def exactly(self, n: int) -> Iterator[bytes]:
         while n:
@@ -201,7 +210,7 @@ def read_archives(archives: DataFrame, uri: str, with_payload: bool = False) ->
                 with store.open_input_stream(path, compression=None) as source:
                     for r in read_records(source, with_payload):
                         row = (number(r["WARC-Record-ID"]), int(r["X-Payload-Length"]), r["WARC-Payload-Digest"].removeprefix("sha1:"),
-                               r["WARC-Type"], number(r.get("WARC-Refers-To")), urllib.parse.unquote(r["WARC-Target-URI"]), r["payload"])
+                               r["WARC-Type"], number(r.get("WARC-Refers-To")), urllib.parse.unquote(r["X-Given-URL"]) if "X-Given-URL" in r else r["WARC-Target-URI"], r["payload"])
                         for name, v in zip(cols, row):
                             cols[name].append(v)
                         size += len(r["payload"] or b"") + 100
