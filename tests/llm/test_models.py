@@ -255,3 +255,25 @@ def test_token_hashes_name_tokens():
 def duckdb_words():
     import duckdb
     return [r[0].encode().lower().split() for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+
+
+def test_texts_with_letters_stay_where_nothing_was_learned(spark):
+    docs = documents(spark, [(1, "some words"), (2, "123 #"), (3, None), (4, "日本")])
+    kept = language_id.keep_identified(docs, language_id.train(docs.limit(0)))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4] and kept.columns == docs.columns
+
+
+def test_prediction_is_the_nearest_prototype(spark):
+    """Trigram vectors, prototypes and cosines recomputed from the letter vectors, text by text."""
+    docs = table(spark, SF, "documents")
+    learned = language_id.train(docs.filter(~language_id.held_out()))
+    texts = {r.doc_id: r.text for r in docs.filter("doc_id % 7 = 0").collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs.filter("doc_id % 7 = 0"), learned).collect()}
+    for i, t in texts.items():
+        v = language_id.profiles([t or ""], language_id.DIMENSIONS)[0].astype(float)
+        if not v.any():
+            assert got[i] == ("und", 0.0)
+            continue
+        cosine = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in learned.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert got[i][0] == best and math.isclose(got[i][1], min(max(cosine[best], 0), 1), abs_tol=1e-4)

@@ -157,10 +157,12 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], min_scor
                     dimensions: int = DIMENSIONS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language is found with at least ``min_score``.
 
-    Texts that are null or without letters go.  Judged row by row, so rows
-    are neither moved nor joined.
+    Texts that are null or without letters go.  Where nothing was learned, no
+    text with a letter is rejected.  A learned language named ``und`` counts as not found.
+    Judged row by row, so rows are neither moved nor joined.
     """
-    judge = _judge(prototypes, dimensions)
+    judge = _judge(prototypes, dimensions) if prototypes else lambda texts: (
+        ["" if some else UNKNOWN for some in profiles(texts, dimensions).any(axis=1)], np.full(len(texts), np.inf))
 
     def run(batches):
         for batch in _in_groups(batches, text_col=text_col):
