@@ -67,10 +67,10 @@ def test_model_is_a_distribution_and_beats_the_base(spark):
     p = 10.0 ** t.class_log.astype(float)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
     w = 10.0 ** t.word_log.astype(float)
-    for i in range(0, t.words, language_model.CLASS_WORDS):
-        assert np.allclose(w[:, i:i + language_model.CLASS_WORDS].sum(axis=1), 1, atol=1e-4)
+    for i in range(0, t.shape.words, t.shape.class_words):
+        assert np.allclose(w[:, i:i + t.shape.class_words].sum(axis=1), 1, atol=1e-4)
     by_rank = t.counts[np.argsort(t.rank)]
-    assert t.rest_total >= by_rank[t.words:].sum() and 0 < t.discount < 1
+    assert t.rest_total >= by_rank[t.shape.words:].sum() and 0 < t.discount < 1
     s = scores.filter(held).agg({"score": "sum", "base_score": "sum"}).first()
     assert s["sum(score)"] > s["sum(base_score)"]
 
@@ -200,13 +200,13 @@ def test_sketch_fences_leave_few_beyond(spark):
 def test_words_outside_the_classes_follow_their_context(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     lm = language_model
-    monkeypatch.setattr(lm, "MODEL_WORDS", 64)
+    monkeypatch.setattr(lm, "model_shape", lambda total, head: lm.Shape(64, 32, 256, 4096))
     scores, t = lm.language_model(docs, docs)
     got = {r.doc_id: r.score for r in scores.collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
     h, suffix, sizes = lm.hashed_tokens(list(texts.values()))
     rank, u = t.ranks(h), lm.previous(h, sizes)
-    rest = rank >= t.words
+    rest = rank >= t.shape.words
     count, pair, total = Counter(h[rest].tolist()), Counter(zip(u[rest].tolist(), h[rest].tolist())), Counter(u[rest].tolist())
     taken, after = Counter(), {}
     for (a, b), n in pair.items():
@@ -221,14 +221,69 @@ def test_words_outside_the_classes_follow_their_context(spark, monkeypatch):
     for a in list(after)[:3]:
         assert math.isclose(sum(prob(a, b) for b in count) + (1 - taken[a] / total[a]) * unknown, 1, rel_tol=1e-9)
     at = t.contexts(rank, suffix, sizes)
-    log = t.class_log[at, np.where(rest, t.classes - 1, rank // lm.CLASS_WORDS)].astype(float)
-    log[~rest] += t.word_log[at[~rest] % lm.CONTEXTS, rank[~rest]]
+    log = t.class_log[at, np.where(rest, t.shape.classes - 1, rank // t.shape.class_words)].astype(float)
+    log[~rest] += t.word_log[at[~rest] % t.shape.contexts, rank[~rest]]
     log[rest] += [math.log10(prob(a, b)) for a, b in zip(u[rest].tolist(), h[rest].tolist())]
     want = dict(zip(texts, np.add.reduceat(log, np.cumsum(sizes) - sizes)))
     assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in texts)
     assert any(n >= lm.LEAST_PAIR for n in pair.values())
 
 
+def test_training_follows_the_definition(spark, monkeypatch):
+    """Features, gradients and updates recomputed token by token, with dictionaries."""
+    lm = language_model
+    monkeypatch.setattr(lm, "model_shape", lambda total, head: lm.Shape(6, 3, lm.SUFFIXES + 4, 40))
+    texts = ["a b a c a b d e", "b a b a f g h", "c c a b", "", "x y a b a"] * 3
+    docs = documents(spark, list(enumerate(texts)))
+    t = lm.language_model(docs, docs)[1]
+    s = t.shape
+    h, suffix, sizes = lm.hashed_tokens(texts)
+    rank = t.ranks(h).tolist()
+    ids = [1 + lm.SUFFIXES + r if 0 <= r < 3 else 1 + x for r, x in zip(rank, suffix.tolist())]
+    rows, at = [], 0
+    for size in sizes.tolist():
+        one = [0, 0, *ids[at:at + size]]
+        for j in range(size):
+            skip, last, r = one[j], one[j + 1], rank[at + j]
+            hashed = (((skip * s.contexts + last) * 1103515245 + 12345) % 2147483647) % s.hashed
+            rows.append((["bias", ("last", last), ("skip", skip), ("pair", hashed)], skip * s.contexts + last, last, r if r < 6 else None, min(r // 3, 2)))
+        at += size
+    w = Counter()
+
+    def softmax(features, outs):
+        e = {o: math.exp(sum(w[f, o] for f in features)) for o in outs}
+        return {o: x / sum(e.values()) for o, x in e.items()}
+
+    in_class = lambda c: [("word", r) for r in range(3 * c, 3 * c + 3)]
+    for _ in range(lm.EPOCHS):
+        seen, want = Counter(), Counter()
+        for features, _, last, r, c in rows:
+            for o, p in softmax(features, range(3)).items():
+                for f in features:
+                    seen[f, o] += o == c
+                    want[f, o] += p
+            if r is not None:
+                both = ["bias", ("last", last)]
+                for o, p in softmax(both, in_class(c)).items():
+                    for f in both:
+                        seen[f, o] += o == ("word", r)
+                        want[f, o] += p
+        for k in want:
+            w[k] += 2 * (seen[k] - want[k]) / ((seen[k] + want[k]) / 2 + 1) / (2 if isinstance(k[1], tuple) else 4)
+    for features, pair, last, r, c in rows:
+        assert math.isclose(10 ** t.class_log[pair, c], softmax(features, range(3))[c], rel_tol=1e-4)
+        if r is not None:
+            assert math.isclose(10 ** t.word_log[last, r], softmax(["bias", ("last", last)], in_class(c))[("word", r)], rel_tol=1e-4)
+
+
+def test_model_grows_with_the_corpus():
+    shapes = [language_model.model_shape(10 ** e, 1 << 18) for e in range(3, 15)]
+    for a, b in zip(shapes, shapes[1:]):
+        assert b.words > a.words and b.classes > a.classes and b.contexts > a.contexts and b.hashed > a.hashed
+    assert 4 * language_model.model_shape(10 ** 13, 1 << 18).cells < 1 << 28
+    assert language_model.model_shape(10 ** 13, 10).words == 10 and language_model.model_shape(0, 0).classes == 1
+
+
 def test_pairs_grow_with_the_corpus(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     def pairs(d):

@@ -77,25 +77,34 @@ def record_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-BITMAP_BITS = 1 << 26
+BITS_EACH = 8
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 
 
 def repeat_bitmap(counts: DataFrame) -> bytes:
-    """Bitmap of the hashes ``h`` whose counts ``n`` sum to more than one.
+    """Bitmap of the hashes ``h`` whose counts ``n`` sum to more than one."""
+    return hash_bitmap(stored(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "repeated"))
 
-    Its BITMAP_BITS / 8 bytes do not grow with the data.  Two hashes may share
-    a bit, so a set bit means "perhaps repeated", a clear one "surely not".
+
+def hash_bitmap(hashes: DataFrame) -> bytes:
+    """Bitmap of the hashes ``h`` of a stored table.
+
+    It has ``BITS_EACH`` bits or more a hash (a power of two), at most
+    ``MOST_BITS`` (64 MB).  Two hashes may share a bit, so a set bit means
+    "perhaps listed", a clear one "surely not": up to MOST_BITS / BITS_EACH
+    hashes at most an eighth of all others meets a set bit, beyond that more,
+    which the join after it sorts out.
     """
-    repeated = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    place = repeated.select(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("p"))
+    bits = min(max(1 << (BITS_EACH * hashes.count() - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    place = hashes.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("p"))
     rows = (place.groupBy(F.floor(F.col("p") / 32768).alias("k"))
-            .agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("bits")).collect())  # 4 KB each, BITMAP_BITS / 32768 at most
-    out = bytearray(BITMAP_BITS // 8)
+            .agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("bits")).toLocalIterator())  # 4 KB each, bits / 32768 at most
+    out = bytearray(bits // 8)
     for r in rows:
         out[r["k"] * 4096:(r["k"] + 1) * 4096] = r["bits"]
     return bytes(out)
 
 
 def bitmap_has(bitmap: bytes, h: np.ndarray) -> np.ndarray:
-    p = h & (BITMAP_BITS - 1)
+    p = h & (len(bitmap) * 8 - 1)
     return (np.frombuffer(bitmap, dtype=np.uint8)[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)

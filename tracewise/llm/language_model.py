@@ -2,10 +2,12 @@
 
 P(token | two tokens before) = P(class | context) * P(token | class, context).
 
-* The ``MODEL_WORDS`` commonest tokens fall into classes of ``CLASS_WORDS``;
-  all others form one last class.
+* The commonest tokens fall into classes by frequency; all others form one
+  last class.
 * Context ids: the commonest tokens have their own, other tokens share hashed
   ids by their last two bytes.
+* The numbers of words, classes, contexts and hashed features follow the number
+  of training tokens (``model_shape``).
 * Class scores add four feature families: bias, previous token (n-gram), the
   one before it (skip), and both, hashed.  Token scores inside a class add
   bias and previous token.  Both are softmaxes.
@@ -16,10 +18,10 @@ P(token | two tokens before) = P(class | context) * P(token | class, context).
   added.  These pairs name both tokens, and their number grows with the corpus.
 
 The counts behind the softmax features are gathered over all training
-documents and have a fixed size; each update sums the gradients of their
-shards.  Scoring is table look-ups over whole batches of tokens.  Counts and
-contexts of common tokens travel in a bounded table, those of the rest and all
-pairs are joined; a bitmap of fixed size keeps most unseen pairs out of it.
+documents; each update sums the gradients of their shards.  Scoring is table
+look-ups over whole batches of tokens.  Counts and contexts of common tokens
+travel in a bounded table, those of the rest and all pairs are joined; a
+bitmap keeps most unseen pairs out of it.
 """
 
 from __future__ import annotations
@@ -29,20 +31,55 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, id_remainder, narrow, record_batch, repeat_bitmap, stored, text_slices, texts_of
+from .common import bitmap_has, hash_bitmap, id_remainder, narrow, record_batch, stored, text_slices, texts_of
 
 HEAD_TOKENS = 1 << 18
-MODEL_WORDS = 512
-CLASS_WORDS = 32
-CONTEXTS = 256
 SUFFIXES = 64
-HASHED_PAIRS = 4096
 LEAST_PAIR = 2
 EPOCHS = 12
+TRAIN_TASKS = 8
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of the softmax model."""
+
+    words: int  # tokens with a class of their own
+    class_words: int
+    contexts: int  # context ids of one position
+    hashed: int  # rows of hashed features of context pairs
+
+    @property
+    def classes(self) -> int:
+        return -(-self.words // self.class_words) + 1
+
+    @property
+    def class_cells(self) -> int:
+        return self.contexts * self.contexts * self.classes
+
+    @property
+    def cells(self) -> int:
+        return self.class_cells + self.contexts * self.words
+
+
+def model_shape(total: int, head: int) -> Shape:
+    """Sizes from the number of training tokens, among them at most ``head`` words.
+
+    Words grow with the cube root of the tokens and contexts with their
+    logarithm: 10^8 tokens give 1184 words in 36 classes and 281 contexts,
+    10^13 give 43,344 words in 210 classes and 409 contexts, whose tables of
+    logarithms take 0.21 GB.  A class has about as many words as there are
+    classes; 16 pairs of contexts share a hashed feature.
+    """
+    words = min(head, 256 + 2 * round(total ** (1 / 3)))
+    contexts = 1 + SUFFIXES + 8 * round(math.log2(total + 1))
+    return Shape(words, max(1, math.isqrt(words)), contexts, contexts * contexts // 16)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finalizer of SplitMix64)."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -127,26 +164,22 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Tables:
-    """What every scoring task holds; sizes are bounded by the constants above."""
+    """What every scoring task holds; sizes follow HEAD_TOKENS and ``model_shape``."""
 
     hashes: np.ndarray  # head tokens' hashes, ascending
     counts: np.ndarray  # their training counts
     rank: np.ndarray  # their rank by count
-    words: int  # tokens with a class of their own
+    shape: Shape
     total: int
     distinct: int
     rest_total: int
     rest_distinct: int
     discount: float
-    class_log: np.ndarray | None = None  # (CONTEXTS * CONTEXTS, classes) log10 P(class | context)
-    word_log: np.ndarray | None = None  # (CONTEXTS, words) log10 P(token | class, previous)
+    class_log: np.ndarray | None = None  # (contexts * contexts, classes) log10 P(class | context)
+    word_log: np.ndarray | None = None  # (contexts, words) log10 P(token | class, previous)
     left_log: np.ndarray | None = None  # by rank: log10 of the mass a previous token leaves to the frequencies
     pair_bits: bytes | None = None  # bitmap of the pairs' keys
 
-    @property
-    def classes(self) -> int:
-        return -(-self.words // CLASS_WORDS) + 1
-
     def by_rank(self) -> np.ndarray:
         """Hashes of the head tokens, commonest first."""
         out = np.empty_like(self.hashes)
@@ -161,8 +194,8 @@ class Tables:
         return np.where(self.hashes[k] == h, self.rank[k], -1)
 
     def contexts(self, rank: np.ndarray, suffix: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Context pair number of each token: (token before the last) * CONTEXTS + last; 0 before the start."""
-        own = CONTEXTS - SUFFIXES - 1
+        """Context pair number of each token: (token before the last) * contexts + last; 0 before the start."""
+        own = self.shape.contexts - SUFFIXES - 1
         ids = np.where((rank >= 0) & (rank < own), 1 + SUFFIXES + rank, 1 + suffix)
         last, skip = np.zeros_like(ids), np.zeros_like(ids)
         last[1:], skip[2:] = ids[:-1], ids[:-2]
@@ -171,7 +204,7 @@ class Tables:
         skip[starts] = 0
         second = starts[sizes > 1] + 1
         skip[second] = 0
-        return skip * CONTEXTS + last
+        return skip * self.shape.contexts + last
 
 
 def head_tables(counts: DataFrame) -> Tables:
@@ -196,11 +229,11 @@ def head_tables(counts: DataFrame) -> Tables:
     rank = np.empty(len(h), dtype=np.int64)
     rank[order] = np.arange(len(h))
     up = np.argsort(h)
-    words = min(MODEL_WORDS, len(h))
     total, distinct = sum(r["n"] for r in levels), sum(r["k"] for r in levels)
+    shape = model_shape(total, len(h))
     once, twice = by_level.get(1, 0), by_level.get(2, 0)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    return Tables(h[up], n[up], rank[up], words, total, distinct, total - int(n[order[:words]].sum()), distinct - words, discount)
+    return Tables(h[up], n[up], rank[up], shape, total, distinct, total - int(n[order[:shape.words]].sum()), distinct - shape.words, discount)
 
 
 def previous(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -222,8 +255,7 @@ _HELD_PAIRS = 4_000_000
 def training_counts(docs: DataFrame, tables) -> DataFrame:
     """(kind, k, h, n) of all ``docs``, in one pass over the texts.
 
-    CELL: counts of (context pair, class), then of (previous token, word), k the cell's number; they
-    number at most CONTEXTS**2 * classes + CONTEXTS * MODEL_WORDS.
+    CELL: counts of (context pair, class), then of (previous token, word), k the cell's number.
     Pairs (previous token, token of the last class) from LEAST_PAIR on:
     COMMON_PAIR, both head tokens, has both ranks in k; RARE_PAIR has the
     tokens in k and h.  TOTAL: how often k stands before any token of the last class.
@@ -239,16 +271,18 @@ def training_counts(docs: DataFrame, tables) -> DataFrame:
 
     def run(batches):
         t = tables.value
-        size = CONTEXTS * CONTEXTS * t.classes + CONTEXTS * t.words
-        cells, totals = np.zeros(size, dtype=np.int64), np.zeros(max(len(t.hashes), 1), dtype=np.int64)
+        shape = t.shape
+        cells, totals = np.zeros(shape.cells, dtype=np.int64), np.zeros(max(len(t.hashes), 1), dtype=np.int64)
         held, length = [], 0
         for batch in _slices(batches):
             h, suffix, sizes = hashed_tokens(texts_of(batch))
             rank = t.ranks(h)
             pair = t.contexts(rank, suffix, sizes)
-            known = (rank >= 0) & (rank < t.words)
-            cells += np.bincount(pair * t.classes + np.where(known, rank // CLASS_WORDS, t.classes - 1), minlength=size)
-            cells += np.bincount(CONTEXTS * CONTEXTS * t.classes + pair[known] % CONTEXTS * t.words + rank[known], minlength=size)
+            known = (rank >= 0) & (rank < shape.words)
+            cell = np.concatenate([pair * shape.classes + np.where(known, rank // shape.class_words, shape.classes - 1),
+                                   shape.class_cells + pair[known] % shape.contexts * shape.words + rank[known]])
+            cell, n = np.unique(cell, return_counts=True)
+            cells[cell] += n
             starts = np.cumsum(sizes) - sizes
             before = np.empty_like(rank)
             before[1:] = rank[:-1]
@@ -309,9 +343,9 @@ def rest_model(seen: DataFrame, total: DataFrame, counts: DataFrame, tables: Tab
     return contexts, stored(seen.join(contexts, "u").join(frequency, "h").select(key, gain), "gains")
 
 
-def _pair_rows(pairs: np.ndarray) -> np.ndarray:
+def _pair_rows(pairs: np.ndarray, hashed: int) -> np.ndarray:
     """Hashed feature row of a context pair."""
-    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % HASHED_PAIRS
+    return (pairs * 1103515245 + 12345) % 2147483647 % hashed
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -322,49 +356,51 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 class Weights:
     """Feature weights as one flat vector with named views."""
 
-    def __init__(self, classes: int, words: int, flat: np.ndarray | None = None):
-        shapes = {"bias": (1, classes), "last": (CONTEXTS, classes), "skip": (CONTEXTS, classes), "pair": (HASHED_PAIRS, classes),
-                  "word_bias": (1, words), "word_last": (CONTEXTS, words)}
-        ends = np.cumsum([a * b for a, b in shapes.values()])
+    def __init__(self, shape: Shape, flat: np.ndarray | None = None):
+        self.shape = shape
+        sizes = {"bias": (1, shape.classes), "last": (shape.contexts, shape.classes), "skip": (shape.contexts, shape.classes),
+                 "pair": (shape.hashed, shape.classes), "word_bias": (1, shape.words), "word_last": (shape.contexts, shape.words)}
+        ends = np.cumsum([a * b for a, b in sizes.values()])
         self.flat = np.zeros(int(ends[-1])) if flat is None else flat
-        for (name, shape), end in zip(shapes.items(), ends):
-            setattr(self, name, self.flat[end - shape[0] * shape[1]:end].reshape(shape))
+        for (name, size), end in zip(sizes.items(), ends):
+            setattr(self, name, self.flat[end - size[0] * size[1]:end].reshape(size))
 
     def class_log(self, pairs: np.ndarray) -> np.ndarray:
-        return _log_softmax(self.bias + self.last[pairs % CONTEXTS] + self.skip[pairs // CONTEXTS] + self.pair[_pair_rows(pairs)])
+        n = self.shape.contexts
+        return _log_softmax(self.bias + self.last[pairs % n] + self.skip[pairs // n] + self.pair[_pair_rows(pairs, self.shape.hashed)])
 
     def word_log(self, last: np.ndarray) -> np.ndarray:
-        x = self.word_bias + self.word_last[last]
-        return np.concatenate([_log_softmax(x[:, i:i + CLASS_WORDS]) for i in range(0, x.shape[1], CLASS_WORDS)], axis=1) if x.shape[1] else x
+        x, many = self.word_bias + self.word_last[last], self.shape.class_words
+        return np.concatenate([_log_softmax(x[:, i:i + many]) for i in range(0, x.shape[1], many)], axis=1) if x.shape[1] else x
 
 
-def _shard_gradient(w: Weights, classes: int, words: int, cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Observed and expected feature counts of one shard of cells (whole contexts)."""
-    seen, want = Weights(classes, words), Weights(classes, words)
-    at = CONTEXTS * CONTEXTS * classes
-    c, k = cells[cells < at], n[cells < at]
+def _feature_sums(shape: Shape, cells: np.ndarray, n: np.ndarray, w: Weights | None = None) -> np.ndarray:
+    """Counts of all features over whole contexts: as observed, or as the weights expect them."""
+    out = Weights(shape)
+    c, k = cells[cells < shape.class_cells], n[cells < shape.class_cells]
     if len(c):
-        pairs, row = np.unique(c // classes, return_inverse=True)
-        obs = np.zeros((len(pairs), classes))
-        obs[row, c % classes] = k
-        exp = obs.sum(axis=1, keepdims=True) * np.exp(w.class_log(pairs))
-        for out, x in ((seen, obs), (want, exp)):
-            out.bias += x.sum(axis=0)
-            np.add.at(out.last, pairs % CONTEXTS, x)
-            np.add.at(out.skip, pairs // CONTEXTS, x)
-            np.add.at(out.pair, _pair_rows(pairs), x)
-    c, k = cells[cells >= at] - at, n[cells >= at]
+        pairs, row = np.unique(c // shape.classes, return_inverse=True)
+        x = np.zeros((len(pairs), shape.classes))
+        x[row, c % shape.classes] = k
+        if w is not None:
+            x = x.sum(axis=1, keepdims=True) * np.exp(w.class_log(pairs))
+        out.bias += x.sum(axis=0)
+        np.add.at(out.last, pairs % shape.contexts, x)
+        np.add.at(out.skip, pairs // shape.contexts, x)
+        np.add.at(out.pair, _pair_rows(pairs, shape.hashed), x)
+    c, k = cells[cells >= shape.class_cells] - shape.class_cells, n[cells >= shape.class_cells]
     if len(c):
-        last, row = np.unique(c // words, return_inverse=True)
-        obs = np.zeros((len(last), words))
-        obs[row, c % words] = k
-        mass = np.concatenate([np.repeat(obs[:, i:i + CLASS_WORDS].sum(axis=1, keepdims=True), min(CLASS_WORDS, words - i), axis=1)
-                               for i in range(0, words, CLASS_WORDS)], axis=1)
-        exp = mass * np.exp(w.word_log(last))
-        for out, x in ((seen, obs), (want, exp)):
-            out.word_bias += x.sum(axis=0)
-            out.word_last[last] += x
-    return seen.flat, want.flat
+        last, row = np.unique(c // shape.words, return_inverse=True)
+        x = np.zeros((len(last), shape.words))
+        x[row, c % shape.words] = k
+        if w is not None:
+            log = w.word_log(last)
+            for i in range(0, shape.words, shape.class_words):
+                part = slice(i, i + shape.class_words)
+                x[:, part] = x[:, part].sum(axis=1, keepdims=True) * np.exp(log[:, part])
+        out.word_bias += x.sum(axis=0)
+        out.word_last[last] += x
+    return out.flat
 
 
 def train(cells: DataFrame, tables: Tables, epochs: int = EPOCHS) -> Weights:
@@ -372,40 +408,43 @@ def train(cells: DataFrame, tables: Tables, epochs: int = EPOCHS) -> Weights:
 
     A step divides the gradient (observed less expected count of a feature)
     by the mean of both plus a constant and by the features that share it.
+    Contexts of one hashed feature are in one shard, so only the features of
+    single tokens come from several shards; the driver holds one number per
+    feature, as the weights do.
     """
-    spark, classes, words = cells.sparkSession, tables.classes, tables.words
-    at = CONTEXTS * CONTEXTS * classes
-    shard = F.when(F.col("cell") < at, F.pmod(F.expr(f"cell div {classes * CONTEXTS}"), F.lit(64))).otherwise(
-        F.pmod(F.expr(f"(cell - {at}) div {max(words, 1)}"), F.lit(64)))
-    shards = stored(cells.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard"), "cells")
-    schema = pa.schema([("i", pa.int32()), ("seen", pa.float64()), ("want", pa.float64())])
-    w = Weights(classes, words)
-    share = np.concatenate([np.full(w.flat.size - w.word_bias.size - w.word_last.size, 4.0), np.full(w.word_bias.size + w.word_last.size, 2.0)])
-    for _ in range(epochs):
-        sent = spark.sparkContext.broadcast(w.flat)
+    shape = tables.shape
+    row = F.expr(f"cell div {shape.classes}") * 1103515245 + 12345
+    shard = F.when(F.col("cell") < shape.class_cells, row % 2147483647 % shape.hashed).otherwise(
+        F.expr(f"(cell - {shape.class_cells}) div {max(shape.words, 1)}"))
+    shards = cells.repartition(TRAIN_TASKS, shard).persist(StorageLevel.MEMORY_AND_DISK)  # lost parts come again from the stored counts
+    schema = pa.schema([("i", pa.int32()), ("n", pa.float64())])
+
+    def summed(flat: np.ndarray | None) -> np.ndarray:
+        sent = cells.sparkSession.sparkContext.broadcast(flat)
 
-        def gradient(batches, sent=sent):
+        def run(batches):
             rows = list(batches)  # a shard of the bounded cells
             if rows:
-                cell = np.concatenate([b.column("cell").to_numpy() for b in rows])
-                n = np.concatenate([b.column("n").to_numpy() for b in rows])
-                seen, want = _shard_gradient(Weights(classes, words, sent.value), classes, words, cell, n)
-                i = np.flatnonzero((seen > 0) | (want > 0))
-                yield record_batch(schema, {"i": i.astype(np.int32), "seen": seen[i], "want": want[i]})
-
-        sums = (shards.repartition(8, "shard").mapInArrow(gradient, "i int, seen double, want double")
-                .groupBy("i").agg(F.sum("seen").alias("seen"), F.sum("want").alias("want")).toArrow())  # one row per feature
-        i, seen, want = (sums.column(c).to_numpy() for c in ("i", "seen", "want"))
-        step = np.zeros_like(w.flat)
-        step[i] = (seen - want) / ((seen + want) / 2 + 1.0)
-        w = Weights(classes, words, w.flat + 2 * step / share)
+                cell, n = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in ("cell", "n"))
+                x = _feature_sums(shape, cell, n, None if sent.value is None else Weights(shape, sent.value))
+                i = np.flatnonzero(x)
+                yield record_batch(schema, {"i": i.astype(np.int32), "n": x[i]})
+
+        parts = shards.mapInArrow(run, "i int, n double").toArrow()
+        sent.destroy()
+        return np.bincount(parts.column("i").to_numpy(), weights=parts.column("n").to_numpy(), minlength=Weights(shape).flat.size)
+
+    w = Weights(shape)
+    words = w.word_bias.size + w.word_last.size
+    share = np.repeat([4.0, 2.0], [w.flat.size - words, words])
+    seen = summed(None)
+    for _ in range(epochs):
+        want = summed(w.flat)
+        w = Weights(shape, w.flat + 2 * (seen - want) / ((seen + want) / 2 + 1.0) / share)
+    shards.unpersist()
     return w
 
 
-def _known(t: Tables, rank_order: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    return t.counts[rank_order[rank]]
-
-
 def score(docs: DataFrame, counts: DataFrame, contexts: DataFrame, gains: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(tables)
@@ -427,11 +466,11 @@ def score(docs: DataFrame, counts: DataFrame, contexts: DataFrame, gains: DataFr
             h, suffix, sizes = hashed_tokens(texts_of(batch))
             rank = t.ranks(h)
             pair = t.contexts(rank, suffix, sizes)
-            head, word = rank >= 0, (rank >= 0) & (rank < t.words)
+            head, word = rank >= 0, (rank >= 0) & (rank < t.shape.words)
             base = np.zeros(len(h))
             base[head] = base_log[rank[head]]
-            model = t.class_log[pair, np.where(word, rank // CLASS_WORDS, t.classes - 1)].astype(np.float64)
-            model[word] += t.word_log[pair[word] % CONTEXTS, rank[word]]
+            model = t.class_log[pair, np.where(word, rank // t.shape.class_words, t.shape.classes - 1)].astype(np.float64)
+            model[word] += t.word_log[pair[word] % t.shape.contexts, rank[word]]
             other = head & ~word
             model[other] += rest_log[rank[other]]
             starts, u = np.cumsum(sizes) - sizes, previous(h, sizes)
@@ -476,9 +515,9 @@ def language_model(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, Tab
     sent = docs.sparkSession.sparkContext.broadcast(tables)
     counted = stored(training_counts(narrow(training, "doc_id", "text"), sent), "training-counts")
     w = train(counted.filter(F.col("kind") == CELL).select(F.col("k").alias("cell"), "n"), tables)
-    every, log10 = np.arange(CONTEXTS * CONTEXTS), 1 / math.log(10)
-    tables.class_log = (w.class_log(every) * log10).astype(np.float32)
-    tables.word_log = (w.word_log(np.arange(CONTEXTS)) * log10).astype(np.float32)
+    n, log10 = tables.shape.contexts, 1 / math.log(10)
+    tables.class_log = np.concatenate([(w.class_log(np.arange(i, i + n)) * log10).astype(np.float32) for i in range(0, n * n, n)])
+    tables.word_log = (w.word_log(np.arange(n)) * log10).astype(np.float32)
     total = counted.filter(F.col("kind") == TOTAL).select(F.col("k").alias("u"), F.col("n").alias("total"))
     contexts, gains = rest_model(repeated_pairs(counted, sent), total, counts, tables)
     tables.left_log = np.zeros(len(tables.rank))
@@ -487,7 +526,7 @@ def language_model(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, Tab
         left = contexts.join(common, "u").select("u", "left").collect()  # of head tokens
         rank = tables.ranks(np.array([r["u"] for r in left], dtype=np.int64).view(np.uint64))
         tables.left_log[rank] = np.log10([r["left"] for r in left])
-    tables.pair_bits = repeat_bitmap(gains.select(F.col("p").alias("h"), F.lit(LEAST_PAIR).alias("n")))
+    tables.pair_bits = hash_bitmap(gains.select(F.col("p").alias("h")))
     return score(docs, counts, contexts, gains, tables), tables
 
 
