@@ -50,7 +50,7 @@ def test_fingerprints_and_components_equal_brute_force(spark):
     check_components(rows)
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
+@pytest.mark.parametrize("tile", [1, 4, 1024])
 def test_crowded_shards_keep_every_link(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
     rng = random.Random(5)
@@ -74,6 +74,24 @@ def test_crowded_shards_keep_every_link(spark, monkeypatch, tile):
         assert {got.get(x, x) for x in g} == {min(g)}
 
 
+def test_a_large_shard_is_cut_finer(spark):
+    """All fingerprints share one block; tile pairs alone would copy each of them 256 times."""
+    from pyspark.sql import functions as F
+    fps = spark.range(1 << 18).select(F.shiftleft(F.xxhash64("id"), 16).alias("fp")).distinct()
+    sizes = simhash.shards_of(fps).groupBy("block", "value").count().filter("count > 1")
+    copies = sizes.agg(F.sum(F.col("count") * F.ceil(F.col("count") / simhash.TILE))).first()[0]
+    assert copies < 25 * (1 << 18)
+
+
+def test_every_close_pair_shares_a_finer_shard():
+    rng = random.Random(9)
+    for radius in (0, 1, 3, 5):
+        for _ in range(200):
+            flips = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(not own & flips and any(not m & flips for m in finer) for own, finer in simhash.shard_masks(radius))
+            assert all(any(not m & flips for m in finer) for own, finer in simhash.shard_masks(radius) if not own & flips)
+
+
 def test_long_chain_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(chain).collect()}

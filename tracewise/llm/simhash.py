@@ -5,13 +5,18 @@ least one of r + 1 bit blocks, so every (block, value) is a shard, and close
 pairs share a shard.  Each shard's distinct fingerprints form a BK-tree
 (children keyed by integer Hamming distance to the parent), and a search
 follows only the edges within the radius.  Shards travel by shuffle, not by
-broadcast, since their size has no bound; a shard above ``TILE`` fingerprints
-is split into tile pairs, so no key fills a task.  A task returns a spanning
-set of its links (each fingerprint to its tile's root), never all pairs.
+broadcast, since their size has no bound.  A shard of more tiles of ``TILE``
+fingerprints than its finer shards would be is cut further: its members' other
+bits in 2 r blocks agree on at least r of them, so every choice of r blocks
+and their values is a finer shard.  What is still above a tile is split into
+tile pairs, so no key fills a task.  A task returns a spanning set of its
+links (each fingerprint to its tile's root), never all pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -147,12 +152,47 @@ def _runs(batches, most: int = 1 << 16):
         yield held
 
 
+def _signed(mask: int) -> int:
+    return mask - (mask >> 63 << 64)
+
+
+def shard_masks(radius: int) -> list[tuple[int, list[int]]]:
+    """Bit masks of the shards, each with the wider masks of its finer shards.
+
+    Two fingerprints at most ``radius`` bits apart agree under at least one
+    mask, and under at least one of that mask's finer ones.
+    """
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    out = []
+    for low, high in zip(cuts, cuts[1:]):
+        rest = [b for b in range(64) if not low <= b < high]
+        ends = [len(rest) * i // max(2 * radius, 1) for i in range(2 * radius + 1)]
+        blocks = [sum(1 << b for b in rest[x:y]) for x, y in zip(ends, ends[1:])]
+        own = sum(1 << b for b in range(low, high))
+        out.append((own, [own | sum(c) for c in combinations(blocks, radius)]))
+    return out
+
+
+def shards_of(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(block, value, fp): the shards of every fingerprint, finer ones in place of large ones."""
+    masks = shard_masks(radius)
+    many = len(masks[0][1])
+
+    def keys(chosen, first):
+        return F.array(*[F.struct(F.lit(first + i).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(chosen)])
+
+    shards = fingerprints.select("fp", F.explode(keys([own for own, _ in masks], 0)).alias("k")).select("fp", "k.block", "k.value")
+    large = (shards.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > many * TILE)
+             .select("block", "value", F.lit(True).alias("large")))
+    k = F.array(F.struct("block", "value"))
+    for i, (_, finer) in enumerate(masks):
+        k = F.when(F.col("large") & (F.col("block") == i), keys(finer, len(masks) + i * many)).otherwise(k)
+    return shards.join(large, ["block", "value"], "left").select("fp", F.explode(k).alias("k")).select("k.block", "k.value", "fp")
+
+
 def close_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints (column ``fp``) at most ``radius`` bits apart."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value"))
-                     for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
-    shards = fingerprints.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.value")
+    shards = shards_of(fingerprints, radius)
     sizes = shards.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / TILE).cast("int")
     sized = shards.join(sizes, ["block", "value"]).select("block", "value", "fp", parts.alias("parts"),
