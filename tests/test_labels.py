@@ -74,3 +74,42 @@ def test_hot_sample_long_text(spark):
     assert got[("attribute", "blue ring")] == "ATTRIBUTE_HALLUC" and got[("object", "widget")] == "CATEGORY_HALLUC"
     assert sorted(r.chunk_idx for r in hot.collect()) == list(range(hot.count()))
     assert lab.filter("sample_id = 5 AND chunk_text = 'ring'").first().chunk_label == "CATEGORY_HALLUC"
+
+
+TEXTS = [(1, "A red bolt on a blue ring. The small gear holding the widget."), (2, "  Nothing! "), (3, "a a. x"), (4, "Dogs chasing balls near 3 trees? Red dogs, red DOGS"),
+         (5, "éclair on the naïve café_x　beside ünder it"), (None, "A red bolt on a ring."), (6, "."), (7, "")]
+
+
+def test_arrays_hold_what_the_token_table_gives(spark):
+    """The chunks made in the row equal those of the general form over the token table; nothing is shuffled for them."""
+    g = spark.createDataFrame(TEXTS, "sample_id long, generated_description string")
+    side = labelling.prepare_generated(g)
+    general = labelling.prepare_generated(g, tag=lambda *a: tagger.tag(*a))
+    cols = ["sample_id", "chunk_idx", "chunk_text", "chunk_type", "start", "end", "attribute", "object", "relation", "objects"]
+    rows = lambda df: sorted(map(str, df.select(*cols).filter("sample_id IS NOT NULL").collect()))
+    assert rows(side.chunks) == rows(general.chunks) and len(rows(side.chunks)) > 10
+    plan = side.chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    assert "Exchange" not in tagger.tag(g, ["sample_id"], "generated_description")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_shuffle_texts_alone(spark):
+    """Both sides meet once by sample; no term, token or chunk is shuffled and nothing is written in between."""
+    refs = spark.createDataFrame([(1, 0, "A red bolt on a old ring."), (1, 1, "The gear near the rod.")], "sample_id long, gt_idx int, gt_text string")
+    lab = labelling.label(labelling.prepare(spark.createDataFrame(TEXTS, "sample_id long, generated_description string"), refs))
+    plan = lab._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3 and "Scan ExistingRDD[chunk" not in plan
+    none = lab.filter("sample_id IS NULL").collect()
+    assert [r.chunk_label for r in none] == ["CATEGORY_HALLUC"] * len(none) and none
+
+
+def test_batch_ratio_equals_pairs(spark):
+    from difflib import SequenceMatcher
+
+    from tracewise.operators.fuzzy import any_similar
+    asked, given = ["gizmu", "zzz", "", "window", "Éa"], ["gizmo", "windows", "", "éa"]
+    df = spark.createDataFrame([(asked, given), ([], given), (asked, []), (["rod"], ["rods"])], "a array<string>, b array<string>")
+    for t in (0.5, 0.7, 0.8, 1.0):
+        got = [r.x for r in df.select(any_similar(t)("a", "b").alias("x")).collect()]
+        want = [[any(a and b and SequenceMatcher(None, a.lower(), b.lower()).ratio() >= t for b in r.b) for a in r.a] for r in df.collect()]
+        assert got == want
