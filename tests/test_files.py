@@ -98,3 +98,22 @@ def test_a_run_written_twice_is_in_the_log_once(spark, scratch):
     for run in ("r1", "r2", "r1"):
         log = files.append_result_rows(rows, path, run)
     assert log.count() == 2
+
+
+def test_reference_caption_rows_spread_over_files(spark, tmp_path, monkeypatch):
+    """The last caption of a file name wins although its rows lie in several files, none of them longer than asked for."""
+    from pathlib import Path
+
+    from tracewise.plans import io_queries
+    from tracewise.plans.registry import all_queries
+    from tracewise.sources import fixtures
+    monkeypatch.setattr(io_queries, "CSV_FILE_ROWS", 3)
+    monkeypatch.setattr(io_queries, "_folder", lambda s, name: str(tmp_path / name))
+    monkeypatch.setattr(fixtures, "coco_images", lambda s, sf: s.range(1, 9).selectExpr("id", "concat('img_', id, '.jpg') file_name"))
+    monkeypatch.setattr(fixtures, "image_features", lambda s, sf: s.range(1, 10).selectExpr("concat('img_', id) image_name", "concat('img_', id, '.jpg') image_filename"))
+    rest = [f"0 AS {c}" for c in fixtures.ANN_ORDER[1:]]
+    monkeypatch.setattr(fixtures, "coco_captions", lambda s, sf: s.range(1, 81).selectExpr("id % 8 + 1 AS image_id", "concat('caption', id) AS caption", "id AS l_linenumber", *rest))
+    got = {r.image_filename: r.ground_truth for r in all_queries()["reference_caption_csv"].build(spark, "").collect()}
+    assert got == {f"img_{i % 8 + 1}.jpg": f"caption{i}" for i in range(73, 81)} | {"img_9.jpg": ""}
+    lines = [len(p.read_text().splitlines()) - 1 for p in Path(tmp_path, "captions").glob("*.csv")]
+    assert sum(lines) == 80 and max(lines) <= 3

@@ -88,9 +88,9 @@ def load_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS).csv(path)
 
 
-def write_feature_csv(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Feature rows as CSV with a header; list features as JSON text."""
-    to_csv_row(df).write.mode(mode).options(**_WRITE).csv(path)
+def write_feature_csv(df: DataFrame, path: str, mode: str = "append", max_rows: int = 0) -> None:
+    """Feature rows as CSV with a header; list features as JSON text (S12).  A partition of more than ``max_rows`` rows goes on in further files."""
+    to_csv_row(df).write.mode(mode).options(**_WRITE, maxRecordsPerFile=max_rows).csv(path)
 
 
 def write_feature_bundle(df: DataFrame, path: str, metadata: dict) -> None:
