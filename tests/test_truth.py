@@ -50,3 +50,13 @@ def test_synonym_collisions():
 def test_truth_list_trivia(spark):
     df = spark.createDataFrame([("v", "a; b ;;")], "ground_truth_value string, ground_truth_aliases string")
     assert df.select(truth.truth_list("triviaqa", df).alias("t")).first().t == ["v", "a", "b"]
+
+
+def test_counts_give_the_same_caption_columns(spark):
+    from tracewise.operators import truth
+    features = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "image_filename string")
+    ann = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("c", 1, "z"), ("unmatched", 1, "p"), ("unmatched", 2, "q"), ("unmatched", 3, "r")], "file_name string, pos int, caption string")
+    captions, counts = truth.captions_list(ann, ["pos"]), ann.groupBy("file_name").count().withColumnRenamed("count", "n")
+    want, got = truth.captions_wide(features, captions), truth.captions_wide(features, captions, counts=counts)
+    assert got.columns == want.columns == ["image_filename", "ground_truth_1", "ground_truth_2"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
