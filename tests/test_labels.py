@@ -113,3 +113,20 @@ def test_batch_ratio_equals_pairs(spark):
         got = [r.x for r in df.select(any_similar(t)("a", "b").alias("x")).collect()]
         want = [[any(a and b and SequenceMatcher(None, a.lower(), b.lower()).ratio() >= t for b in r.b) for a in r.a] for r in df.collect()]
         assert got == want
+
+
+def test_texts_of_chosen_orders_only(spark):
+    from tracewise.sources import fixtures
+    sf = "/root/testdata/sf0.001"
+    every = {r.sample_id: r.generated_description for r in fixtures.generations(spark, sf).collect()}
+    ids = sorted(every)[:3]
+    only = spark.createDataFrame([(i,) for i in ids], "sample_id long")
+    assert {r.sample_id: r.generated_description for r in fixtures.generations(spark, sf, only).collect()} == {i: every[i] for i in ids}
+    assert {r.sample_id for r in fixtures.references(spark, sf, only).collect()} <= set(ids)
+
+
+def test_weights_of_counts(spark):
+    from tracewise.operators import report
+    d = spark.createDataFrame([("a",)] * 90 + [("b",)] * 7 + [("c",)] * 3, "label string")
+    n = d.groupBy("label").count().withColumnRenamed("count", "n")
+    assert sorted(map(tuple, report.weights_of_counts(n, "label").collect())) == sorted(map(tuple, report.class_weights(d, "label").collect()))
