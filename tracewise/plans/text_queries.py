@@ -58,10 +58,8 @@ SELECT doc_id,
   round(CASE WHEN n > 0 THEN u / n ELSE 0.0 END, 6)::DOUBLE AS feature_73
 FROM x""")
 def text_repetition(spark, sf):
-    # the word array is its own projection so it is split once per row
-    w = _docs(spark, sf, "text").select("doc_id", text.words(F.col("text")).alias("w"))
-    rep, brep, ur = text.repetition_features(F.col("w"))
-    return rounded(w.select("doc_id", rep.alias("feature_71"), brep.alias("feature_72"), ur.alias("feature_73")))
+    names = ("feature_71", "feature_72", "feature_73")
+    return rounded(text.with_repetition(_docs(spark, sf, "text"), "text", names).select("doc_id", *names))
 
 
 @register("text_counts", "T6 (word and character counts, ratio)", f"""
