@@ -306,7 +306,7 @@ labels AS (SELECT sample_id, chunk_idx, chunk_type, CASE
 @register("chunk_labels_exact", "C6 C7 C12 (hierarchical labels without the fuzzy stage)",
           LABELS_EXACT + "SELECT sample_id, chunk_idx, chunk_label FROM labels")
 def chunk_labels_exact(spark, sf):
-    return labelling.label(_inputs(spark, sf), fuzzy=False).select("sample_id", "chunk_idx", "chunk_label")
+    return labelling.label(_inputs(spark, sf), fuzzy=False, fields=("chunk_label",))
 
 
 @register("chunk_labels", "C5 C6 C7 C12 T4 (hierarchical labels, full rules)")
