@@ -33,6 +33,17 @@ def test_wasserstein_unequal(spark):
     assert distances.wasserstein_long(df, "k", "x", "a", "b").first().wasserstein == pytest.approx(4.1666667)
 
 
+def test_wasserstein_shuffles_its_rows_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, None if rng.random() < 0.1 else float(rng.integers(0, 9)), *((1, 0) if rng.random() < 0.5 else (0, 1))) for k in [1, 2, 2, 3, None] for _ in range(30)] + [(4, 1.0, 1, 0)]
+    df = spark.createDataFrame(rows, "k long, x double, a long, b long")
+    got = {h: {r.k: r.wasserstein for r in distances.wasserstein_long(df, "k", "x", "a", "b", hot_rows=h).collect()} for h in (1 << 20, 40, 0)}
+    assert got[0].keys() == got[40].keys() == {1, 2, 3}
+    assert got[1 << 20] == pytest.approx(got[0]) and got[40] == pytest.approx(got[0])  # all keys by position; key 2 alone
+    plan = distances.wasserstein_long(df, "k", "x", "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "ExistingRDD" not in plan.replace("Scan ExistingRDD", "", 1)
+
+
 def test_softmax_and_cosine(spark):
     x = [1.0, 2.0, 3.0]
     e = np.exp(np.array(x) - 3)
